@@ -87,7 +87,9 @@ def tv_denoise(y: list[float], lam: float) -> np.ndarray:
 
 
 def _median(a: np.ndarray, half: int) -> np.ndarray:
-    return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(a, half, mode="edge"), 2 * half + 1), axis=1)
+    """Running median; the ends see their surroundings mirrored, so that a stray end stands out."""
+    wide = np.pad(a, half, mode="reflect" if len(a) > half else "edge")
+    return np.median(np.lib.stride_tricks.sliding_window_view(wide, 2 * half + 1), axis=1)
 
 
 def runs(mask: np.ndarray) -> np.ndarray:
