@@ -35,11 +35,8 @@ def _in(c: str, lo: float, hi: float) -> Column:
     return F.col(c).isNull() | (F.col(c).between(lo, hi) & ~F.isnan(F.col(c).cast("double")))
 
 
-#: (rule, what must hold) by entity.
-RULES: dict[str, list[tuple[str, Column]]] = {}
-
-
 def rules(entity: str) -> list[tuple[str, Column]]:
+    """(rule, what must hold) of an entity."""
     point = [("lat_range", _in("lat", -90, 90)), ("lon_range", _in("lon", -180, 180)), ("uncertainty_negative", _in("uncertainty_m", 0, float("inf")))]
     return {
         "cluster_candidates": [*point, ("confidence_range", _in("confidence", 0, 1))],
