@@ -144,6 +144,15 @@ def spikes(t: np.ndarray, v: np.ndarray, f: Field, limit: float, c: SpikeConfig)
     return out
 
 
+def around(mask: np.ndarray, k: int) -> np.ndarray:
+    """mask, and k places to both sides of it."""
+    out = mask.copy()
+    for s in range(1, k + 1):
+        out[s:] |= mask[:-s]
+        out[:-s] |= mask[s:]
+    return out
+
+
 PIECE = "source string, field_name string, kind string, value double, t0 long, t1 long, n long, opens boolean, closes boolean, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double, ids array<string>"
 
 
@@ -186,8 +195,7 @@ def _pieces(key: tuple[pa.Scalar, ...], rows: pa.Table, c: SpikeConfig) -> pa.Ta
     for (f, limit, valid, t, v), mark, flat in zip(usable, marks, flats):
         known = valid & core_rows
         if mark.any():
-            near = np.convolve(mark, np.ones(2 * (c.longest + 1) + 1), mode="same") > 0.5
-            hit = spikes(t, v, f, limit, c) & near
+            hit = spikes(t, v, f, limit, c) & around(mark, c.longest + 1)
             if hit.any():
                 chosen = np.flatnonzero(known & np.isin(t_all, t[hit]))
                 if len(chosen):
