@@ -3,8 +3,9 @@
 Texts become lower-case words (runs of letters and digits). Every run of K words is hashed, and of each W successive
 hashes the smallest is kept, so any shared span of K + W - 1 = 5 words keeps a common fingerprint. A span of 30 words
 with at most one edit in six still holds five words in a row (25 kept words in at most six runs), so the fingerprints
-miss nothing that counts. Fingerprints of texts and passages meet in a join; hits grow to maximal equal runs, and from
-each run of five words or more an alignment to both sides decides.
+miss nothing that counts. The passages are the stated query set: in blocks of bounded size their fingerprints go to
+all tasks, where those of each text are joined with them; hits grow to maximal equal runs, and from each run of five
+words or more an alignment to both sides decides. No text is shuffled.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ K, W = 4, 2
 EXACT_WORDS, FUZZY_WORDS, WORDS_PER_EDIT = 12, 30, 6
 _WORD = re.compile(r"[^\W_]+")
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
-#: Fingerprints of all passages up to this number are also sent to the tasks, to drop others before the join.
-FILTER_HASHES = 2_000_000
+#: Passages are searched in blocks of about so many characters, each block against all documents.
+BLOCK_CHARS = 16_000_000
 
 
 def words(text: str) -> list[str]:
@@ -70,27 +71,52 @@ def winnow(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[keep].view(np.int64), keep.astype(np.int32)
 
 
-def fingerprints(df: DataFrame, id_col: str, text: str, only: np.ndarray | None = None) -> DataFrame:
-    """(id, hash, pos) of all texts; with `only`, of the hashes in that sorted array."""
+class Index:
+    """The fingerprints of a block of passages, sorted, with the passages as word hashes."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        hasher, marks = Hasher(), []
+        self.ids = [i for i, _ in items]
+        self.passages = [hasher.of(words(p)) for _, p in items]
+        for k, h in enumerate(self.passages):
+            g, at = winnow(h)
+            marks.append(np.stack([g, np.full(len(g), k, np.int64), at.astype(np.int64)]))
+        every = np.concatenate(marks, axis=1) if marks else np.zeros((3, 0), np.int64)
+        every = every[:, np.argsort(every[0], kind="stable")]
+        self.hashes, self.first = np.unique(every[0], return_index=True)
+        self.upto = np.append(self.first[1:], every.shape[1])
+        self.item, self.at = every[1], every[2]
+
+    def hits(self, g: np.ndarray, pos: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """The join of a text's fingerprints with the block's: by passage, (position in the text, in the passage)."""
+        out: dict[int, list[tuple[int, int]]] = {}
+        if not len(g) or not len(self.hashes):
+            return out
+        k = np.minimum(np.searchsorted(self.hashes, g), len(self.hashes) - 1)
+        for i in np.flatnonzero(self.hashes[k] == g):
+            for m in range(self.first[k[i]], self.upto[k[i]]):
+                out.setdefault(int(self.item[m]), []).append((int(pos[i]), int(self.at[m])))
+        return out
+
 
+def _search(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix: Index = index.value
         hasher = Hasher()
+        passages = [h.tolist() for h in ix.passages]
         for batch in batches:
-            ids, hashes, at = [], [], []
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                g, pos = winnow(hasher.of(words(x.as_py())))
-                if only is not None and len(g):
-                    k = np.minimum(np.searchsorted(only, g), len(only) - 1)
-                    hit = only[k] == g
-                    g, pos = g[hit], pos[hit]
-                if len(g):
-                    ids.append(np.full(len(g), i, np.int64))
-                    hashes.append(g)
-                    at.append(pos)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (ids, hashes, at)], names=["id", "hash", "pos"])
-
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, hash long, pos int")
+            out = []
+            for d, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h = hasher.of(words(x.as_py()))
+                near = ix.hits(*winnow(h))
+                if near:
+                    ws = h.tolist()
+                    held = set(ws)
+                    out += [(d, ix.ids[k], *f) for k, hits in near.items() if (f := match(ws, held, passages[k], hits))]
+            cols = list(zip(*out)) if out else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int32()))], names=["doc_id", "item_id", "kind", "n_words"])
+
+    return run
 
 
 def _side(t: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -117,45 +143,49 @@ def _side(t: np.ndarray, p: np.ndarray) -> np.ndarray:
 REACH = 2 * FUZZY_WORDS
 
 
-def _may_hold(text: np.ndarray, passage: np.ndarray) -> bool:
+def _may_hold(held: set[int], passage: list[int]) -> bool:
     """False only if no 30 words or more of the passage can do, whatever their order in the text: with words that the
     text lacks as edits, every such stretch scores below 0."""
-    score = np.concatenate(([0], np.cumsum(np.where(np.isin(passage, text), 1, 1 - WORDS_PER_EDIT))))
-    if len(passage) < FUZZY_WORDS:
-        return False
-    # the lowest sum before a stretch, for all that begin 30 words or more before its end
-    low = np.minimum.accumulate(score)
-    return bool((score[FUZZY_WORDS:] >= low[: len(score) - FUZZY_WORDS]).any())
-
-
-def match(text: np.ndarray, passage: np.ndarray, hits: list[tuple[int, int]]) -> tuple[str, int] | None:
+    score, low, sums = 0, 0, [0]
+    for i, w in enumerate(passage, 1):
+        score += 1 if w in held else 1 - WORDS_PER_EDIT
+        sums.append(score)
+        if i >= FUZZY_WORDS:
+            low = min(low, sums[i - FUZZY_WORDS])
+            if score >= low:
+                return True
+    return False
+
+
+def match(text: list[int], held: set[int], passage: list[int], hits: list[tuple[int, int]]) -> tuple[str, int] | None:
     """('exact', words of the longest equal run) or ('edited', words of the passage) if the text holds the passage,
-    from common fingerprints at (position in the text, position in the passage)."""
-    seen: set[tuple[int, int]] = set()
+    from common fingerprints at (position in the text, position in the passage). held: the words of the text."""
+    ends: dict[int, int] = {}  # of the runs on each diagonal, hits in order
     anchors, longest = [], 0
-    for a, b in hits:
-        if text[a] != passage[b]:
+    n_text, n_passage = len(text), len(passage)
+    for a, b in sorted(hits):
+        if text[a] != passage[b] or a < ends.get(a - b, 0):
             continue
-        n = min(a, b)
-        back = int(np.argmin(np.append(text[a - n : a][::-1] == passage[b - n : b][::-1], False)))
-        if (a - back, b - back) in seen:
-            continue
-        seen.add((a - back, b - back))
-        n = min(len(text) - a, len(passage) - b)
-        ahead = int(np.argmin(np.append(text[a : a + n] == passage[b : b + n], False)))
-        longest = max(longest, back + ahead)
-        anchors.append((back + ahead, a - back, b - back))
+        i, j = a, b
+        while i and j and text[i - 1] == passage[j - 1]:
+            i, j = i - 1, j - 1
+        e, f = a + 1, b + 1
+        while e < n_text and f < n_passage and text[e] == passage[f]:
+            e, f = e + 1, f + 1
+        ends[a - b] = e
+        longest = max(longest, e - i)
+        if e - i >= K + W - 1:
+            anchors.append((e - i, i, j))
     if longest >= EXACT_WORDS:
         return "exact", longest
-    if longest < K + W - 1 or not _may_hold(text, passage):
+    if not anchors or n_passage < FUZZY_WORDS or not _may_hold(held, passage):
         return None
     for n, a, b in sorted(anchors, reverse=True):
-        if n < K + W - 1:
-            break
-        if not _may_hold(text[max(0, a - REACH - REACH // 4) : a + n + REACH + REACH // 4], passage[max(0, b - REACH) : b + n + REACH]):
+        own = passage[max(0, b - REACH) : b + n + REACH]
+        if not _may_hold(set(text[max(0, a - REACH - REACH // 4) : a + n + REACH + REACH // 4]), own):
             continue
-        left = _side(text[:a][::-1], passage[max(0, b - REACH) : b][::-1])
-        right = _side(text[a + n :], passage[b + n : b + n + REACH])
+        left = _side(np.array(text[max(0, a - 2 * REACH) : a][::-1], np.uint64), np.array(passage[max(0, b - REACH) : b][::-1], np.uint64))
+        right = _side(np.array(text[a + n : a + n + 2 * REACH], np.uint64), np.array(passage[b + n : b + n + REACH], np.uint64))
         total = left[:, None] + right[None, :] + n
         length = np.arange(len(left))[:, None] + np.arange(len(right))[None, :] + n
         good = (total >= 0) & (length >= FUZZY_WORDS)
@@ -175,33 +205,15 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     Documents posted again under their own id are each reported; rows repeated under one id count once (the result is
     distinct), different texts under one id count together. Empty tables give no rows.
     """
+    spark = documents.sparkSession
     docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    own = items.where(F.col(item_id).isNotNull() & F.col(passage).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(passage).alias("passage"))
-    marks = fingerprints(own, "item_id", "passage").select(F.col("id").alias("item_id"), "hash", F.col("pos").alias("at"))
-    only = None
-    head = marks.select("hash").distinct().limit(FILTER_HASHES + 1).toPandas()["hash"].to_numpy(np.int64)  # of the items, bounded
-    if len(head) <= FILTER_HASHES:
-        only = np.sort(head)
-        if not len(only):
-            return documents.sparkSession.createDataFrame([], LEAK)
-    hits = fingerprints(docs, "doc_id", "text", only).withColumnRenamed("id", "doc_id").join(marks, "hash")
-    near = hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("pos", "at")).alias("hits"))  # at most text times passage
-    # a document's text travels once for all its candidate items
-    per_doc = near.join(own, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "passage", "hits")).alias("items"))
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in batches:
-            out = []
-            for d, x, its in zip(*(c.to_pylist() for c in batch.columns)):
-                h = hasher.of(words(x))
-                for it in its:
-                    pos = [(q["pos"], q["at"]) for q in it["hits"] if q["pos"] < len(h)]
-                    found = match(h, hasher.of(words(it["passage"])), pos)
-                    if found:
-                        out.append((d, it["item_id"], *found))
-            cols = list(zip(*out)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int32()))], names=["doc_id", "item_id", "kind", "n_words"])
-
-    found = docs.join(per_doc, "doc_id").select("doc_id", "text", "items").mapInArrow(decide, LEAK)
-    return found.groupBy("doc_id", "item_id").agg(F.min(F.struct("kind", -F.col("n_words"))).alias("s")).select("doc_id", "item_id", F.col("s.kind").alias("kind"), (-F.col("s.col2")).cast("int").alias("n_words"))
+    own = items.where(F.col(item_id).isNotNull() & F.col(passage).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(passage).alias("passage")).distinct()
+    size = own.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BLOCK_CHARS))
+    found = None
+    for k in range(blocks):
+        block = [(r.item_id, r.passage) for r in own.where(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == k).collect()]  # about BLOCK_CHARS
+        part = docs.mapInArrow(_search(spark.sparkContext.broadcast(Index(block))), LEAK) if block else spark.createDataFrame([], LEAK)
+        found = part if found is None else found.unionByName(part)
+    # only documents that leak: few rows, for ids that repeat
+    return found.groupBy("doc_id", "item_id").agg(F.min(F.struct("kind", (-F.col("n_words")).alias("n"))).alias("s")).select("doc_id", "item_id", F.col("s.kind").alias("kind"), (-F.col("s.n")).cast("int").alias("n_words"))
