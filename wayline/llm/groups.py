@@ -20,7 +20,8 @@ def boruvka_groups(pairs: DataFrame, a: str, b: str, weight: str | None = None)
     Pairs with a null end are ignored, a pair of an id with itself only makes the id known; repeated and turned-round
     pairs count once, with their smallest weight; null weights come last. No pairs give no rows. Choosing and reducing
     edges is pre-aggregated before the shuffle; a component with very many edges is one key of a join on one small row
-    each, which AQE splits. Nothing but a count goes to the driver.
+    each, which AQE splits. Joins are merge joins: a broadcast in every step would pile up in the driver's memory, and
+    the tables have no size bound. Nothing but a count goes to the driver.
     """
     w = F.col(weight).cast("double") if weight else F.lit(0.0)
     given = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
@@ -34,18 +35,18 @@ def boruvka_groups(pairs: DataFrame, a: str, b: str, weight: str | None = None)
         out = edges.select(F.col("cx").alias("c"), F.struct("rank", F.col("cy").alias("to")).alias("e")).union(edges.select(F.col("cy").alias("c"), F.struct("rank", F.col("cx").alias("to")).alias("e")))
         choice = checkpoint(out.groupBy("c").agg(F.min("e").alias("e")).select("c", F.col("e.to").alias("p")))
         back = choice.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-        parent = checkpoint(choice.join(back, "p").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p")))
+        parent = checkpoint(choice.join(back.hint("merge"), "p").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p")))
         while True:
             up = parent.select(F.col("c").alias("p"), F.col("p").alias("pp"))
-            doubled = checkpoint(parent.join(up, "p").select("c", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
+            doubled = checkpoint(parent.join(up.hint("merge"), "p").select("c", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
             parent = doubled.select("c", "p")
             if not doubled.where("moved").limit(1).count():
                 break
-        labels = checkpoint(labels.join(parent, "c", "left").select("id", F.coalesce("p", "c").alias("c")))
-        moved = edges.join(parent.select(F.col("c").alias("cx"), F.col("p").alias("px")), "cx").join(parent.select(F.col("c").alias("cy"), F.col("p").alias("py")), "cy").where("px <> py")
+        labels = checkpoint(labels.join(parent.hint("merge"), "c", "left").select("id", F.coalesce("p", "c").alias("c")))
+        moved = edges.join(parent.select(F.col("c").alias("cx"), F.col("p").alias("px")).hint("merge"), "cx").join(parent.select(F.col("c").alias("cy"), F.col("p").alias("py")).hint("merge"), "cy").where("px <> py")
         edges = checkpoint(moved.groupBy(F.least("px", "py").alias("cx"), F.greatest("px", "py").alias("cy")).agg(F.min("rank").alias("rank")))
     least = labels.groupBy("c").agg(F.min("id").alias("group_id"))
-    return labels.join(least, "c").select("id", "group_id")
+    return labels.join(least.hint("merge"), "c").select("id", "group_id")
 
 
 def observation_links(matches: DataFrame, observations: DataFrame) -> DataFrame:

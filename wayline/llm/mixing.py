@@ -80,7 +80,7 @@ def plan(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total_tok
     if total_tokens is None:
         having = [able[s] / w for s, w in wanted.items() if able[s] > 0]
         total_tokens = int(min(having)) if having else 0
-    return {s: {"target": w, "need": int(min(able[s], round(w * total_tokens))), "able": able[s], "size": sizes.get(s, 0)} for s, (w, _) in targets.items()}
+    return {s: {"target": w, "need": int(min(able[s], round(w * total_tokens))), "wanted": round(w * total_tokens), "size": sizes.get(s, 0)} for s, (w, _) in targets.items()}
 
 
 def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", total_tokens: int | None = None, block_tokens: int = 2048, most_blocks: int = 50_000, seed: int = 0, folder: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
@@ -113,7 +113,7 @@ def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text:
     block = max(block_tokens, -(-total // most_blocks))
     slots = pfair({s: -(-p["need"] // block) for s, p in drawn.items()})
     recipe = spark.createDataFrame(
-        [(s, names[s], float(p["target"]), p["need"], p["size"]) for s, p in drawn.items()], "source string, name string, target_share double, need long, size long"
+        [(s, names[s], float(p["target"]), p["need"], p["size"], p["need"] < p["wanted"]) for s, p in drawn.items()], "source string, name string, target_share double, need long, size long, limited boolean"
     )
     # at most most_blocks (and a few) rows
     table = spark.createDataFrame(pa.table({"slot": pa.array([x[0] for x in slots], pa.int64()), "source": pa.array([x[1] for x in slots], pa.string()), "block": pa.array([x[2] for x in slots], pa.int64())}))
@@ -125,8 +125,8 @@ def mix(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text:
     draws = draws.join(F.broadcast(table), ["source", "block"]).select("slot", F.col("name").alias("source"), "block", "doc_id", (F.col("copy") + 1).cast("int").alias("copy"), "n_tokens", (F.col("copy") * F.col("size") + F.col("at")).alias("place"))
     got = draws.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.countDistinct("doc_id").alias("n_documents"), F.count("*").alias("n_draws"), F.max("copy").alias("most_copies"))
     all_tokens = F.sum("n_tokens").over(Window.partitionBy())
-    shares = recipe.select(F.col("name").alias("source"), "target_share", "need", "size").join(got, "source", "left").select(
+    shares = recipe.select(F.col("name").alias("source"), "target_share", "limited").join(got, "source", "left").select(
         "source", "target_share", F.coalesce(F.try_divide(F.col("n_tokens"), all_tokens), F.lit(0.0)).alias("actual_share"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_tokens", "n_documents", "n_draws", "most_copies")],
-        (F.col("need") < F.col("target_share") * F.lit(float(total)) - 1).alias("limited"),
+        "limited",
     )
     return draws, shares
