@@ -5,7 +5,7 @@ Angles are degrees, lengths metres, on a sphere of radius EARTH_RADIUS_M. Null i
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_RADIUS_M = 6371008.8
@@ -93,26 +93,35 @@ def along_track(lat, lon, lat1, lon1, lat2, lon2) -> Column:
     return F.when(F.cos(turn) < 0, -a).otherwise(a) * EARTH_RADIUS_M
 
 
+def with_projection(df: DataFrame, lat, lon, lat1, lon1, lat2, lon2) -> DataFrame:
+    """df with distance_m, along_m and fraction of the nearest point of a segment to a point, and the segment's
+    bearing_deg and length_m. In steps of named columns, each computed once: as one expression the same terms would be
+    repeated until the generated code gets too large."""
+    r = EARTH_RADIUS_M
+    clip = lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
+    df = df.withColumns({
+        "length_m": haversine_m(lat1, lon1, lat2, lon2), "_start": haversine_m(lat, lon, lat1, lon1), "_end": haversine_m(lat, lon, lat2, lon2),
+        "bearing_deg": initial_bearing_deg(lat1, lon1, lat2, lon2), "_to": initial_bearing_deg(lat1, lon1, lat, lon),
+    })
+    df = df.withColumns({"_d": F.col("_start") / r, "_turn": F.radians(F.col("_to") - F.col("bearing_deg"))})
+    df = df.withColumn("_x", F.asin(clip(F.sin("_d") * F.sin("_turn"))))
+    ahead = F.acos(clip(F.cos("_d") / F.cos("_x"))) * F.when(F.cos("_turn") < 0, -r).otherwise(r)
+    df = df.withColumn("_a", F.when((F.col("length_m") == 0) | (F.col("_start") == 0) | (F.abs(F.cos("_x")) < 1e-15), F.lit(0.0)).otherwise(ahead))
+    df = df.withColumns({
+        "distance_m": F.when(F.col("_a") <= 0, F.col("_start")).when(F.col("_a") >= F.col("length_m"), F.col("_end")).otherwise(F.abs("_x") * r),
+        "along_m": F.greatest(F.lit(0.0), F.least("_a", "length_m")),
+    })
+    return df.withColumn("fraction", F.when(F.col("length_m") == 0, F.lit(0.0)).otherwise(F.col("along_m") / F.col("length_m"))).drop("_start", "_end", "_to", "_d", "_turn", "_x", "_a")
+
+
 def project_onto_segment(lat, lon, lat1, lon1, lat2, lon2) -> Column:
-    """struct(lat, lon, distance_m, along_m, fraction) of the nearest point of a segment; the foot is clamped to
-    its ends, and a segment without length is its start."""
+    """struct(distance_m, along_m, fraction) as one expression; see with_projection for many rows."""
     lat, lon, lat1, lon1, lat2, lon2 = map(_c, (lat, lon, lat1, lon1, lat2, lon2))
-    length = haversine_m(lat1, lon1, lat2, lon2)
-    at_start = haversine_m(lat, lon, lat1, lon1)
-    degenerate = (length == 0.0) | (at_start == 0.0)
-    raw = F.when(degenerate, F.lit(0.0)).otherwise(along_track(lat, lon, lat1, lon1, lat2, lon2))
-    along = F.greatest(F.lit(0.0), F.least(raw, length))
-    f = F.when(length == 0.0, F.lit(0.0)).otherwise(along / length)
-    foot = destination_point(lat1, lon1, initial_bearing_deg(lat1, lon1, lat2, lon2), along)
-    f_lat = F.when(f <= 0.0, lat1).when(f >= 1.0, lat2).otherwise(foot["lat"])
-    f_lon = F.when(f <= 0.0, lon1).when(f >= 1.0, lon2).otherwise(foot["lon"])
-    return F.struct(
-        f_lat.alias("lat"),
-        f_lon.alias("lon"),
-        haversine_m(lat, lon, f_lat, f_lon).alias("distance_m"),
-        along.alias("along_m"),
-        f.alias("fraction"),
-    )
+    length, at_start = haversine_m(lat1, lon1, lat2, lon2), haversine_m(lat, lon, lat1, lon1)
+    along = F.when((length == 0.0) | (at_start == 0.0), F.lit(0.0)).otherwise(along_track(lat, lon, lat1, lon1, lat2, lon2))
+    distance = F.when(along <= 0, at_start).when(along >= length, haversine_m(lat, lon, lat2, lon2)).otherwise(cross_track_distance_m(lat, lon, lat1, lon1, lat2, lon2))
+    kept = F.greatest(F.lit(0.0), F.least(along, length))
+    return F.struct(distance.alias("distance_m"), kept.alias("along_m"), F.when(length == 0.0, F.lit(0.0)).otherwise(kept / length).alias("fraction"))
 
 
 def point_to_segment_distance_m(lat, lon, lat1, lon1, lat2, lon2) -> Column:

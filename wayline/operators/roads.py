@@ -84,17 +84,17 @@ def match_points(points: DataFrame, segments: DataFrame, config: MatchingConfig
     radius = F.least(F.lit(c.max_distance_m), F.greatest(F.lit(c.min_radius_m), F.coalesce("uncertainty_m", F.lit(0.0)) * c.uncertainty_multiplier))
     near = points.select("point_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "heading_deg", geo.bounding_box("lat", "lon", radius).alias("box"))
     near = _cells(near, F.col("box.min_lat"), F.col("box.min_lon"), F.col("box.max_lat"), F.col("box.max_lon")).drop("box")
-    roads = with_geometry(segments)
+    roads = segments.select("segment_id", "way_id", "name", "oneway", "a_lat", "a_lon", "b_lat", "b_lon")
     if c.require_named:
         roads = roads.where("coalesce(name, '') <> ''")
     roads = _cells(roads, F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
     # a point's box touches one to four cells: the same candidate may come from several of them
     met = near.join(roads, ["cell_lat", "cell_lon"])
-    foot = geo.project_onto_segment("p_lat", "p_lon", "a_lat", "a_lon", "b_lat", "b_lon")
-    met = met.withColumn("foot", foot).where(F.col("foot.distance_m") <= c.max_distance_m)
+    ends = ("a_lat", "a_lon", "b_lat", "b_lon")
+    met = geo.with_projection(met, "p_lat", "p_lon", *ends).where(F.col("distance_m") <= c.max_distance_m)
     met = met.withColumn("delta", heading_delta(F.col("heading_deg"), F.col("bearing_deg"), F.col("oneway"))).withColumn("wrong", F.coalesce(F.col("delta") > c.max_heading_deg, F.lit(False)))
-    score = F.col("foot.distance_m") + F.coalesce(F.col("delta") * c.penalty_m_per_deg, F.lit(0.0))
-    cand = F.struct(score.alias("score"), "segment_id", "way_id", "name", street_key(F.col("name"), F.col("way_id")).alias("street"), F.col("foot.lat").alias("lat"), F.col("foot.lon").alias("lon"), F.col("foot.distance_m").alias("distance_m"), "delta")
+    score = F.col("distance_m") + F.coalesce(F.col("delta") * c.penalty_m_per_deg, F.lit(0.0))
+    cand = F.struct(score.alias("score"), "segment_id", "way_id", "name", "distance_m", "delta", "along_m", "fraction", "bearing_deg", *ends)
     # the best of each street, then the best two streets: only aggregates, nothing is collected
     streets = met.groupBy("point_id", street_key(F.col("name"), F.col("way_id")).alias("street")).agg(F.min(F.when(~F.col("wrong"), cand)).alias("best"), F.bool_or("wrong").alias("wrong"))
     w = Window.partitionBy("point_id").orderBy(F.col("best.score").asc_nulls_last(), "best.segment_id")
@@ -107,9 +107,11 @@ def match_points(points: DataFrame, segments: DataFrame, config: MatchingConfig
     out = out.withColumn("reason", reason)
     ok = F.col("reason") == "matched"
     take = lambda x: F.when(ok, x)
+    # the foot of the winner only
+    out = out.withColumn("foot", F.when(ok & (b["fraction"] > 0) & (b["fraction"] < 1), geo.destination_point(b["a_lat"], b["a_lon"], b["bearing_deg"], b["along_m"])))
+    foot = lambda k: F.coalesce(F.col("foot")[k], F.when(ok & (b["fraction"] >= 1), b[f"b_{k}"]), take(b[f"a_{k}"]), F.col(k))
     return out.select(
-        "point_id", "reason", take(b["segment_id"]).alias("segment_id"), take(b["way_id"]).alias("way_id"), take(b["name"]).alias("name"),
-        F.when(ok, b["lat"]).otherwise(F.col("lat")).alias("lat"), F.when(ok, b["lon"]).otherwise(F.col("lon")).alias("lon"),
+        "point_id", "reason", take(b["segment_id"]).alias("segment_id"), take(b["way_id"]).alias("way_id"), take(b["name"]).alias("name"), foot("lat").alias("lat"), foot("lon").alias("lon"),
         take(F.round(b["distance_m"], 3)).alias("match_distance_m"), take(F.round(b["delta"], 2)).alias("heading_delta_deg"),
         F.when(ok, F.round(F.greatest("uncertainty_m", b["distance_m"]), 3)).otherwise(F.col("uncertainty_m")).alias("uncertainty_m"),
     )

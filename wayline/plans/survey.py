@@ -131,12 +131,12 @@ def filter_detections(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT detection_id, min(round(greatest(0e0, x1 - (x2 - x1) * 0.15e0), 2)) AS x1, min(round(greatest(0e0, y1 - (y2 - y1) * 0.15e0), 2)) AS y1, min(round(least(1920e0, x2 + (x2 - x1) * 0.15e0), 2)) AS x2, min(round(least(1080e0, y2 + (y2 - y1) * 0.15e0), 2)) AS y2
+    SELECT detection_id, min(round(greatest(0e0, x1 - (x2 - x1) * 0.15e0), 4)) AS x1, min(round(greatest(0e0, y1 - (y2 - y1) * 0.15e0), 4)) AS y1, min(round(least(1920e0, x2 + (x2 - x1) * 0.15e0), 4)) AS x2, min(round(least(1080e0, y2 + (y2 - y1) * 0.15e0), 4)) AS y2
     FROM detections GROUP BY 1""")
 def geo_expanded_region(spark: SparkSession, d: str) -> DataFrame:
     """G16."""
     e = table(spark, d, "detections").select("detection_id", geo.expanded_region("x1", "y1", "x2", "y2", 0.15, 1920, 1080).alias("r"))
-    return e.groupBy("detection_id").agg(*[F.min(F.round(f"r.{k}", 2)).alias(k) for k in ("x1", "y1", "x2", "y2")])
+    return e.groupBy("detection_id").agg(*[F.min(F.round(f"r.{k}", 4)).alias(k) for k in ("x1", "y1", "x2", "y2")])
 
 
 @query(f"""SELECT CAST(floor(lat / 0.005e0) AS BIGINT) AS cell_lat, CAST(floor(lon / 0.005e0) AS BIGINT) AS cell_lon, count(*) AS n FROM location_records WHERE {GOOD_FIX} GROUP BY 1, 2""")
@@ -233,20 +233,20 @@ def track_distance(spark: SparkSession, d: str) -> DataFrame:
 _LOCATE = _CLEAN + f""",
     z AS (SELECT survey_id, min(t) AS t0, max(t) AS t1 FROM k GROUP BY 1),
     q AS (SELECT f.frame_id, f.survey_id, f.t_epoch_ms AS t, z.t0, z.t1 FROM frames f JOIN z ON f.survey_id = z.survey_id),
-    a AS (SELECT q.*, x.t AS at, x.lat AS alat, x.lon AS alon, x.accuracy_m AS aacc, x.speed_mps AS aspd, x.heading_deg AS ahdg FROM q ASOF LEFT JOIN k x ON q.survey_id = x.survey_id AND q.t > x.t),
+    a AS (SELECT q.*, x.t AS a_t, x.lat AS alat, x.lon AS alon, x.accuracy_m AS aacc, x.speed_mps AS aspd, x.heading_deg AS ahdg FROM q ASOF LEFT JOIN k x ON q.survey_id = x.survey_id AND q.t > x.t),
     b AS (SELECT a.*, y.t AS bt, y.lat AS blat, y.lon AS blon, y.accuracy_m AS bacc, y.speed_mps AS bspd, y.heading_deg AS bhdg FROM a ASOF LEFT JOIN k y ON a.survey_id = y.survey_id AND a.t <= y.t),
-    c AS (SELECT b.*, e.lat AS clat, e.lon AS clon, e.accuracy_m AS cacc, e.speed_mps AS cspd, abs(e.t - b.t) / 1000e0 AS drift, (b.t - at) / (bt - at)::DOUBLE AS al, (bt - at) / 1000e0 AS span, {hav("alat", "alon", "blat", "blon")} AS sep
+    c AS (SELECT b.*, e.lat AS clat, e.lon AS clon, e.accuracy_m AS cacc, e.speed_mps AS cspd, abs(e.t - b.t) / 1000e0 AS drift, (b.t - a_t) / CAST(bt - a_t AS DOUBLE) AS al, (bt - a_t) / 1000e0 AS span, {hav("alat", "alon", "blat", "blon")} AS sep
         FROM b LEFT JOIN k e ON b.survey_id = e.survey_id AND e.t = CASE WHEN b.t <= b.t0 THEN b.t0 WHEN b.t >= b.t1 THEN b.t1 END)
 """
 
 
 @query(_LOCATE + """SELECT frame_id, round(coalesce(clat, alat + (blat - alat) * al), 6) AS lat, round(coalesce(clon, alon + (blon - alon) * al), 6) AS lon, CASE WHEN clat IS NULL THEN 'interpolated_phone_gps' ELSE 'phone_gps' END AS method,
-    round(CASE WHEN clat IS NULL THEN coalesce(aacc, 10) + (coalesce(bacc, 10) - coalesce(aacc, 10)) * al + 0.25 * sep * 4 * al * (1 - al) ELSE coalesce(cacc, 10) + CASE WHEN coalesce(cspd, 0) = 0 THEN 13.9e0 ELSE cspd END * drift END, 2) AS uncertainty_m,
+    round(CASE WHEN clat IS NULL THEN coalesce(aacc, 10) + (coalesce(bacc, 10) - coalesce(aacc, 10)) * al + 0.25 * sep * 4 * al * (1 - al) ELSE coalesce(cacc, 10) + CASE WHEN coalesce(cspd, 0) = 0 THEN 13.9e0 ELSE cspd END * drift END, 3) AS uncertainty_m,
     round(CASE WHEN clat IS NULL THEN span ELSE drift END, 3) AS gap_s, CASE WHEN clat IS NULL THEN span <= 10 ELSE drift <= 1 END AS is_trustworthy FROM c""")
 def track_locate(spark: SparkSession, d: str) -> DataFrame:
     """The place of every frame."""
     at = track.locate(track.clean_track(table(spark, d, "location_records")), table(spark, d, "frames").select("frame_id", "survey_id", F.col("t_epoch_ms").alias("t")), "frame_id")
-    return at.select("frame_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "method", F.round("uncertainty_m", 2).alias("uncertainty_m"), F.round("gap_s", 3).alias("gap_s"), "is_trustworthy")
+    return at.select("frame_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "method", F.round("uncertainty_m", 3).alias("uncertainty_m"), F.round("gap_s", 3).alias("gap_s"), "is_trustworthy")
 
 
 @query("""
@@ -298,13 +298,13 @@ def tracking_greedy(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     WITH d AS (SELECT x.survey_id, x.track_id, x.detection_id, f.t_epoch_ms AS t, f.frame_id, x.confidence, row_number() OVER (PARTITION BY x.detection_id ORDER BY x.ingested_at, x.frame_id) AS rn FROM detections x JOIN frames f ON f.frame_id = x.frame_id WHERE x.track_id IS NOT NULL)
-    SELECT survey_id, track_id, count(*) AS n_detections, min(t) AS first_t, max(t) AS last_t, arg_min(frame_id, (t, detection_id)) AS first_frame_id, arg_max(frame_id, (t, detection_id)) AS last_frame_id, max(confidence) AS max_confidence, round(avg(confidence), 4) AS mean_confidence,
+    SELECT survey_id, track_id, count(*) AS n_detections, min(t) AS first_t, max(t) AS last_t, arg_min(frame_id, (t, detection_id)) AS first_frame_id, arg_max(frame_id, (t, detection_id)) AS last_frame_id, max(confidence) AS max_confidence, round(avg(confidence), 8) AS mean_confidence,
         arg_min(detection_id, (-confidence, t, detection_id)) AS best_detection_id FROM d WHERE rn = 1 GROUP BY 1, 2""")
 def tracking_summary(spark: SparkSession, d: str) -> DataFrame:
     """K3, K4, W2, J5."""
     x = table(spark, d, "detections").where("track_id is not null").groupBy("detection_id").agg(F.min_by(F.struct("survey_id", "track_id", "frame_id", "confidence"), F.struct("ingested_at", "frame_id")).alias("s")).select("detection_id", "s.*")
     rows = x.join(table(spark, d, "frames").select("frame_id", "t_epoch_ms"), "frame_id")
-    return tracking.summarize_tracks(rows, ["survey_id", "track_id"]).withColumn("mean_confidence", F.round("mean_confidence", 4))
+    return tracking.summarize_tracks(rows, ["survey_id", "track_id"]).withColumn("mean_confidence", F.round("mean_confidence", 8))
 
 
 @query()
@@ -366,11 +366,11 @@ def match_sql(points: str, heading: str) -> str:
 _POINTS = f"SELECT defect_id AS point_id, lat, lon, uncertainty_m FROM ({DEFECTS}) d1"
 
 
-@query(f"WITH {match_sql(_POINTS, 'NULL::DOUBLE')} SELECT point_id, reason, CASE WHEN reason = 'matched' THEN way_id END AS way_id, CASE WHEN reason = 'matched' THEN round(dist, 2) END AS match_distance_m FROM matched")
+@query(f"WITH {match_sql(_POINTS, 'NULL::DOUBLE')} SELECT point_id, reason, CASE WHEN reason = 'matched' THEN way_id END AS way_id, CASE WHEN reason = 'matched' THEN round(dist, 3) END AS match_distance_m FROM matched")
 def roads_match(spark: SparkSession, d: str) -> DataFrame:
     """M1, M2, M3, M4, M6, G9."""
     p = _defects(spark, d).select(F.col("defect_id").alias("point_id"), "lat", "lon", "uncertainty_m", F.lit(None).cast("double").alias("heading_deg"))
-    return roads.match_points(p, _segments(spark, d)).select("point_id", "reason", "way_id", F.round("match_distance_m", 2).alias("match_distance_m"))
+    return roads.match_points(p, _segments(spark, d)).select("point_id", "reason", "way_id", "match_distance_m")
 
 
 _DRIVEN_POINTS = f"SELECT frame_id AS point_id, lat, lon, uncertainty_m, heading_deg FROM ({DRIVEN}) d2"
@@ -542,7 +542,7 @@ def store_orphans(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN NOT coalesce(obs_lat IS NULL OR (obs_lat BETWEEN -90 AND 90 AND NOT isnan(obs_lat)), FALSE) THEN 'lat_range' END, CASE WHEN NOT coalesce(obs_lon IS NULL OR (obs_lon BETWEEN -180 AND 180 AND NOT isnan(obs_lon)), FALSE) THEN 'lon_range' END,
-        CASE WHEN NOT coalesce(video_time_s >= 0, FALSE) THEN 'negative_time' END, CASE WHEN NOT coalesce(quality IN ('accepted', 'degraded', 'rejected'), FALSE) THEN 'unknown_quality' END], x -> x IS NOT NULL)) AS rule FROM frames) GROUP BY 1""")
+        CASE WHEN NOT coalesce(video_time_s >= 0, FALSE) THEN 'negative_time' END, CASE WHEN NOT coalesce(quality IN ('accepted', 'degraded', 'rejected'), FALSE) THEN 'unknown_quality' END], lambda x: x IS NOT NULL)) AS rule FROM frames) GROUP BY 1""")
 def store_validate(spark: SparkSession, d: str) -> DataFrame:
     """Rows that break a rule."""
     return schema.validate(table(spark, d, "frames"), "frames").select(F.explode("violations").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))

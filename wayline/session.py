@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder, its lineage cut; survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written as a table to the checkpoint folder and read back: lineage cut, kept through the loss of executors.
+
+    A table rather than DataFrame.checkpoint(), whose result inherits the estimated size of its plan: a join's estimate
+    is the product of its sides', so that it squares with every self-join of a loop until its digits fill the driver.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/wayline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
