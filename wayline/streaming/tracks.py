@@ -35,10 +35,10 @@ def latest_state(log: DataFrame, key: str, at: str, attributes: list[str]) -> Da
     return log.groupBy(key).agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(at))).alias(c) for c in attributes], F.max(at).alias("last_at"))
 
 
-def track_stream(frames: DataFrame, config: TrackingConfig = TrackingConfig(), idle_ms: int = 3_600_000) -> DataFrame:
+def track_stream(frames: DataFrame, config: TrackingConfig = TrackingConfig(), idle_ms: int | None = None) -> DataFrame:
     """(survey_id, frame_id, detection_id, track_no) of a stream of frames (survey_id, frame_id, t_epoch_ms, boxes
-    array<struct<detection_id, damage_class, x1, y1, x2, y2>>). The open tracks of a survey are its state; it ends when
-    no frame has come for idle_ms. Frames of a micro-batch are put in order of time; a frame that is older than the
+    array<struct<detection_id, damage_class, x1, y1, x2, y2>>). The open tracks of a survey are its state; with idle_ms
+    it ends when no frame has come for that long (the query then never runs out of batches by itself). Frames of a micro-batch are put in order of time; a frame that is older than the
     last one of an earlier batch can't be tracked any more and is left out."""
     out = "survey_id string, frame_id string, detection_id string, track_no long"
 
@@ -58,7 +58,8 @@ def track_stream(frames: DataFrame, config: TrackingConfig = TrackingConfig(), i
             nos = tracker.frame(last, [(b["damage_class"], b["x1"], b["y1"], b["x2"], b["y2"]) for b in boxes])
             rows += [(key[0], r.frame_id, b["detection_id"], n) for b, n in zip(boxes, nos)]
         state.update((json.dumps({**tracker.state(), "last": last}),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=[f.split()[0] for f in out.split(", ")])
 
-    return frames.groupBy("survey_id").applyInPandasWithState(step, out, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return frames.groupBy("survey_id").applyInPandasWithState(step, out, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
