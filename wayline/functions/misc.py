@@ -31,6 +31,25 @@ def padded_id(prefix: str, n: Column, width: int = 5) -> Column:
     return F.format_string(f"{prefix}%0{width}d", n)
 
 
+def canonical(name: Column) -> Column:
+    """Lower case, blanks of any kind collapsed and trimmed; null if nothing is left."""
+    s = F.trim(F.regexp_replace(F.lower(name.cast("string")), r"[\s_\-]+", " "))
+    return F.when(s != "", s)
+
+
+def picture_place(image_id: Column, country: Column, index: Column) -> tuple[Column, Column]:
+    """The canonical country and the index of a picture; what is missing is read from the start of the id
+    (country_index...), and null if that doesn't tell it either."""
+    parsed = r"^\s*(.+?)_(\d+)"
+    told = F.regexp_extract(image_id, parsed, 2)
+    return F.coalesce(canonical(country), canonical(F.regexp_extract(image_id, parsed, 1))), F.coalesce(index.cast("long"), F.when(told != "", told.try_cast("long")))
+
+
+def country_name(canon: Column) -> Column:
+    """A canonical country as it is shown: 'Norvia', and 'unknown' for null."""
+    return F.coalesce(F.concat(F.upper(F.substring(canon, 1, 1)), F.substring(canon, 2, 1 << 30)), F.lit("unknown"))
+
+
 def safe_name(name: Column) -> Column:
     return name.rlike(r"^[A-Za-z0-9._-]+$")
 

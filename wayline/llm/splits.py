@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayline.functions.misc import canonical, picture_place  # noqa: F401
 from wayline.session import checkpoint
 
 
@@ -58,12 +59,6 @@ def star_components(edges: DataFrame, u: str = "u", v: str = "v", most_rounds: i
     return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def canonical(name: Column) -> Column:
-    """Lower case, blanks of any kind collapsed and trimmed; null if nothing is left."""
-    s = F.trim(F.regexp_replace(F.lower(name.cast("string")), r"[\s_\-]+", " "))
-    return F.when(s != "", s)
-
-
 def picture_groups(images: DataFrame, id_col: str = "image_id", country: str = "country", index: str = "image_index", reach: int = 10) -> DataFrame:
     """(image_id, group_image_id): each distinct id once with the smallest id of its group.
 
@@ -72,18 +67,9 @@ def picture_groups(images: DataFrame, id_col: str = "image_id", country: str = "
     from the start of the id (country_index...); an image that tells neither way is its own group, rows without an id
     are left out. An id with several rows joins the groups of all of them. No rows give no rows.
     """
-    parsed = r"^\s*(.+?)_(\d+)"
     ids = F.col(id_col).cast("string")
-    told = F.regexp_extract(ids, parsed, 2)
-    rows = (
-        images.where(F.col(id_col).isNotNull())
-        .select(
-            ids.alias("image_id"),
-            F.coalesce(canonical(F.col(country)), canonical(F.regexp_extract(ids, parsed, 1))).alias("c"),
-            F.coalesce(F.col(index).cast("long"), F.when(told != "", told.try_cast("long"))).alias("i"),
-        )
-        .distinct()
-    )
+    c, i = picture_place(ids, F.col(country), F.col(index))
+    rows = images.where(F.col(id_col).isNotNull()).select(ids.alias("image_id"), c.alias("c"), i.alias("i")).distinct()
     placed = F.col("c").isNotNull() & F.col("i").isNotNull()
     rows = rows.withColumn("k", F.floor(F.col("i") / (reach + 1)).cast("long"))
     # a node is a window (country|k) or an image that has no place
