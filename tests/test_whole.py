@@ -1,5 +1,7 @@
 """Queries keep every row that tells where it belongs."""
 
+from pyspark.sql import functions as F
+
 from wayline.plans import survey
 
 
@@ -14,3 +16,19 @@ def test_manifest_counts_every_image(spark, tmp_path):
     rows = [("Norvia_001", "Norvia", 1, one), ("Norvia_001", "Norvia", 1, one), ("Norvia_002", None, 2, one), ("Norvia_003", " NORVIA\t", 3, []), ("norvia_4", "norvia", None, one * 2), ("Quorra_1-copy", None, None, []), ("odd", None, None, one)]
     got = {r.country: (r.n_images, r.n_negative, r.n_boxes) for r in survey.split_manifest(spark, annotations(spark, tmp_path, rows)).collect()}
     assert got == {"Norvia": (4, 1, 4), "Quorra": (1, 1, 0), "unknown": (1, 0, 1)}
+
+
+def test_recordings_that_were_never_closed_are_sampled(spark, tmp_path):
+    t0, d = 1_787_049_731_000, str(tmp_path)
+    rows = [("closed", t0, 0, 10), ("fixes", t0, 0, None), ("frames", t0, 0, None), ("early", t0 + 99_000, 0, None), ("nothing", t0, 0, None)]
+    s = spark.createDataFrame(rows, "survey_id string, recording_start_epoch_ms long, a long, b long")
+    s.select("survey_id", "recording_start_epoch_ms", F.timestamp_seconds("a").alias("started_at"), F.timestamp_seconds("b").alias("ended_at")).write.parquet(f"{d}/surveys.parquet")
+    fixes = [(f"{k}{i}", k, t0 + i * 1000, 40.0, 44.0 + i * 0.000118, 5.0, 10.0, 90.0) for k in ("closed", "fixes", "early") for i in range(21)]
+    fixes += [("poor", "fixes", t0 + 60_000, 40.0, 44.0, 99.0, None, None), ("poor2", "frames", t0 + 60_000, None, 44.0, 5.0, None, None)]
+    spark.createDataFrame(fixes, "record_id string, survey_id string, t long, lat double, lon double, accuracy_m double, speed_mps double, heading_deg double").write.parquet(f"{d}/location_records.parquet")
+    frames = [("f1", "fixes", t0 + 90_000), ("f2", "frames", t0 + 5000), ("f3", "frames", t0 + 4000)]
+    spark.createDataFrame(frames, "frame_id string, survey_id string, t_epoch_ms long").write.parquet(f"{d}/frames.parquet")
+    even = {r.survey_id: r["count"] for r in survey.sample_fixed_interval(spark, d).groupBy("survey_id").count().collect()}
+    assert even == {"closed": 21, "fixes": 41, "frames": 11, "early": 1}
+    spaced = {r.survey_id: (r.n, r.last) for r in survey.sample_by_distance(spark, d).groupBy("survey_id").agg(F.count("*").alias("n"), F.max("t_epoch_ms").alias("last")).collect()}
+    assert set(spaced) == set(even) and spaced["closed"][1] == t0 + 10_000 and spaced["fixes"][1] == t0 + 20_000

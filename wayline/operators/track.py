@@ -125,6 +125,18 @@ class SamplingConfig:
     max_frames: int | None = None
 
 
+def durations(surveys: DataFrame, fixes: DataFrame, frames: DataFrame, config: TrackConfig = TrackConfig()) -> DataFrame:
+    """(survey_id, recording_start_epoch_ms, duration_s): from started_at to ended_at. A recording that was never closed
+    lasts from its start to its last kept fix, without one to its last frame; null if it has neither."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    kept = fixes.where(drop_reason(config=config).isNull()).select("survey_id", F.col("t").alias("fix_t"), F.lit(None).cast("long").alias("frame_t"))
+    seen = kept.unionByName(frames.select("survey_id", F.lit(None).cast("long").alias("fix_t"), F.col("t_epoch_ms").alias("frame_t")))
+    last = seen.groupBy("survey_id").agg(F.coalesce(F.max("fix_t"), F.max("frame_t")).alias("last_t"))
+    span = F.greatest((F.col("last_t") - F.col("recording_start_epoch_ms")) / 1000.0, F.when(F.col("last_t").isNotNull(), F.lit(0.0)))
+    duration = F.when(F.col("ended_at").isNotNull(), (micros("ended_at") - micros("started_at")) / 1e6).otherwise(span)
+    return surveys.join(last, "survey_id", "left").select("survey_id", "recording_start_epoch_ms", duration.alias("duration_s"))
+
+
 def time_grid(surveys: DataFrame, step_s: float, max_frames: int | None = None) -> DataFrame:
     """(survey_id, index, video_time_s, t_epoch_ms): a frame time every step_s from 0 to duration_s. Needs survey_id,
     recording_start_epoch_ms and duration_s."""

@@ -255,18 +255,17 @@ def track_locate(spark: SparkSession, d: str) -> DataFrame:
     SELECT survey_id, i AS index, round(i * 0.5e0, 6) AS video_time_s, CAST(r + i * 500 AS BIGINT) AS t_epoch_ms FROM g""")
 def sample_fixed_interval(spark: SparkSession, d: str) -> DataFrame:
     """S1, S2."""
-    return track.sampling_plan(_closed(spark, d), None, track.SamplingConfig(mode="fixed_interval")).drop("distance_from_previous_m")
+    return track.sampling_plan(_recorded(spark, d), None, track.SamplingConfig(mode="fixed_interval")).drop("distance_from_previous_m")
 
 
-def _closed(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "surveys").where("ended_at is not null")
-    return s.select("survey_id", "recording_start_epoch_ms", ((F.unix_micros(F.col("ended_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6).alias("duration_s"))
+def _recorded(spark: SparkSession, d: str) -> DataFrame:
+    return track.durations(table(spark, d, "surveys"), table(spark, d, "location_records"), table(spark, d, "frames"))
 
 
 @query()
 def sample_by_distance(spark: SparkSession, d: str) -> DataFrame:
     """S3, S4."""
-    return track.sampling_plan(_closed(spark, d), track.clean_track(table(spark, d, "location_records")))
+    return track.sampling_plan(_recorded(spark, d), track.clean_track(table(spark, d, "location_records")))
 
 
 # --- quality
