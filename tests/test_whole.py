@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from wayline.operators import training
 from wayline.plans import survey
 
 
@@ -32,3 +33,15 @@ def test_recordings_that_were_never_closed_are_sampled(spark, tmp_path):
     assert even == {"closed": 21, "fixes": 41, "frames": 11, "early": 1}
     spaced = {r.survey_id: (r.n, r.last) for r in survey.sample_by_distance(spark, d).groupBy("survey_id").agg(F.count("*").alias("n"), F.max("t_epoch_ms").alias("last")).collect()}
     assert set(spaced) == set(even) and spaced["closed"][1] == t0 + 10_000 and spaced["fixes"][1] == t0 + 20_000
+
+
+def test_contiguous_splits_keep_every_image_in_its_country(spark, tmp_path):
+    rows = [(f"Norvia_{i:03d}", ("Norvia", " NORVIA", None)[i % 3], None if i % 5 == 0 else i, []) for i in range(25)] + [("odd", None, None, [])]
+    got = {r.image_id: (r.country, r.split) for r in survey.split_contiguous(spark, annotations(spark, tmp_path, rows)).collect()}
+    assert got == {f"Norvia_{i:03d}": ("Norvia", "train" if i < 17 else "val" if i < 21 else "test") for i in range(25)} | {"odd": ("unknown", "test")}
+
+
+def test_validation_ends_where_train_and_validation_do(spark):
+    for n, end in ((5, 4), (25, 21), (319, 271)):
+        f = spark.range(n).select(F.format_string("s%03d", "id").alias("survey_id"))
+        assert training.survey_splits(f).where("split <> 'test'").count() == end

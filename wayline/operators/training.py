@@ -14,18 +14,20 @@ def _check(train: float, val: float) -> None:
         raise ValueError("fractions must leave something for training and for test")
 
 
-def _split(rank, n, train: float, val: float, least: int = 0):
+def _split(rank, n, train: float, val: float, least: int = 0, joint: bool = True):
     a = F.greatest(F.floor(n * train), F.lit(least))
-    return F.when(rank < a, NAMES[0]).when(rank < a + F.floor(n * val), NAMES[1]).otherwise(NAMES[2])
+    b = F.greatest(a, F.floor(n * (train + val))) if joint else a + F.floor(n * val)
+    return F.when(rank < a, NAMES[0]).when(rank < b, NAMES[1]).otherwise(NAMES[2])
 
 
-def contiguous_splits(images: DataFrame, group: str, order: list[str], train: float = 0.7, val: float = 0.15) -> DataFrame:
+def contiguous_splits(images: DataFrame, group: str, order: list[str], train: float = 0.7, val: float = 0.15, joint: bool = False) -> DataFrame:
     """images with `split`: in each group the first part of the order trains, the next validates, the rest tests, so
-    that neighbours in the numbering stay together. Ranks are row numbers in the group; the sort spills."""
+    that neighbours in the numbering stay together. Ranks are row numbers in the group; the sort spills. With `joint` validation
+    ends at floor(n * (train + val)), as in the reference, else at floor(n * train) + floor(n * val)."""
     _check(train, val)
     w = Window.partitionBy(group)
     rank = F.row_number().over(w.orderBy(*order)) - 1
-    return images.withColumns({"_rank": rank, "_n": F.count("*").over(w)}).withColumn("split", _split(F.col("_rank"), F.col("_n"), train, val)).drop("_rank", "_n")
+    return images.withColumns({"_rank": rank, "_n": F.count("*").over(w)}).withColumn("split", _split(F.col("_rank"), F.col("_n"), train, val, joint=joint)).drop("_rank", "_n")
 
 
 def survey_splits(frames: DataFrame, train: float = 0.7, val: float = 0.15) -> DataFrame:

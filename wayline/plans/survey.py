@@ -583,9 +583,11 @@ def eval_scores(spark: SparkSession, d: str) -> DataFrame:
     r AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY image_index, image_id) - 1 AS rn, count(*) OVER (PARTITION BY country) AS n FROM a)
     SELECT image_id, country, CASE WHEN rn < floor(n * 0.7e0) THEN 'train' WHEN rn < floor(n * 0.7e0) + floor(n * 0.15e0) THEN 'val' ELSE 'test' END AS split FROM r""")
 def split_contiguous(spark: SparkSession, d: str) -> DataFrame:
-    """One block of the numbering for each split, by country."""
-    a = table(spark, d, "annotations").select("image_id", "country", "image_index").where("country is not null and image_index is not null").distinct()
-    return training.contiguous_splits(a, "country", ["image_index", "image_id"]).select("image_id", "country", "split")
+    """One block of the numbering for each split, by country in any spelling. Country and index are read from
+    the id where they are missing; an image that tells neither way is of country 'unknown', at index 0."""
+    c, i = misc.picture_place(F.col("image_id"), F.col("country"), F.col("image_index"))
+    a = table(spark, d, "annotations").groupBy("image_id").agg(F.min(misc.country_name(c)).alias("country"), F.coalesce(F.min(i), F.lit(0).cast("long")).alias("image_index"))
+    return training.contiguous_splits(a, "country", ["image_index", "image_id"], joint=True).select("image_id", "country", "split")
 
 
 @query("""
