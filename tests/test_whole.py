@@ -45,3 +45,16 @@ def test_validation_ends_where_train_and_validation_do(spark):
     for n, end in ((5, 4), (25, 21), (319, 271)):
         f = spark.range(n).select(F.format_string("s%03d", "id").alias("survey_id"))
         assert training.survey_splits(f).where("split <> 'test'").count() == end
+
+
+def test_labels_of_one_class_share_tracks_and_defects(spark, tmp_path):
+    d, t0 = str(tmp_path), 1_787_049_731_000
+    labels = ["pothole", "Pothole", "pothole ", "D40", "d40", "POTHOLE\t"]
+    frames = [(f"f{i}", "s", t0 + i * 500, 1920, 1080, "accepted") for i in range(len(labels))]
+    spark.createDataFrame(frames, "frame_id string, survey_id string, t_epoch_ms long, width int, height int, quality string").write.parquet(f"{d}/frames.parquet")
+    boxes = [(f"d{i}", f"f{i}", c, 0.9, 900.0, 700.0, 1000.0, 800.0) for i, c in enumerate(labels)]
+    spark.createDataFrame(boxes, "detection_id string, frame_id string, damage_class string, confidence double, x1 double, y1 double, x2 double, y2 double").write.parquet(f"{d}/detections.parquet")
+    fixes = [(f"r{i}", "s", t0 + i * 1000, 40.0, 44.0, 5.0, 0.0, 90.0) for i in range(5)]
+    spark.createDataFrame(fixes, "record_id string, survey_id string, t long, lat double, lon double, accuracy_m double, speed_mps double, heading_deg double").write.parquet(f"{d}/location_records.parquet")
+    assert {r.track_no for r in survey.tracking_greedy(spark, d).collect()} == {1}
+    assert [(r.damage_class, r.observation_count) for r in survey.process_defects(spark, d).collect()] == [("pothole", 1)]

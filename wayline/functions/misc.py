@@ -59,6 +59,12 @@ def rdd_class(code: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in RDD_CODES.items() for x in kv]), code)
 
 
+def damage_class(label: Column) -> Column:
+    """The class behind a label in any spelling, or its RDD code."""
+    s = F.regexp_replace(F.trim(F.regexp_replace(F.lower(label.cast("string")), r"[\s_\-]+", " ")), " ", "_")
+    return F.coalesce(rdd_class(F.upper(s)), s)
+
+
 def stable_unit(*parts: Column) -> Column:
     """A number in [0, 1) that depends on the parts only."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long") / float(1 << 32)

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wayline.functions.misc import damage_class  # noqa: F401
+
 RUN = "entity string, value string, first_id string, last_id string, t0 long, t1 long, n long, opens boolean, closes boolean, part int"
 _TYPES = [pa.string()] * 4 + [pa.int64()] * 3 + [pa.bool_(), pa.bool_(), pa.int32()]
 
@@ -115,16 +117,3 @@ def collapse_runs(events: DataFrame, entity: list[str], t: str, id_col: str, val
     every = (edge.where("whole").select(*fields)).unionByName(joined.select(*fields)) if not tol else edge.select(*fields)
     parts = F.split("entity", sep)
     return every.select(*[parts[k].alias(c) for k, c in enumerate(entity)], *fields[1:], (F.col("t1") - F.col("t0")).alias("duration"))
-
-
-#: RDD codes of the damage classes, fixed values.
-DAMAGE_CODES = {"d00": "longitudinal_crack", "d10": "transverse_crack", "d20": "alligator_crack", "d40": "pothole"}
-
-
-def damage_class(label: Column) -> Column:
-    """The class behind a label in any spelling, or its RDD code."""
-    s = F.regexp_replace(F.trim(F.regexp_replace(F.lower(label.cast("string")), r"[\s_\-]+", " ")), " ", "_")
-    out = s
-    for code, name in DAMAGE_CODES.items():
-        out = F.when(s == code, F.lit(name)).otherwise(out)
-    return out

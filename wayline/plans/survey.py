@@ -287,11 +287,16 @@ def quality_verdict(spark: SparkSession, d: str) -> DataFrame:
 # --- tracking and clustering
 
 
+def _one_of_each(detections: DataFrame) -> DataFrame:
+    """One row for each detection, with the class behind its label."""
+    return detections.groupBy("detection_id").agg(*[F.min(c).alias(c) for c in ("frame_id", "confidence", "x1", "y1", "x2", "y2")], F.min(misc.damage_class(F.col("damage_class"))).alias("damage_class"))
+
+
 @query()
 def tracking_greedy(spark: SparkSession, d: str) -> DataFrame:
     """K1, K2: boxes of accepted and degraded frames in tracks."""
     f = table(spark, d, "frames").where("quality <> 'rejected'")
-    x = table(spark, d, "detections").groupBy("detection_id").agg(*[F.min(c).alias(c) for c in ("frame_id", "confidence", "x1", "y1", "x2", "y2", "damage_class")])
+    x = _one_of_each(table(spark, d, "detections"))
     return tracking.track_detections(f, x).select("survey_id", "detection_id", "track_no")
 
 
@@ -652,7 +657,7 @@ def detect_fake(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def process_defects(spark: SparkSession, d: str) -> DataFrame:
     """The whole way from fixes and detections to defects."""
-    x = table(spark, d, "detections").groupBy("detection_id").agg(*[F.min(c).alias(c) for c in ("frame_id", "confidence", "x1", "y1", "x2", "y2")], F.min(F.regexp_replace(F.trim(F.lower("damage_class")), "[ -]", "_")).alias("damage_class"))
+    x = _one_of_each(table(spark, d, "detections"))
     out = process(table(spark, d, "location_records"), table(spark, d, "frames"), x)["defects"]
     return out.select("cluster_id", "damage_class", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "uncertainty_m", "confidence", "observation_count", "first_seen", "last_seen")
 
