@@ -1,14 +1,16 @@
 """Implausible readings: impossible values, spikes and stuck values, against what is normal for their source.
 
-A local-level Kalman filter runs over the readings of each (source, chunk of time with a halo). Its innovations,
-standardised by their own variance, mark what stands out; marked readings don't update the state, and after more than
-`longest` of them in a row the state starts anew (the level has moved). Where the variance of the innovations vanishes,
-the reading no longer changes: it may be stuck. The filter's noise is bounded so that every spike of the exact rule is
-marked itself or follows a marked reading; the exact rule then decides around the marks only. All segments of a chunk
-run through the filter side by side as numpy lanes.
-
-Runs of equal readings may be longer than any chunk. Chunks give off their long runs and the first and last run they
-hold; window functions join these across the edges, few rows for each chunk.
+A local-level Kalman filter runs over the readings of each (source, chunk of time with a halo before and behind it).
+Its noises are those of the source: from robust variances of the differences over one and over two readings. A reading
+whose standardised innovation exceeds the threshold is flagged and doesn't update the state. One to `longest` flagged
+readings, after which the readings are back at the forecast, are a candidate for a spike; more of them mean that the
+level has moved, and the filter starts anew with the first of them. Where the running variance of the innovations
+vanishes, the reading no longer changes: it may be stuck. What neither flags nor vanishes is never reported; an exact
+rule then decides on the candidates.
+
+A rule relative to the source's median is decided after the filter, on the few candidates, so that the readings
+themselves are never joined with the sources. Runs of equal readings may be longer than any chunk: chunks give off the
+runs they hold whole and the first and last run they see; windows over these few rows join them.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from pyspark.sql.window import Window
 
 from wayline.functions import geo
 from wayline.operators.chunks import with_chunks
-from wayline.operators.trips import runs
 from wayline.session import checkpoint
 
 
@@ -57,189 +58,197 @@ class SpikeConfig:
     longest: int = 3  # fixes of a spike
     near_ms: int = 10_000  # from each to the next in and around a spike
     agree: float = 0.5  # the readings around a spike differ by at most this share of the limit
-    threshold: float = 3.0  # standardised innovations above it are marked
+    threshold: float = 4.0  # standardised innovations above it are flagged
+    least_share: float = 0.4  # of the limit (of the median, if relative, twice as much): nearer to the forecast nothing is flagged
+    forget: float = 0.25  # of the running variance of the innovations
+    vanished: float = 1e-6  # as a share of the least flagged innovation, squared
     stuck_readings: int = 60
     stuck_gap_ms: int = 120_000
-    moves_m: float = 200.0
+    moves_m: float = 200.0  # from where a stuck run begins to where it ends
     chunk_ms: int = 7_200_000
     halo_ms: int = 180_000
-    segment: int = 96  # readings that a lane of the filter decides on, after `warm` others
-    warm: int = 16
-
-
-def kalman_marks(t: list[np.ndarray], v: list[np.ndarray], limit: list[float], period: list[float], c: SpikeConfig) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each sequence of readings: which stand out, and where the innovations' variance has vanished."""
-    width = c.warm + c.segment
-    lanes, owner, start = [], [], []
-    for k, seq in enumerate(t):
-        for s in range(0, len(seq), c.segment):
-            owner.append(k)
-            start.append(s - c.warm)
-    if not owner:
-        return [np.zeros(0, bool) for _ in t], [np.zeros(0, bool) for _ in t]
-    n = len(owner)
-    tt, vv, there = np.zeros((width, n)), np.zeros((width, n)), np.zeros((width, n), bool)
-    for j, (k, s) in enumerate(zip(owner, start)):
-        a, b = max(s, 0), min(s + width, len(t[k]))
-        tt[a - s : b - s, j], vv[a - s : b - s, j], there[a - s : b - s, j] = t[k][a:b], v[k][a:b], True
-    lim = np.array([limit[k] for k in owner])
-    turn = np.array([period[k] or 1e300 for k in owner])
-    # bounded noise: threshold * sqrt(R + P) stays at or below half the limit over near_ms
-    r = (lim / (4.0 * c.threshold)) ** 2
-    q = (lim / (3.2 * c.threshold)) ** 2 / (c.near_ms / 1000.0)
-    level, p, last, out_row = np.zeros(n), r.copy(), np.full(n, -1e18), np.zeros(n, int)
-    scale = np.full(n, 1.0) * r
-    mark, flat = np.zeros((width, n), bool), np.zeros((width, n), bool)
-    for i in range(width):
-        here, x = there[i], vv[i]
-        dt = np.maximum((tt[i] - last) / 1000.0, 0.5)
-        anew = dt > c.near_ms / 1000.0
-        p = p + q * np.minimum(dt, 1e6)
-        d = x - level
-        d = d - turn * np.round(d / turn)
-        s = p + r
-        odd = (np.abs(d) > c.threshold * np.sqrt(s)) & ~anew & here
-        mark[i] = odd
-        out_row = np.where(odd, out_row + 1, np.where(here, 0, out_row))
-        restart = anew | (out_row > c.longest)
-        gain = np.where(restart, 1.0, np.where(odd, 0.0, p / s))
-        gain = np.where(here, gain, 0.0)
-        size = np.minimum(np.where(restart, 0.0, d) ** 2, r * c.threshold**2)
-        scale = np.where(here, 0.8 * scale + 0.2 * size, scale)
-        flat[i] = here & (scale < 1e-3 * r)
-        level = level + gain * d
-        p = np.where(restart & here, r, (1.0 - gain) * p)
-        out_row = np.where(restart, 0, out_row)
-        last = np.where(here, tt[i], last)
-    marks, flats = [np.zeros(len(seq), bool) for seq in t], [np.zeros(len(seq), bool) for seq in t]
-    for j, (k, s) in enumerate(zip(owner, start)):
-        a, b = s + c.warm, min(s + width, len(t[k]))
-        marks[k][a:b], flats[k][a:b] = mark[c.warm : b - s, j], flat[c.warm : b - s, j]
-    return marks, flats
-
-
-def spikes(t: np.ndarray, v: np.ndarray, f: Field, limit: float, c: SpikeConfig) -> np.ndarray:
-    """The exact rule: mask of the readings in runs of 1 to `longest` that are off by the limit from the reading
-    before the run and from the one after it, with every step at most near_ms long and those two in agreement."""
-    out = np.zeros(len(t), bool)
-
-    def off(a, b):
-        d = np.abs(a - b)
-        return np.minimum(d, f.period - d) if f.period else d
-
-    far = (lambda d: d > limit) if f.strict else (lambda d: d >= limit)
-    close = np.diff(t) <= c.near_ms
-    for k in range(1, c.longest + 1):
-        m = len(t) - k - 1
-        if m < 1:
-            break
-        before, after = v[:m], v[k + 1 : k + 1 + m]
-        ok = off(before, after) <= c.agree * limit
-        for j in range(1, k + 1):
-            one = v[j : j + m]
-            ok &= far(off(one, before)) & far(off(one, after)) & close[j - 1 : j - 1 + m]
-        ok &= close[k : k + m]
-        for j in range(1, k + 1):
-            out[j : j + m] |= ok
-    return out
 
 
-def around(mask: np.ndarray, k: int) -> np.ndarray:
-    """mask, and k places to both sides of it."""
-    out = mask.copy()
-    for s in range(1, k + 1):
-        out[s:] |= mask[:-s]
-        out[:-s] |= mask[s:]
+def _off(d: np.ndarray, period: float) -> np.ndarray:
+    return d - period * np.round(d / period) if period else d
+
+
+def noises(t: np.ndarray, v: np.ndarray, period: float, least: float, c: SpikeConfig) -> tuple[float, float]:
+    """(r, q) of a local level: the variance of a reading, and of the level's change in a second. Differences over one
+    reading have the variance q h + 2 r, over two 2 q h + 2 r; both by medians, so that spikes don't count. The level is
+    never taken for steadier than a reading, which keeps the filter awake on sources that hardly change."""
+    e = (0.01 * least) ** 2
+
+    def var(k: int) -> tuple[float, float]:
+        h = t[k:] - t[:-k]
+        near = h <= k * c.near_ms / 1000.0
+        if not near.any():
+            return 0.0, 1.0
+        return (1.4826 * float(np.median(np.abs(_off(v[k:] - v[:-k], period)[near])))) ** 2, float(np.median(h[near]))
+
+    if len(t) < 4:
+        return e, e
+    (one, h1), (two, h2) = var(1), var(2)
+    q = max(0.0, two - one) / max(h2 - h1, 0.1)
+    r = max(e, (one - q * h1) / 2.0)
+    return r, max(q, r)
+
+
+def kalman(t: list[float], v: list[float], r: float, q: float, least: float, period: float, c: SpikeConfig) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """([first, behind last] of each run of one to `longest` flagged readings that ends at the forecast, mask of the
+    readings at which the variance of the innovations has vanished). t in seconds, rising."""
+    n, found, flat = len(t), [], bytearray(len(t))
+    if not n:
+        return found, np.zeros(0, bool)
+    near, longest, square, floor, forget = c.near_ms / 1000.0, c.longest, c.threshold**2, least * least, c.forget
+    gone = floor * c.vanished
+    level, p, scale, since, i = v[0], r, floor, -1, 1
+    while i < n:
+        gap = t[i] - t[i - 1]
+        d = v[i] - level
+        if period:
+            d -= period * round(d / period)
+        e = d * d
+        p += q * gap
+        if gap > near:  # nothing is forecast over a gap
+            level, p, since = v[i], r, -1
+        else:
+            s = p + r
+            if e > square * s and e > floor:
+                if since < 0:
+                    since = i
+                elif i - since >= longest:  # the level has moved
+                    i = since
+                    level, p, scale, since = v[i], r, floor, -1
+                    i += 1
+                    continue
+                i += 1
+                continue
+            if since >= 0:
+                found.append((since, i))
+                since = -1
+            g = p / s
+            level += g * d
+            p *= 1.0 - g
+        scale += forget * ((e if e < floor else floor) - scale)
+        if scale < gone:
+            flat[i] = 1
+        i += 1
+    return found, np.frombuffer(flat, np.uint8).astype(bool)
+
+
+def spike_runs(v: np.ndarray, flagged: list[tuple[int, int]], period: float, behind: np.ndarray) -> list[tuple[int, int, float, float]]:
+    """(first, behind last, least distance from the readings before and after, distance between those two) of every
+    stretch of the flagged runs that lies between two readings which are near in time. behind[i]: reading i + 1 is."""
+    out = []
+    for a, b in flagged:
+        for i in range(a, b):
+            for j in range(i + 1, b + 1):
+                if i == 0 or j >= len(v) or not behind[i - 1 : j].all():
+                    continue
+                off = np.abs(_off(np.concatenate((v[i:j] - v[i - 1], v[i:j] - v[j], v[i - 1 : i] - v[j])), period))
+                out.append((i, j, float(off[:-1].min()), float(off[-1])))
     return out
 
 
-PIECE = "source string, field_name string, kind string, value double, t0 long, t1 long, n long, opens boolean, closes boolean, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double, ids array<string>"
+PIECE = "source string, field_name string, kind string, value double, t0 long, t1 long, n long, opens boolean, closes boolean, flat boolean, stand double, apart double, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, ids array<string>"
+NAMES = [f.split()[0] for f in PIECE.split(", ")]
+KINDS = [pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), *[pa.bool_()] * 3, *[pa.float64()] * 8, pa.list_(pa.string())]
 
 
-def _track(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Times and smoothed positions (metres in space) of the usable fixes, so that strays don't count as movement."""
-    from wayline.operators.trips import _median
+class _Track:
+    """Places of the source, in metres in space; medians of nine fixes, so that strays don't count as movement."""
 
-    t, la, lo = (rows.column(k).to_numpy() for k in ("t", "lat", "lon"))
-    ok = np.isfinite(la) & np.isfinite(lo)
-    ok[ok] = (np.abs(la[ok]) <= 90) & (np.abs(lo[ok]) <= 180) & ~((la[ok] == 0) & (lo[ok] == 0))
-    t, at = np.unique(t[ok], return_index=True)
-    la, lo = np.radians(la[ok][at]), np.radians(lo[ok][at])
-    xyz = np.stack([np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la)]) * geo.EARTH_RADIUS_M
-    return t, np.stack([_median(a, 4) for a in xyz]) if len(t) else xyz
+    def __init__(self, rows: pa.Table):
+        t, la, lo = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("t", "lat", "lon"))
+        ok = np.isfinite(la) & np.isfinite(lo)
+        ok[ok] = (np.abs(la[ok]) <= 90) & (np.abs(lo[ok]) <= 180) & ~((la[ok] == 0) & (lo[ok] == 0))
+        self.t, at = np.unique(t[ok], return_index=True)
+        self.la, self.lo = np.radians(la[ok][at]), np.radians(lo[ok][at])
+
+    def place(self, t0: int, t1: int, last: bool) -> list[float | None]:
+        """Where the source is at its first (last) fix in [t0, t1]; nulls without one."""
+        i, j = np.searchsorted(self.t, t0), np.searchsorted(self.t, t1, side="right")
+        if i == j:
+            return [None] * 3
+        k = j - 1 if last else i
+        half = min(4, max(k, 1), max(len(self.t) - 1 - k, 1))
+        la, lo = self.la[max(0, k - half) : k + half + 1], self.lo[max(0, k - half) : k + half + 1]
+        return [float(np.median(a)) * geo.EARTH_RADIUS_M for a in (np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la))]
 
 
 def _pieces(key: tuple[pa.Scalar, ...], rows: pa.Table, c: SpikeConfig) -> pa.Table:
-    names = [f.split()[0] for f in PIECE.split(", ")]
     rows = rows.sort_by([("t", "ascending"), ("id", "ascending")])
     src, lo_ms = key[0].as_py(), key[1].as_py() * c.chunk_ms
     hi_ms = lo_ms + c.chunk_ms
     t_all = rows.column("t").to_numpy()
     core_rows = (t_all >= lo_ms) & (t_all < hi_ms)
     ids = rows.column("id").combine_chunks()
-    if not core_rows.any():
-        return pa.table({n: pa.array([], k) for n, k in zip(names, KINDS)})
-    median = rows.column("median")[0].as_py()
-    seqs = []
-    for f in c.fields:
+    out: list[tuple] = []
+    track = None
+    for f in c.fields if core_rows.any() else ():
         v_all = rows.column(f.name).to_numpy(zero_copy_only=False)
         valid = rows.column(f.name).is_valid().to_numpy()
         good = valid & np.isfinite(v_all)
         good[good] = ((v_all[good] > f.low) if f.low_open else (v_all[good] >= f.low)) & ((v_all[good] < f.high) if f.high_open else (v_all[good] <= f.high))
         t, at = np.unique(t_all[good], return_index=True)
-        seqs.append((f, f.limit * median if f.relative and median else f.limit, valid, t, v_all[good][at]))
-    usable = [s for s in seqs if not (s[0].relative and not median)]
-    marks, flats = kalman_marks([s[3] for s in usable], [s[4] for s in usable], [s[1] for s in usable], [s[0].period for s in usable], c)
-    out: list[tuple] = []
-    track = None
-    for (f, limit, valid, t, v), mark, flat in zip(usable, marks, flats):
-        known = valid & core_rows
-        if mark.any():
-            hit = spikes(t, v, f, limit, c) & around(mark, c.longest + 1)
-            if hit.any():
-                chosen = np.flatnonzero(known & np.isin(t_all, t[hit]))
-                if len(chosen):
-                    out.append((src, f.name, "spike", None, 0, 0, len(chosen), False, False, *[0.0] * 6, ids.take(pa.array(chosen)).to_pylist()))
-        core = np.flatnonzero((t >= lo_ms) & (t < hi_ms))
-        if not len(core):
+        v, known = v_all[good][at], valid & core_rows
+        if not len(t):
+            continue
+        least = float(np.median(v)) * 2 * c.least_share if f.relative else f.limit * c.least_share
+        sec = (t - t[0]) / 1000.0
+        flagged, flat = kalman(sec.tolist(), v.tolist(), *noises(sec, v, f.period, least, c), least, f.period, c)
+        for a, b, stand, apart in spike_runs(v, flagged, f.period, np.diff(t) <= c.near_ms):
+            if not f.relative and (apart > c.agree * f.limit or stand < f.limit or (f.strict and stand == f.limit)):
+                continue
+            chosen = np.flatnonzero(known & np.isin(t_all, t[a:b]))
+            if len(chosen):
+                out.append((src, f.name, "spike", None, 0, 0, len(chosen), False, False, True, stand, apart, *[None] * 6, ids.take(pa.array(chosen)).to_pylist()))
+        a0, b0 = np.searchsorted(t, lo_ms), np.searchsorted(t, hi_ms)
+        if a0 == b0:
             continue
-        a0, b0 = core[0], core[-1] + 1
         ct, cv, cf = t[a0:b0], v[a0:b0], flat[a0:b0]
         cuts = np.concatenate(([0], np.flatnonzero((np.diff(cv) != 0) | (np.diff(ct) > c.stuck_gap_ms)) + 1, [len(ct)]))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            opens, closes = a == 0, b == len(ct)
-            if not (opens or closes or (b - a >= c.stuck_readings and cf[a:b].any())):
-                continue
-            if track is None:
-                track = _track(rows)
-            w = track[1][:, np.searchsorted(track[0], ct[a]) : np.searchsorted(track[0], ct[b - 1], side="right")]
-            box = [float(g) for axis in w for g in (axis.min(), axis.max())] if w.shape[1] else [np.inf, -np.inf] * 3
-            wide = sum(max(0.0, box[i + 1] - box[i]) ** 2 for i in (0, 2, 4)) ** 0.5
-            if not (opens or closes) and wide <= c.moves_m:
+        edge = (cuts[:-1] == 0) | (cuts[1:] == len(ct))
+        for k in np.flatnonzero(edge | (np.diff(cuts) >= c.stuck_readings)):
+            a, b = cuts[k], cuts[k + 1]
+            vanished = bool(cf[a:b].any())
+            if not (edge[k] or vanished):
                 continue
+            track = track or _Track(rows)
+            place = [*track.place(ct[a], ct[b - 1], False), *track.place(ct[a], ct[b - 1], True)]
             i, j = np.searchsorted(t_all, ct[a]), np.searchsorted(t_all, ct[b - 1], side="right")
             chosen = i + np.flatnonzero(known[i:j])
             if len(chosen) != b - a:
                 chosen = chosen[np.isin(t_all[chosen], ct[a:b])]
-            out.append((src, f.name, "stuck", float(cv[a]), int(ct[a]), int(ct[b - 1]), int(b - a), bool(opens), bool(closes), *box, ids.take(pa.array(chosen)).to_pylist()))
-    cols = list(zip(*out)) if out else [[] for _ in names]
-    return pa.table({n: pa.array(list(col), k) for n, col, k in zip(names, cols, KINDS)})
+            out.append((src, f.name, "stuck", float(cv[a]), int(ct[a]), int(ct[b - 1]), int(b - a), bool(a == 0), bool(b == len(ct)), vanished, None, None, *place, ids.take(pa.array(chosen)).to_pylist()))
+    cols = list(zip(*out)) if out else [[] for _ in NAMES]
+    return pa.table({n: pa.array(list(col), k) for n, col, k in zip(NAMES, cols, KINDS)})
 
 
-KINDS = [pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), *[pa.float64()] * 6, pa.list_(pa.string())]
+#: Bits of a double that are dropped where values are counted by ranges: 1,024 ranges for each power of two.
+RANGE_BITS = 42
 
 
 def exact_medians(df: DataFrame, source: str, value: str) -> DataFrame:
-    """(source, median) of all non-null values: the lower middle value, by counts of equal values, so that only
-    distinct values are shuffled."""
-    counts = df.groupBy(F.col(source).alias("source"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("source")
-    run = counts.withColumn("upto", F.sum("n").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
-    return run.where(F.col("upto") * 2 >= F.col("all")).groupBy("source").agg(F.min("v").alias("median"))
+    """(source, median) of all non-null values, the lower middle one; values must not be negative.
 
-
-#: More sources than this aren't broadcast.
-BROADCAST_SOURCES = 500_000
+    Values are counted, then the counts by ranges of values. Only a source's ranges, whose number the range of its
+    values bounds and not that of its rows, are put in order together; then the distinct values of the one range that
+    holds the middle.
+    """
+    counts = checkpoint(df.groupBy(F.col(source).alias("source"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")))
+    # the bits of doubles of one sign are in the order of the doubles; log2 of the exponent and a linear rest are as good
+    power = F.floor(F.log2(F.greatest("v", F.lit(1e-300))))
+    part = (power * 1024 + F.floor((F.col("v") / F.pow(F.lit(2.0), power) - 1.0) * 1024)).cast("long")
+    ranged = counts.withColumn("part", part)
+    upto = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    sums = ranged.groupBy("source", "part").agg(F.sum("n").alias("in_part"))
+    sums = sums.withColumn("upto", F.sum("in_part").over(upto)).withColumn("half", (F.sum("in_part").over(Window.partitionBy("source")) + 1) / 2)
+    middle = sums.where((F.col("upto") >= F.floor("half")) & (F.col("upto") - F.col("in_part") < F.floor("half"))).select("source", "part", (F.floor("half") - F.col("upto") + F.col("in_part")).alias("nth"))
+    w = Window.partitionBy("source").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    within = ranged.join(middle, ["source", "part"]).withColumn("upto", F.sum("n").over(w))
+    return within.where(F.col("upto") >= F.col("nth")).groupBy("source").agg(F.min("v").alias("median"))
 
 
 def implausible(fixes: DataFrame, id_col: str, source: str, t: str, lat: str, lon: str, config: SpikeConfig = SpikeConfig()) -> DataFrame:
@@ -261,20 +270,21 @@ def implausible(fixes: DataFrame, id_col: str, source: str, t: str, lat: str, lo
         F.col(id_col).cast("string").alias("id"), F.col(source).cast("string").alias("source"), F.col(t).cast("long").alias("t"),
         *[F.col(f.name).cast("double").alias(f.name) for f in c.fields], F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"),
     )
-    relative = [f for f in c.fields if f.relative]
-    if relative:
-        f = relative[0]
-        medians = checkpoint(exact_medians(timed.where(F.col(f.name).isNotNull() & ~f.impossible()), "source", f.name))
-        small = medians.count() <= BROADCAST_SOURCES
-        timed = timed.join(F.broadcast(medians) if small else medians, "source", "left")
-    else:
-        timed = timed.withColumn("median", F.lit(None).cast("double"))
 
     def work(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         return _pieces(key, rows, c)
 
     pieces = checkpoint(with_chunks(timed, F.col("t"), c.chunk_ms, c.halo_ms).groupBy("source", "chunk").applyInArrow(work, PIECE))
-    spike = pieces.where("kind = 'spike'").select(F.explode("ids").alias("id"), "field_name", F.lit("spike").alias("reason"))
+    spike = pieces.where("kind = 'spike'")
+    plain = spike.where(~F.col("field_name").isin([f.name for f in c.fields if f.relative])).select("ids", "field_name")
+    for f in c.fields:
+        if f.relative:
+            # the candidates of a relative rule, now that the medians are known
+            own = spike.where(F.col("field_name") == f.name).join(exact_medians(timed.where(F.col(f.name).isNotNull() & ~f.impossible()), "source", f.name), "source")
+            limit = F.col("median") * f.limit
+            far = (F.col("stand") > limit) if f.strict else (F.col("stand") >= limit)
+            plain = plain.union(own.where((limit > 0) & far & (F.col("apart") <= limit * c.agree)).select("ids", "field_name"))
+    spike = plain.select(F.explode("ids").alias("id"), "field_name", F.lit("spike").alias("reason"))
     w = Window.partitionBy("source", "field_name").orderBy("t0")
     joined = (
         (F.lag("value").over(w) == F.col("value")) & F.lag("closes").over(w) & F.col("opens") & (F.col("t0") - F.lag("t1").over(w) <= c.stuck_gap_ms)
@@ -282,7 +292,11 @@ def implausible(fixes: DataFrame, id_col: str, source: str, t: str, lat: str, lo
     run = pieces.where("kind = 'stuck'").withColumn("new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
     run = run.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy("source", "field_name", "run")
-    wide = sum(F.pow(F.greatest(F.lit(0.0), F.max(f"{k}1").over(whole) - F.min(f"{k}0").over(whole)), 2) for k in "xyz")
-    stuck = run.withColumn("readings", F.sum("n").over(whole)).withColumn("wide", F.sqrt(wide)).where((F.col("readings") >= c.stuck_readings) & (F.col("wide") > c.moves_m))
+    here = F.col("x0").isNotNull()
+    first = F.min_by(F.struct("x0", "y0", "z0"), F.when(here, F.col("t0"))).over(whole)
+    last = F.max_by(F.struct("x1", "y1", "z1"), F.when(here, F.col("t1"))).over(whole)
+    run = run.withColumns({"readings": F.sum("n").over(whole), "vanished": F.bool_or("flat").over(whole), "first": first, "last": last})
+    moved = F.sqrt(sum(F.pow(F.col(f"last.{k}1") - F.col(f"first.{k}0"), 2) for k in "xyz"))
+    stuck = run.where((F.col("readings") >= c.stuck_readings) & F.col("vanished") & (moved > c.moves_m))
     stuck = stuck.select(F.explode("ids").alias("id"), "field_name", F.lit("stuck").alias("reason"))
     return impossible.unionByName(spike).unionByName(stuck).distinct()
