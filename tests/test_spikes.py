@@ -1,6 +1,9 @@
 import numpy as np
 
-from wayline.operators.spikes import FIELDS, SpikeConfig, around, implausible, kalman_marks, spikes
+import pyarrow as pa
+
+from wayline.operators import spikes
+from wayline.operators.spikes import FIELDS, SpikeConfig, exact_medians, implausible
 
 SCHEMA = "record_id string, survey_id string, t long, lat double, lon double, accuracy_m double, speed_mps double, heading_deg double, id string, median double"
 
@@ -50,17 +53,69 @@ def test_copies_and_dirt(spark):
     assert flags(spark, []) == set()
 
 
-def test_marks_miss_no_spike():
+def test_parked_with_strays_is_not_stuck(spark):
+    for strays in (range(97, 100), range(0, 3), range(40, 47)):
+        rows = [(*r[:4], 180.0 - 0.002 if i in strays else r[4], *r[5:]) for i, r in enumerate(track(100, moving=False, speed_mps=lambda i, v: 0.0))]
+        assert flags(spark, rows) == set()
+
+
+def table(v, field, step=1000):
+    """One chunk of readings of one field, as the operator's tasks get it."""
+    t0 = 1_704_067_200_000
+    n = len(v)
+    cols = {"id": [f"r{i:05d}" for i in range(n)], "t": [t0 + i * step for i in range(n)], "lat": [10.0 + i * 9e-5 for i in range(n)], "lon": [20.0] * n}
+    cols |= {f.name: pa.array([float(x) for x in v] if f is field else [None] * n, pa.float64()) for f in FIELDS}
+    return (pa.scalar("s"), pa.scalar(t0 // SpikeConfig().chunk_ms)), pa.table(cols)
+
+
+def found(v, field, kind):
+    out = spikes._pieces(*table(v, field), SpikeConfig()).to_pylist()
+    return {i for r in out if r["kind"] == kind and not r["opens"] and not r["closes"] for i in r["ids"]}
+
+
+def by_rule(v, f, limit, agree=0.5, longest=3):
+    def off(a, b):
+        d = abs(a - b)
+        return min(d, f.period - d) if f.period else d
+
+    out = set()
+    for i in range(1, len(v)):
+        for j in range(i + 1, min(i + longest, len(v) - 1) + 1):
+            if off(v[i - 1], v[j]) <= agree * limit and all(min(off(x, v[i - 1]), off(x, v[j])) > limit for x in v[i:j]):
+                out |= {f"r{k:05d}" for k in range(i, j)}
+    return out
+
+
+def test_flagged_innovations_are_the_rules_spikes_on_quiet_sources():
     rng = np.random.default_rng(0)
-    c = SpikeConfig()
-    for trial in range(60):
-        f = FIELDS[trial % 3]
-        limit = 25.0 if f.relative else f.limit
-        n = int(rng.integers(5, 300))
-        t = np.cumsum(rng.choice([500, 1000, 4000, 9000, 12000], n)).astype(np.int64)
-        v = np.cumsum(rng.normal(0, rng.choice([0.2, 2.0, 8.0]), n)) % 300 + 1.0
-        for i in rng.integers(0, n, n // 8):
-            v[i : i + rng.integers(1, 4)] += limit * rng.choice([-1.3, 1.1, 3.0])
-        hit = spikes(t, v, f, limit, c)
-        mark, _ = kalman_marks([t], [v], [limit], [f.period], c)
-        assert not (hit & ~around(mark[0], c.longest + 1)).any()
+    for trial in range(40):
+        f = FIELDS[1 + trial % 2]
+        v = np.cumsum(rng.normal(0, 0.02 * f.limit, 300)) + (50.0 if f.name == "speed_mps" else 180.0)
+        for i in range(5, 290, 12):
+            v[i : i + rng.integers(1, 4)] += f.limit * rng.choice([-1.4, 1.4, 2.5])
+        v = np.clip(v, 0, 99.9) if f.name == "speed_mps" else np.mod(v, 360.0)
+        assert found(v, f, "spike") == by_rule(v, f, f.limit)
+
+
+def test_without_the_filter_the_result_is_another(monkeypatch):
+    speed = FIELDS[1]
+    rng = np.random.default_rng(1)
+    v = 10 + rng.normal(0, 0.3, 400)
+    v[50], v[200:280] = 30.0, 12.3
+    assert found(v, speed, "spike") == {"r00050"} and len(found(v, speed, "stuck")) == 80
+    # a source whose readings scatter by more than the limit has no spikes, whatever the rule alone would say
+    wild = 50 + rng.normal(0, 12.0, 400)
+    assert by_rule(wild, speed, speed.limit) and len(found(wild, speed, "spike")) * 10 < len(by_rule(wild, speed, speed.limit))
+    everything = lambda t, v, *_: ([(1, len(v) - 1)] if len(v) < 4 else [], np.zeros(len(v), bool))
+    monkeypatch.setattr(spikes, "kalman", everything)
+    assert found(v, speed, "spike") == set() and found(v, speed, "stuck") == set()
+    monkeypatch.setattr(spikes, "kalman", lambda t, v, *_: ([(i, i + 1) for i in range(1, len(v) - 1)], np.ones(len(v), bool)))
+    assert len(found(wild, speed, "spike")) > 20
+
+
+def test_medians_by_ranges(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, float(x)) for s, n in (("a", 1), ("b", 2), ("c", 999), ("d", 1000)) for x in np.round(rng.lognormal(2, 1, n), 2)] + [("e", 5.0)] * 50 + [("f", 1e-200), ("g", None)]
+    got = {r.source: r.median for r in exact_medians(spark.createDataFrame(rows, "s string, x double").where("x is not null"), "s", "x").collect()}
+    want = {s: sorted(x for k, x in rows if k == s) for s in "abcdef"}
+    assert got == {s: v[(len(v) + 1) // 2 - 1] for s, v in want.items()}

@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 
 from wayline.functions import geo
 from wayline.operators.chunks import with_chunks
+from wayline.operators.trips import running_median
 from wayline.session import checkpoint
 
 
@@ -64,7 +65,9 @@ class SpikeConfig:
     vanished: float = 1e-6  # as a share of the least flagged innovation, squared
     stuck_readings: int = 60
     stuck_gap_ms: int = 120_000
-    moves_m: float = 200.0  # from where a stuck run begins to where it ends
+    moves_m: float = 200.0  # how far from where a stuck run begins the source gets
+    fast_mps: float = 45.0  # no vehicle jumps so fast; between two such jumps
+    stray_fixes: int = 7  # so few fixes are strays and don't count as movement
     chunk_ms: int = 7_200_000
     halo_ms: int = 180_000
 
@@ -151,30 +154,41 @@ def spike_runs(v: np.ndarray, flagged: list[tuple[int, int]], period: float, beh
     return out
 
 
-PIECE = "source string, field_name string, kind string, value double, t0 long, t1 long, n long, opens boolean, closes boolean, flat boolean, stand double, apart double, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, ids array<string>"
+PIECE = "source string, field_name string, kind string, value double, t0 long, t1 long, n long, opens boolean, closes boolean, flat boolean, stand double, apart double, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, far_m double, ids array<string>"
 NAMES = [f.split()[0] for f in PIECE.split(", ")]
-KINDS = [pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), *[pa.bool_()] * 3, *[pa.float64()] * 8, pa.list_(pa.string())]
+KINDS = [pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), *[pa.bool_()] * 3, *[pa.float64()] * 9, pa.list_(pa.string())]
 
 
 class _Track:
-    """Places of the source, in metres in space; medians of nine fixes, so that strays don't count as movement."""
+    """Places of the source, in metres in space."""
 
-    def __init__(self, rows: pa.Table):
+    def __init__(self, rows: pa.Table, c: SpikeConfig):
+        self.c = c
         t, la, lo = (rows.column(k).to_numpy(zero_copy_only=False) for k in ("t", "lat", "lon"))
         ok = np.isfinite(la) & np.isfinite(lo)
         ok[ok] = (np.abs(la[ok]) <= 90) & (np.abs(lo[ok]) <= 180) & ~((la[ok] == 0) & (lo[ok] == 0))
         self.t, at = np.unique(t[ok], return_index=True)
-        self.la, self.lo = np.radians(la[ok][at]), np.radians(lo[ok][at])
+        self.la, self.lo = la[ok][at], lo[ok][at]
 
-    def place(self, t0: int, t1: int, last: bool) -> list[float | None]:
-        """Where the source is at its first (last) fix in [t0, t1]; nulls without one."""
+    def moved(self, t0: int, t1: int) -> list[float | None]:
+        """Where the source is at its first and at its last fix in [t0, t1], and how far it gets from the first;
+        stray fixes aside. Nulls without a fix."""
         i, j = np.searchsorted(self.t, t0), np.searchsorted(self.t, t1, side="right")
-        if i == j:
-            return [None] * 3
-        k = j - 1 if last else i
-        half = min(4, max(k, 1), max(len(self.t) - 1 - k, 1))
-        la, lo = self.la[max(0, k - half) : k + half + 1], self.lo[max(0, k - half) : k + half + 1]
-        return [float(np.median(a)) * geo.EARTH_RADIUS_M for a in (np.cos(la) * np.cos(lo), np.cos(la) * np.sin(lo), np.sin(la))]
+        k = slice(max(0, i - 20), j + 20)
+        t, la, lo = self.t[k], self.la[k], self.lo[k]
+        inside = (t >= t0) & (t <= t1)
+        if not inside.any():
+            return [None] * 7
+        a, b = np.radians(la), np.radians(lo)
+        xyz = np.stack([np.cos(a) * np.cos(b), np.cos(a) * np.sin(b), np.sin(a)]) * geo.EARTH_RADIUS_M
+        # strays are cut off by jumps that no vehicle makes, few at a time; medians of nine fixes outvote the others
+        jump = np.sqrt((np.diff(xyz) ** 2).sum(axis=0)) > self.c.fast_mps * np.maximum(np.diff(t) / 1000.0, 1.0)
+        part = np.concatenate(([0], np.cumsum(jump)))
+        calm = np.bincount(part)[part] > self.c.stray_fixes
+        if not (calm & inside).any():
+            calm[:] = True
+        p = np.stack([running_median(e[calm], 4) for e in xyz])[:, inside[calm]]
+        return [*p[:, 0].tolist(), *p[:, -1].tolist(), float(np.sqrt(((p - p[:, :1]) ** 2).sum(axis=0)).max())]
 
 
 def _pieces(key: tuple[pa.Scalar, ...], rows: pa.Table, c: SpikeConfig) -> pa.Table:
@@ -203,7 +217,7 @@ def _pieces(key: tuple[pa.Scalar, ...], rows: pa.Table, c: SpikeConfig) -> pa.Ta
                 continue
             chosen = np.flatnonzero(known & np.isin(t_all, t[a:b]))
             if len(chosen):
-                out.append((src, f.name, "spike", None, 0, 0, len(chosen), False, False, True, stand, apart, *[None] * 6, ids.take(pa.array(chosen)).to_pylist()))
+                out.append((src, f.name, "spike", None, 0, 0, len(chosen), False, False, True, stand, apart, *[None] * 7, ids.take(pa.array(chosen)).to_pylist()))
         a0, b0 = np.searchsorted(t, lo_ms), np.searchsorted(t, hi_ms)
         if a0 == b0:
             continue
@@ -215,8 +229,8 @@ def _pieces(key: tuple[pa.Scalar, ...], rows: pa.Table, c: SpikeConfig) -> pa.Ta
             vanished = bool(cf[a:b].any())
             if not (edge[k] or vanished):
                 continue
-            track = track or _Track(rows)
-            place = [*track.place(ct[a], ct[b - 1], False), *track.place(ct[a], ct[b - 1], True)]
+            track = track or _Track(rows, c)
+            place = track.moved(ct[a], ct[b - 1])
             i, j = np.searchsorted(t_all, ct[a]), np.searchsorted(t_all, ct[b - 1], side="right")
             chosen = i + np.flatnonzero(known[i:j])
             if len(chosen) != b - a:
@@ -293,10 +307,10 @@ def implausible(fixes: DataFrame, id_col: str, source: str, t: str, lat: str, lo
     run = run.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy("source", "field_name", "run")
     here = F.col("x0").isNotNull()
-    first = F.min_by(F.struct("x0", "y0", "z0"), F.when(here, F.col("t0"))).over(whole)
-    last = F.max_by(F.struct("x1", "y1", "z1"), F.when(here, F.col("t1"))).over(whole)
-    run = run.withColumns({"readings": F.sum("n").over(whole), "vanished": F.bool_or("flat").over(whole), "first": first, "last": last})
-    moved = F.sqrt(sum(F.pow(F.col(f"last.{k}1") - F.col(f"first.{k}0"), 2) for k in "xyz"))
-    stuck = run.where((F.col("readings") >= c.stuck_readings) & F.col("vanished") & (moved > c.moves_m))
+    first = F.min_by(F.struct(*[F.col(f"{k}0").alias(k) for k in "xyz"]), F.when(here, F.col("t0"))).over(whole)
+    run = run.withColumns({"readings": F.sum("n").over(whole), "vanished": F.bool_or("flat").over(whole), "first": first})
+    away = lambda e: F.sqrt(sum(F.pow(F.col(f"{k}{e}") - F.col(f"first.{k}"), 2) for k in "xyz"))
+    run = run.withColumn("moved", F.max(F.greatest("far_m", away(0), away(1))).over(whole))
+    stuck = run.where((F.col("readings") >= c.stuck_readings) & F.col("vanished") & (F.col("moved") > c.moves_m))
     stuck = stuck.select(F.explode("ids").alias("id"), "field_name", F.lit("stuck").alias("reason"))
     return impossible.unionByName(spike).unionByName(stuck).distinct()

@@ -86,7 +86,7 @@ def tv_denoise(y: list[float], lam: float) -> np.ndarray:
                 u_high, high_end = -lam, k
 
 
-def _median(a: np.ndarray, half: int) -> np.ndarray:
+def running_median(a: np.ndarray, half: int) -> np.ndarray:
     """Running median; the ends see their surroundings mirrored, so that a stray end stands out."""
     wide = np.pad(a, half, mode="reflect" if len(a) > half else "edge")
     return np.median(np.lib.stride_tricks.sliding_window_view(wide, 2 * half + 1), axis=1)
@@ -101,9 +101,9 @@ def stray_fixes(t: np.ndarray, x: np.ndarray, y: np.ndarray, c: StopConfig) -> n
     """Fixes in short runs that jump away from where the fixes around them are, and back: mask."""
     odd = np.zeros(len(t), bool)
     for half in (3, 7):
-        mx, my = _median(x, half), _median(y, half)
+        mx, my = running_median(x, half), running_median(y, half)
         d = np.hypot(x - mx, y - my)
-        calm = _median(d, half) < c.stray_m * 0.4
+        calm = running_median(d, half) < c.stray_m * 0.4
         v = np.hypot(np.diff(x), np.diff(y)) / np.maximum(np.diff(t), 1e-3)
         fast = np.maximum(np.append(v, 0.0), np.append(0.0, v)) > c.fast_mps
         odd |= (d > c.stray_m) & (calm | fast)
@@ -127,7 +127,7 @@ def _stays(t: np.ndarray, x: np.ndarray, y: np.ndarray, c: StopConfig) -> list[t
     n = len(t)
     if n == 1:
         return [(0, 0)]
-    noise = 1.4826 * np.median(np.hypot(np.diff(x, 2), np.diff(y, 2))) / 2.9 if n > 8 else 3.0
+    noise = 1.4826 * np.median(np.hypot(np.diff(x, 2), np.diff(y, 2))) / 2.9 if n > 2 else 0.0
     lam = min(max(12.0 * noise, 20.0), 80.0)
     ux, uy = tv_denoise(x.tolist(), lam), tv_denoise(y.tolist(), lam)
     i = np.arange(n)
