@@ -5,7 +5,8 @@ import pytest
 import xxhash
 
 from wayline.llm import leaks as lk
-from wayline.llm.mixing import mix, pfair, token_counts
+from wayline.llm import mixing
+from wayline.llm.mixing import mix, pfair, rounds, schedule, token_counts
 from wayline.llm.quality import quality
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -82,7 +83,7 @@ def test_leaks_in_tables(spark, monkeypatch):
 
 @pytest.mark.parametrize("blocks", [{"a": 5, "b": 3, "c": 2}, {"a": 1, "b": 97, "c": 31, "d": 7}, {"a": 4}, {"a": 0, "b": 2}])
 def test_pfair_stays_within_a_block(blocks):
-    out = pfair(blocks)
+    out = list(pfair(blocks))
     total, done = sum(blocks.values()), dict.fromkeys(blocks, 0)
     for slot, s, k in out:
         assert k == done[s]
@@ -92,19 +93,62 @@ def test_pfair_stays_within_a_block(blocks):
     assert done == blocks and [x[0] for x in out] == list(range(total))
 
 
+@pytest.mark.parametrize("blocks,n", [([5, 3, 2], 2), ([1000, 970, 31, 7, 1], 40), ([999, 1], 100), ([64, 64, 64, 64, 1], 50), ([7, 900, 0, 93], 30), ([1] * 90, 9)])
+def test_rounds_stay_within_a_block(blocks, n):
+    total, done, t = sum(blocks), [0] * len(blocks), 0
+    size = -(-total // n)
+    for e, counts in enumerate(rounds(blocks, n), 1):
+        done, t = [a + b for a, b in zip(done, counts)], t + sum(counts)
+        assert size - 1 <= sum(counts) <= size
+        assert all(abs(a - b * e / n) < 1 for a, b in zip(done, blocks))
+    assert done == blocks and t == total
+
+
+def test_rounds_for_random_weights():
+    rng = random.Random(8)
+    for _ in range(60):
+        blocks = [int(rng.expovariate(1) ** 2 * 50) for _ in range(rng.randrange(1, 12))]
+        n = rng.randrange(1, 60)
+        done = [0] * len(blocks)
+        for e, counts in enumerate(rounds(blocks, n) if sum(blocks) else [], 1):
+            done = [a + b for a, b in zip(done, counts)]
+            assert all(abs(a - b * e / n) < 1 for a, b in zip(done, blocks))
+        assert done == blocks
+
+
+def test_a_schedule_of_rounds_deviates_by_less_than_two_of_its_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ROUND_SLOTS", 50)
+    blocks = {"a": 700, "b": 211, "c": 80, "d": 9}
+    rows = sorted(tuple(r) for r in schedule(spark, blocks).collect())
+    assert [r[0] for r in rows] == list(range(1000))
+    done = dict.fromkeys(blocks, 0)
+    for slot, s, k in rows:
+        assert k == done[s]
+        done[s] += 1
+        assert all(abs(done[x] - blocks[x] * (slot + 1) / 1000) < 2 for x in blocks)
+
+
+def test_every_target_counts(spark):
+    n = 10_001
+    d = spark.range(n).selectExpr("id as doc_id", "'a few words' as text", "concat('s', id) as source")
+    t = spark.range(n).selectExpr("concat('S', id) as source", f"1D / {n} as target_share", "1 as max_repeats")
+    draws, shares = mix(d, t)
+    assert draws.count() == n and shares.where("n_draws = 1").count() == n
+
+
 def test_mix(spark):
     rng = random.Random(2)
     docs = [(i, " ".join(rng.choices(WORDS, k=rng.randrange(5, 60))), ["big", " BIG\t", "small", "other"][min(i % 5, 3)]) for i in range(500)] + [(900, None, "small"), (None, "x", "big"), (901, "", "small"), (902, "x", None)]
     d = spark.createDataFrame([(*x, 1) for x in docs + docs[:7]], "doc_id long, text string, source string, block int")
     t = spark.createDataFrame([("Big", 0.5, 1), ("small", 0.5, 3), ("absent", 0.0, 1)], "source string, target_share double, max_repeats int")
-    draws, shares = mix(d, t, block_tokens=200)
+    draws, shares = mix(d, t, block_tokens=400)
     s = {r.source: r for r in shares.collect()}
     assert set(s) == {"Big", "small", "absent"} and s["absent"].n_tokens == 0
     assert abs(s["Big"].actual_share - 0.5) < 0.02 and s["small"].most_copies <= 3
     rows = draws.collect()
     assert len(rows) == len({(r.doc_id, r.copy) for r in rows}) and len({r.slot for r in rows}) == max(r.slot for r in rows) + 1
     assert {r.source for r in rows} == {"Big", "small"} and all(r.doc_id < 500 or r.doc_id in (900, 901) for r in rows)
-    assert mix(d, t, block_tokens=200)[0].exceptAll(draws).count() == 0
+    assert mix(d, t, block_tokens=400)[0].exceptAll(draws).count() == 0
     short = {r.source: r for r in mix(d, t, total_tokens=10**7)[1].collect()}
     assert short["small"].limited and short["Big"].limited and short["small"].most_copies == 3
     assert mix(d.limit(0), t)[0].count() == 0 and mix(d, t.limit(0))[0].count() == 0
@@ -128,6 +172,23 @@ def test_quality(spark):
     r = {x.doc_id: x for x in quality(df).collect()}
     assert [i for i in sorted(r) if r[i].natural] == [0, 5, 8, 10]
     assert r[0].n_words == len(PROSE.split()) and abs(r[0].punct_line_share - 1) < 1e-9 and r[0].running_share == 1
-    assert "few_running_sentences" in r[4].reasons and r[2].bullet_line_share == 1 and "bullets" in r[2].reasons
+    assert "few_running_sentences" in r[4].prose_reasons and r[2].bullet_line_share == 1 and "bullet_lines" in r[2].reasons
     assert r[6].n_chars == r[7].n_chars == 0 and r[6].reasons == r[7].reasons and r[1].symbol_ratio > 0.15
     assert quality(df.limit(0)).count() == 0
+
+
+def test_published_rules_at_their_thresholds(spark):
+    words = "the road and its edge have been seen with care".split()
+    prose = lambda n: " ".join(words[i % 10] for i in range(n))
+    sentences = "The road is dry and was checked with care on Monday. " * 6
+    cases = {
+        "word_count": (prose(49), prose(50)), "word_length": ("ab " * 60, "abc " * 60), "hashes": ("#word " * 60, prose(60)), "ellipses": ("and so ... " * 30, prose(60)),
+        "bullet_lines": ("\n".join(["- one more"] * 19 + ["end."]), "\n".join(["- one more"] * 9 + ["end."])), "ellipsis_lines": ("and so...\n" * 4 + "end.\n" * 6, "and so...\n" * 3 + "end.\n" * 7),
+        "alphabetic_words": ("12 word 7 " * 20, "word 12 word word word " * 20), "stop_words": ("lorry " * 60, "lorry the and " * 20), "sentences": ("The road is dry. " * 4, sentences),
+        "curly_bracket": ("if (a) { b }", sentences), "line_punctuation": ("\n".join(["no end"] * 9 + ["end."]), "\n".join(["no end"] * 7 + ["end."])),
+        "repeated_lines": (sentences + "\n" + sentences, sentences), "short_lines": ("short\n" * 67 + (prose(12) + "\n") * 33, "short\n" * 66 + (prose(12) + "\n") * 34),
+    }
+    rows = [(f"{name}{k}", text) for name, both in cases.items() for k, text in enumerate(both)]
+    got = {r.doc_id: r.reasons.split(",") for r in quality(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for name in cases:
+        assert name in got[f"{name}0"] and name not in got[f"{name}1"], name

@@ -1,38 +1,70 @@
-"""Per-document text quality statistics and fixed-threshold rules, as Column expressions that stay in the JVM."""
+"""Per-document text quality statistics and published fixed-threshold rules, as Column expressions that stay in the JVM.
+
+Words are taken out of each line once; all counts of a document are sums over its lines. Published rules name what they
+find wrong with a document. Whether most of a text is running sentences is decided line by line: a line runs if it
+passes the published rules for lines (three words or more, no bullet, common words) and isn't built by delimiters.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Common words of English, German and Spanish; fixed values.
-COMMON = (
-    "a an and are as at be been but by for from had has have he her his if in is it its near no not of on only or our she so "
-    "that the their them then there they this to until was we were when which with would you about because before after again "
-    "aber als am auch auf aus bei beim bis da das dem den der des die du ein eine einem einen einer er es für hat ich ihr im "
-    "ist kein keine mit nach nicht noch nur oder schon sich sie sind um und unter vom von vor war wenn wie wird wir zu zum zur "
-    "al ante cada como con cuando de del desde donde el ella en entre esta este está fue hay hasta la las le lo los más mi muy "
-    "o para pero por porque que se según ser si sin sobre son su sus también todavía un una unas uno unos y ya"
-).split()
-
-#: A line that is an item of a list, a row of a table, a log, code or a menu.
+#: Common words by language; fixed values, a parameter of every function.
+COMMON = {
+    "en": (
+        "a an and are as at be been but by for from had has have he her his if in is it its near no not of on only or our she so "
+        "that the their them then there they this to until was we were when which with would you about because before after again"
+    ).split(),
+    "de": (
+        "aber als am auch auf aus bei beim bis da das dem den der des die du ein eine einem einen einer er es für hat ich ihr im "
+        "ist kein keine mit nach nicht noch nur oder schon sich sie sind um und unter vom von vor war wenn wie wird wir zu zum zur"
+    ).split(),
+    "es": (
+        "al ante cada como con cuando de del desde donde el ella en entre esta este está fue hay hasta la las le lo los más mi muy "
+        "o para pero por porque que se según ser si sin sobre son su sus también todavía un una unas uno unos y ya"
+    ).split(),
+}
+#: The eight stop words of a published rule, and as many of the commonest words of the other languages; fixed values.
+STOP = {
+    "en": "the be to of and that have with".split(),
+    "de": "der die und in das von zu mit".split(),
+    "es": "de la que el en y los con".split(),
+}
+
 BULLET = r"^\s*(?:[-*•–·◦‣]|\d{1,3}[.)]|\p{L}\))\s"
+#: What a line of a list, table, log or code may begin with.
 OPENS = BULLET + r"|^\s*[\[{<]"
 QUOTED = r"^\s*[|>]+ "
-ENDS = r"[.!?…]['\"”’»)\]]*\s*$"
-SENTENCE_END = r"\p{L}\p{L}[.!?…]+['\"”’»)\]]*(?:\s|$)|\d[.!?]+['\"”’»)\]]*(?:\s+\p{L}|\s*$)"
+ENDS = r"[.!?…]['\"”’»)\]]*$"
+SENTENCE_END = r"[.!?…](?:(?<=\p{L}\p{L}.)[.!?…]*['\"”’»)\]]*(?:\s|$)|(?<=\d[.!?])[.!?]*['\"”’»)\]]*(?:\s+\p{L}|\s*$))"
+BLANKS = " \t  　"
 
+#: What is wrong with a document, by rules published with their thresholds; fixed values.
 RULES = {
-    "few_words": "n_words < 5",
-    "word_length": "mean_word_length < 2.5 or mean_word_length > 10",
-    "symbols": "symbol_ratio > 0.25",
-    "bullets": "bullet_line_share > 0.9",
-    "ellipses": "ellipsis_line_share > 0.3",
-    "no_letters": "alpha_word_share < 0.6",
+    # Rae et al. 2021 (Gopher), A1.1
+    "word_count": "n_words < 50 or n_words > 100000",
+    "word_length": "mean_word_length < 3 or mean_word_length > 10",
+    "hashes": "hash_word_ratio > 0.1",
+    "ellipses": "ellipsis_word_ratio > 0.1",
+    "bullet_lines": "bullet_line_share > 0.9",
+    "ellipsis_lines": "ellipsis_line_share > 0.3",
+    "alphabetic_words": "alpha_word_share < 0.8",
+    "stop_words": "n_stop_words < 2",
+    # Raffel et al. 2020 (C4), 2.2
+    "sentences": "n_sentences < 5",
+    "curly_bracket": "has_curly_bracket",
+    # Penedo et al. 2024 (FineWeb), 3.6
+    "line_punctuation": "punct_line_share <= 0.12",
+    "repeated_lines": "repeated_line_share >= 0.1",
+    "short_lines": "short_line_share >= 0.67",
+}
+#: The rules of this package for what is natural prose; what they look at is counted by the statistics above.
+PROSE = {
+    "few_running_sentences": "running_share < 0.5",
     "few_common_words": "common_word_share < 0.1",
     "only_common_words": "common_word_share > 0.65",
-    "no_sentences": "n_words >= 40 and sentence_ends * 80 < n_words",
-    "few_running_sentences": "running_share < 0.5",
+    "no_sentences": "n_words >= 40 and n_sentences * 80 < n_words",
 }
 
 
@@ -40,88 +72,89 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def _is_common(w: Column) -> Column:
-    return w.isin(COMMON)
-
-
 def _let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def _occurrences(x: Column, part: str) -> Column:
+    return (F.length(x) - F.length(F.replace(x, F.lit(part), F.lit("")))) / len(part)
+
+
 def _structured(line: Column) -> Column:
-    """An item, log or code by how it begins, a table or menu by its delimiters; all patterns take linear time."""
-    bars = F.length(line) - F.length(F.translate(line, "|›", ""))
-    semicolons = F.regexp_count(line, F.lit(r";(?! )"))
-    columns = F.regexp_count(line, F.lit(r"\S {3,}(?=\S)"))
-    commas = F.regexp_count(line, F.lit(r",(?=\S)"))
-    return line.rlike(OPENS) | line.contains("\t") | (bars >= 2) | (semicolons >= 3) | (columns >= 2) | (commas >= 3)
-
-
-def _line(line: Column) -> Column:
-    bare = F.regexp_replace(line, QUOTED, "")
-    n_common = lambda ws: F.size(F.filter(ws, _is_common))
-    return _let(
-        F.struct(F.regexp_extract_all(F.lower(bare), F.lit(r"\p{L}+"), F.lit(0)).alias("ws"), _structured(bare).alias("structured")),
-        lambda s: F.struct(
-            F.length(line).alias("n"),
-            (~s["structured"] & (F.size(s["ws"]) >= 3) & (n_common(s["ws"]) * 8 >= F.greatest(F.lit(8), F.size(s["ws"])))).alias("runs"),
-            (~s["structured"] & line.rlike(ENDS)).alias("ends"),
-            line.rlike(BULLET).alias("bullet"),
-            line.rlike(ENDS).alias("punct"),
-            line.rlike(r"(?:…|\.\.\.)\s*$").alias("dots"),
-        ),
-    )
+    """An item, log or code by how it begins, a table or menu by its delimiters; all patterns take linear time. A
+    semicolon or comma in running text has a blank behind it."""
+    bars = _occurrences(line, "|") + _occurrences(line, "›")
+    tight = lambda c: _occurrences(line, c) - _occurrences(line, c + " ")
+    columns = F.when(line.contains("   "), F.regexp_count(line, F.lit(r"\S {3,}(?=\S)"))).otherwise(0)
+    return line.contains("\t") | (bars >= 2) | line.rlike(OPENS) | (tight(";") >= 3) | (tight(",") - F.when(line.endswith(","), 1).otherwise(0) >= 3) | (columns >= 2)
+
+
+def _line(line: Column, common: list[str], stop: list[str]) -> Column:
+    marked = F.substring(F.ltrim(line), 1, 1).isin("|", ">")
+    words = lambda b: F.regexp_extract_all(F.lower(b), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+    def of(s: Column) -> Column:
+        w, end = s["w"], s["end"]
+        ends = F.substring(end, -16, 16).rlike(ENDS)
+        # a word below ":" begins with a digit
+        return _let(
+            F.struct(F.filter(w, lambda x: x.isin(common)).alias("c"), F.size(F.filter(w, lambda x: (x >= ":") | x.rlike(r"\p{L}"))).alias("alpha"), _structured(s["bare"]).alias("structured")),
+            lambda k: F.struct(
+                F.length(line).alias("n"), F.size(w).alias("words"), F.length(F.array_join(w, "")).alias("letters"), k["alpha"].alias("alpha"), F.size(k["c"]).alias("common"),
+                F.size(F.filter(k["c"], lambda x: x.isin(stop))).alias("stop"),
+                (~k["structured"] & (k["alpha"] >= 3) & (F.size(k["c"]) * 8 >= F.greatest(F.lit(8), k["alpha"]))).alias("runs"),
+                (~k["structured"] & ends).alias("closes"), ends.alias("punct"), line.rlike(BULLET).alias("bullet"), (end.endswith("…") | end.endswith("...")).alias("dots"),
+            ),
+        )
+
+    return _let(F.when(marked, F.regexp_replace(line, QUOTED, "")).otherwise(line), lambda b: _let(F.struct(words(b).alias("w"), b.alias("bare"), F.rtrim(line, F.lit(BLANKS)).alias("end")), of))
 
 
 def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0).cast("long"), lambda acc, v: acc + v)
 
 
-def _statistics(x: Column) -> Column:
-    def count(f: Column, name: str) -> Column:
-        return F.size(F.filter(f, lambda s: s[name]))
-
+def _statistics(x: Column, common: list[str], stop: list[str]) -> Column:
     def of(p: Column) -> Column:
-        f, w = p["f"], p["w"]
-        n_lines, n_words = F.size(f), F.size(w)
-        runs = F.transform(f, lambda s, i: F.when(s["runs"] | (s["ends"] & (i > 0) & F.coalesce(F.get(f, i - 1)["runs"], F.lit(False))), s["n"]).otherwise(0))
-        return F.struct(
-            F.length(x).cast("long").alias("n_chars"),
-            n_words.cast("long").alias("n_words"),
-            _share(_total(F.transform(w, F.length)), n_words).alias("mean_word_length"),
-            _share(F.length(F.regexp_replace(x, r"[\s\p{L}\p{N}]", "")), F.length(F.regexp_replace(x, r"\s", ""))).alias("symbol_ratio"),
-            _share(F.size(F.filter(w, lambda s: s.rlike(r"\p{L}"))), n_words).alias("alpha_word_share"),
-            n_lines.cast("long").alias("n_lines"),
-            _share(count(f, "punct"), n_lines).alias("punct_line_share"),
-            _share(count(f, "bullet"), n_lines).alias("bullet_line_share"),
-            _share(count(f, "dots"), n_lines).alias("ellipsis_line_share"),
-            _share(F.size(F.filter(w, _is_common)), n_words).alias("common_word_share"),
-            F.regexp_count(x, F.lit(SENTENCE_END)).cast("long").alias("sentence_ends"),
-            _share(_total(runs), _total(F.transform(f, lambda s: s["n"]))).alias("running_share"),
-        )
-
-    lines = F.filter(F.split(x, r"\r\n|\r|\n", -1), lambda s: F.trim(s) != "")
-    return _let(F.struct(F.transform(lines, _line).alias("f"), F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w")), of)
-
-
-def quality(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_chars, n_words, mean_word_length, symbol_ratio, alpha_word_share, n_lines, punct_line_share,
-    bullet_line_share, ellipsis_line_share, common_word_share, sentence_ends, running_share, reasons, natural), one row
-    for each row with an id.
+        f, lines = p["f"], p["lines"]
+        n_lines = F.size(f)
+        total = lambda name: _total(F.transform(f, lambda s: s[name]))
+        count = lambda name: F.size(F.filter(f, lambda s: s[name]))
+        runs = F.transform(f, lambda s, i: F.when(s["runs"] | (s["closes"] & (i > 0) & F.coalesce(F.get(f, i - 1)["runs"], F.lit(False))), s["n"]).otherwise(0))
+        sums = F.struct(total("n").alias("n"), total("words").alias("words"), total("letters").alias("letters"), total("alpha").alias("alpha"), total("common").alias("common"), total("stop").alias("stop"), _total(runs).alias("runs"))
+        solid = F.length(F.translate(x, BLANKS + "\r\n\f\v", ""))
+        return _let(sums, lambda t: F.struct(
+            F.length(x).cast("long").alias("n_chars"), t["words"].alias("n_words"), _share(t["letters"], t["words"]).alias("mean_word_length"),
+            _share(solid - t["letters"], solid).alias("symbol_ratio"), _share(_occurrences(x, "#"), t["words"]).alias("hash_word_ratio"),
+            _share(_occurrences(x, "...") + _occurrences(x, "…"), t["words"]).alias("ellipsis_word_ratio"), _share(t["alpha"], t["words"]).alias("alpha_word_share"),
+            n_lines.cast("long").alias("n_lines"), _share(count("punct"), n_lines).alias("punct_line_share"), _share(count("bullet"), n_lines).alias("bullet_line_share"),
+            _share(count("dots"), n_lines).alias("ellipsis_line_share"), _share(F.size(F.filter(f, lambda s: s["n"] < 30)), n_lines).alias("short_line_share"),
+            _share(t["n"] - _total(F.transform(F.array_distinct(lines), F.length)), t["n"]).alias("repeated_line_share"),
+            _share(t["common"], t["words"]).alias("common_word_share"), t["stop"].alias("n_stop_words"), F.regexp_count(x, F.lit(SENTENCE_END)).cast("long").alias("n_sentences"),
+            x.contains("{").alias("has_curly_bracket"), _share(t["runs"], t["n"]).alias("running_share"),
+        ))
+
+    lines = F.filter(F.split(F.translate(x, "\r", "\n"), "\n", -1), lambda s: F.trim(s) != "")
+    return _let(lines, lambda ls: _let(F.struct(F.transform(ls, lambda s: _line(s, common, stop)).alias("f"), ls.alias("lines")), of))
+
+
+def quality(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", common: dict[str, list[str]] = COMMON, stop: dict[str, list[str]] = STOP) -> DataFrame:
+    """(doc_id, n_chars, n_words, mean_word_length, symbol_ratio, hash_word_ratio, ellipsis_word_ratio,
+    alpha_word_share, n_lines, punct_line_share, bullet_line_share, ellipsis_line_share, short_line_share,
+    repeated_line_share, common_word_share, n_stop_words, n_sentences, has_curly_bracket, running_share, reasons,
+    prose_reasons, natural), one row for each row with an id.
 
     A word is a run of letters and digits. running_share: characters of lines of running sentences, by characters of
     all lines. A line runs if it isn't an item, table row, log, code or menu and holds common words among three words
-    or more (a mark of quotation before it is left out of account), or ends the sentence of such a line. reasons names
-    each rule of RULES that fails, in that order, joined by commas. A null text counts as an empty one: all statistics
-    are 0 and it isn't natural prose. No rows give no rows. Other columns are ignored.
+    or more (a mark of quotation before it is left out of account), or ends the sentence of such a line. Texts may mix
+    languages, so the words of all languages given count. reasons names each published rule that fails, prose_reasons
+    each rule of PROSE, in their order, joined by commas; natural: none of PROSE fails. A null text counts as an empty
+    one: all statistics are 0 and it isn't natural prose. No rows give no rows. Other columns are ignored.
     """
+    flat = lambda d: sorted({w for ws in d.values() for w in ws})
     rows = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("x"))
     # a generator, so that no later filter or selection makes Catalyst copy the expressions
-    stats = rows.select("doc_id", F.inline(F.transform(F.array("x"), _statistics)))
-    reasons = F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in RULES.items()]))
-    return stats.withColumn("reasons", F.concat_ws(",", reasons)).withColumn("natural", F.col("reasons") == "")
-
-
-#: Rules that say by themselves that less than half of a text is running sentences.
-NOT_PROSE = ("few_common_words", "only_common_words", "no_sentences", "few_running_sentences")
+    stats = rows.select("doc_id", F.inline(F.transform(F.array("x"), lambda x: _statistics(x, flat(common), flat(stop)))))
+    failing = lambda rules: F.concat_ws(",", F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in rules.items()])))
+    return stats.withColumns({"reasons": failing(RULES), "prose_reasons": failing(PROSE)}).withColumn("natural", F.col("prose_reasons") == "")
