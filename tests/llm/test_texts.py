@@ -1,13 +1,13 @@
 import random
+import re
 
 import numpy as np
 import pytest
-import xxhash
 
 from wayline.llm import leaks as lk
 from wayline.llm import mixing
 from wayline.llm.mixing import mix, pfair, rounds, schedule, token_counts
-from wayline.llm.quality import quality
+from wayline.llm.quality import natural_prose, quality
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -53,19 +53,18 @@ def test_leaks_against_the_rule():
             elif len(part) > 1:
                 del part[p]
         text = [rng.randrange(40) for _ in range(15)] + part + [rng.randrange(40) for _ in range(15)]
-        h = lambda ws: np.array([xxhash.xxh3_64_intdigest(str(w).encode()) for w in ws], np.uint64)
-        a, b = h(text), h(pas)
+        a, b = (lk.word_hashes([" ".join(map(str, ws))])[0] for ws in (text, pas))
         at = {}
-        for g, q in zip(*lk.winnow(b)):
-            at.setdefault(int(g), []).append(int(q))
-        hits = [(int(x), q) for g, x in zip(*lk.winnow(a)) for q in at.get(int(g), ())]
+        for q, g in enumerate(lk.grams(b, lk.K)):
+            at.setdefault(int(g), []).append(q)
+        hits = [(x, q) for x, g in enumerate(lk.grams(a, lk.K)) for q in at.get(int(g), ())]
         want = hold(text, pas)
         seen[want] += 1
         assert bool(lk.match(a.tolist(), set(a.tolist()), b.tolist(), hits)) == want
     assert min(seen.values()) > 5
 
 
-def test_leaks_in_tables(spark, monkeypatch):
+def test_leaks_in_tables(spark):
     p, q = passage(1), passage(2)
     docs = [
         (1, "before " + " ".join(p[5:17]).upper() + " after"), (2, " ".join(p[5:16])), (3, "\n\n".join(", ".join(q[i : i + 7]) for i in range(0, 60, 7))), (4, None), (5, ""), (None, " ".join(p)),
@@ -74,13 +73,54 @@ def test_leaks_in_tables(spark, monkeypatch):
     d = spark.createDataFrame([(*x, "clash") for x in docs], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([(10, " ".join(p)), (20, " ".join(q)), (30, "too short"), (40, None), (None, " ".join(p)), (10, " ".join(p))], "item_id long, passage string")
     want = {(1, 10), (3, 20), (6, 20), (7, 10), (7, 20)}
-    for chars in (lk.BLOCK_CHARS, 200):
-        monkeypatch.setattr(lk, "BLOCK_CHARS", chars)
-        got = [(r.doc_id, r.item_id) for r in lk.leaks(d, items).collect()]
-        assert len(got) == len(set(got)) and set(got) == want
+    got = [(r.doc_id, r.item_id) for r in lk.leaks(d, items).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
     assert lk.leaks(d.limit(0), items).count() == 0 and lk.leaks(d, items.limit(0)).count() == 0
 
 
+def test_words_are_hashed_alike_in_any_piece(monkeypatch):
+    texts = ["Ein Straßen-Schild, größer als 3²m!", "", "  ", "x" * 70 + " tail", "ÉTÉ_été 12th", "\ud800 odd", "İstanbul"]
+    whole, first = lk.word_hashes(texts)
+    assert np.diff(first).tolist() == [6, 0, 0, 2, 3, 1, len(re.findall(r"[^\W_]+", "İstanbul".lower()))]
+    assert whole[first[4]] == whole[first[4] + 1] and len(set(whole.tolist())) == len(whole) - 1
+    monkeypatch.setattr(lk, "PIECE_CHARS", 5)
+    assert (lk.word_hashes(texts)[0] == whole).all()
+    for t, a, b in zip(texts, first, first[1:]):
+        assert (lk.word_hashes([t])[0] == whole[a:b]).all()
+
+
+def leaked(spark, docs, items):
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    i = spark.createDataFrame(list(enumerate(items)), "item_id long, passage string")
+    return {(r.doc_id, r.item_id): (r.kind, r.n_words) for r in lk.leaks(d, i).collect()}
+
+
+def test_the_whole_extent_of_a_long_edited_passage(spark):
+    p = passage(5, 400)
+    edited = ["other" if i % 11 == 10 else w for i, w in enumerate(p)]
+    (kind, n), = leaked(spark, ["start " + " ".join(edited) + " end"], [" ".join(p)]).values()
+    assert kind == "edited" and n > 390
+
+
+def test_stock_phrases_are_no_fingerprints_and_nothing_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(lk, "HOT", 3)
+    stock = "please read the following note with care before use".split()
+    items = [stock + passage(100 + i, 45) for i in range(8)] + [stock * 4 + passage(200, 5)] * 5 + [stock * 4 + passage(201 + i, 2) for i in range(5)]
+    items += [passage(300, 6) + stock + passage(301, 3)] * 2
+    rng = random.Random(5)
+
+    def edit(ws, every):
+        return [rng.choice(["zz", "qq"]) if i % every == every - 1 else w for i, w in enumerate(ws)]
+
+    docs = [stock, items[0][3:], edit(items[1], 6), edit(items[2][:30], 6), items[3][4:15], items[4][3:15], stock * 2, edit(stock * 4, 7), stock * 4, items[-1], passage(9, 80), edit(items[5], 5), stock + passage(9, 30)]
+    index = lk.fingerprints(spark.createDataFrame([(str(i), lk.word_hashes([" ".join(x)])[0].tobytes()) for i, x in enumerate(items[:8])], "key string, words binary"))
+    shared = {int(np.int64(g)) for g in lk.grams(lk.word_hashes([" ".join(stock)])[0], lk.K).view(np.int64)}
+    assert not shared & {r.hash for r in index.collect()}
+    got = set(leaked(spark, [" ".join(x) for x in docs], [" ".join(x) for x in items]))
+    assert got == {(d, i) for d, x in enumerate(docs) for i, p in enumerate(items) if hold(x, p)}
+    assert len(got) > 20
+
+
 @pytest.mark.parametrize("blocks", [{"a": 5, "b": 3, "c": 2}, {"a": 1, "b": 97, "c": 31, "d": 7}, {"a": 4}, {"a": 0, "b": 2}])
 def test_pfair_stays_within_a_block(blocks):
     out = list(pfair(blocks))
@@ -174,6 +214,7 @@ def test_quality(spark):
     assert r[0].n_words == len(PROSE.split()) and abs(r[0].punct_line_share - 1) < 1e-9 and r[0].running_share == 1
     assert "few_running_sentences" in r[4].prose_reasons and r[2].bullet_line_share == 1 and "bullet_lines" in r[2].reasons
     assert r[6].n_chars == r[7].n_chars == 0 and r[6].reasons == r[7].reasons and r[1].symbol_ratio > 0.15
+    assert {x.doc_id: (x.prose_reasons, x.natural) for x in natural_prose(df).collect()} == {i: (x.prose_reasons, x.natural) for i, x in r.items()}
     assert quality(df.limit(0)).count() == 0
 
 

@@ -1,120 +1,228 @@
 """Evaluation texts leaking into training text, by winnowing.
 
 Texts become lower-case words (runs of letters and digits). Every run of K words is hashed, and of each W successive
-hashes the smallest is kept, so any shared span of K + W - 1 = 5 words keeps a common fingerprint. A span of 30 words
-with at most one edit in six still holds five words in a row (25 kept words in at most six runs), so the fingerprints
-miss nothing that counts. The passages are the stated query set: in blocks of bounded size their fingerprints go to
-all tasks, where those of each text are joined with them; hits grow to maximal equal runs, and from each run of five
-words or more an alignment to both sides decides. No text is shuffled.
+hashes of a passage the smallest is kept, so any span of K + W - 1 = 5 words that a text shares with it holds a common
+fingerprint. A span of 30 words with at most one edit in six still holds five words in a row (25 kept words in at most
+six runs), so the fingerprints miss nothing that counts.
+
+One pass over the documents hashes their words and keeps, with a bitmap of bounded size, the grams that passages have;
+texts without any go no further. These are joined with the passages' grams. A pair goes on if it shares a fingerprint
+and as many grams as the rule leaves: an edit destroys at most K grams, so 30 words keep 27 - 5 K = 7 of theirs. From
+each equal run of such a pair an alignment to both sides decides.
+
+Stock phrases: a gram in more than `HOT` different passages would pair every text that has the phrase with all of them.
+Passages with such a gram are found without it. Twelve equal words are one gram of twelve words. And where every
+stretch of a passage holds more grams that aren't hot than its edits may destroy, one of these survives. Only passages
+that consist of stock phrases keep the hot grams too.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayline.session import checkpoint
+
 K, W = 4, 2
 EXACT_WORDS, FUZZY_WORDS, WORDS_PER_EDIT = 12, 30, 6
-_WORD = re.compile(r"[^\W_]+")
-_MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
-#: Passages are searched in blocks of about so many characters, each block against all documents.
-BLOCK_CHARS = 16_000_000
-
-
-def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
-
-
-class Hasher:
-    """64-bit hashes of words, remembered; forgets when it holds too many."""
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def of(self, ws: list[str]) -> np.ndarray:
-        if len(self.known) > 500_000:
-            self.known.clear()
-        known = self.known
-        out = np.empty(len(ws), np.uint64)
-        for i, w in enumerate(ws):
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w.encode())
-            out[i] = h
-        return out
-
-
-def winnow(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of the fingerprints of a text's word hashes."""
-    n = len(h) - K + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+HOT = 64
+#: More edits than the longest stretch that need be looked at may have.
+EDITS = 2 * FUZZY_WORDS // WORDS_PER_EDIT
+#: The bitmap has at most so many bits; where it fills up, more texts reach the join and the result is the same.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
+#: Words are hashed in pieces of so many characters, whatever the length of a text.
+PIECE_CHARS = 1 << 20
+BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(BASE, -1, 1 << 64)
+_table: np.ndarray | None = None
+_powers: tuple[np.ndarray, np.ndarray] | None = None
+
+
+def _is_word() -> np.ndarray:
+    global _table
+    if _table is None:
+        _table = np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
+    return _table
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and its inverse to the powers below n, by 2 to the 64."""
+    global _powers
+    if _powers is None or len(_powers[0]) < n:
+        size = max(n, PIECE_CHARS)
+        step = np.full(size, BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
+        step[0][0] = step[1][0] = 1
+        _powers = np.cumprod(step[0]), np.cumprod(step[1])
+    return _powers
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the words of all texts in a row, number of the first word of each text and behind the last)."""
+    lower = [t.lower() for t in texts]
+    code = np.frombuffer("\n".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = _is_word()[code]
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
+    start, end = edge[::2], edge[1::2]
+    out = np.empty(len(start), np.uint64)
+    a = 0
     with np.errstate(over="ignore"):
-        g = np.zeros(n, np.uint64)
-        for k in range(K):
-            x = h[k : k + n] * np.uint64(_MULT[k])
-            g += x ^ (x >> np.uint64(31))
-        g ^= g >> np.uint64(29)
-        g *= np.uint64(0xBF58476D1CE4E5B9)
-        g ^= g >> np.uint64(32)
-    if n < W:
-        keep = np.array([int(g.argmin())])
-    else:
-        view = np.lib.stride_tricks.sliding_window_view(g, W)
-        keep = np.unique(np.arange(len(view)) + (W - 1) - view[:, ::-1].argmin(axis=1))  # the last of equals
-    return g[keep].view(np.int64), keep.astype(np.int32)
-
-
-class Index:
-    """The fingerprints of a block of passages, sorted, with the passages as word hashes."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        hasher, marks = Hasher(), []
-        self.ids = [i for i, _ in items]
-        self.passages = [hasher.of(words(p)) for _, p in items]
-        for k, h in enumerate(self.passages):
-            g, at = winnow(h)
-            marks.append(np.stack([g, np.full(len(g), k, np.int64), at.astype(np.int64)]))
-        every = np.concatenate(marks, axis=1) if marks else np.zeros((3, 0), np.int64)
-        every = every[:, np.argsort(every[0], kind="stable")]
-        self.hashes, self.first = np.unique(every[0], return_index=True)
-        self.upto = np.append(self.first[1:], every.shape[1])
-        self.item, self.at = every[1], every[2]
-
-    def hits(self, g: np.ndarray, pos: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """The join of a text's fingerprints with the block's: by passage, (position in the text, in the passage)."""
-        out: dict[int, list[tuple[int, int]]] = {}
-        if not len(g) or not len(self.hashes):
-            return out
-        k = np.minimum(np.searchsorted(self.hashes, g), len(self.hashes) - 1)
-        for i in np.flatnonzero(self.hashes[k] == g):
-            for m in range(self.first[k[i]], self.upto[k[i]]):
-                out.setdefault(int(self.item[m]), []).append((int(pos[i]), int(self.at[m])))
-        return out
-
-
-def _search(index):
+        while a < len(start):
+            b = max(a + 1, int(np.searchsorted(end, start[a] + PIECE_CHARS, side="right")))
+            lo, hi = start[a], end[b - 1]
+            power, inverse = _power(int(hi - lo))
+            sums = np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum((code[lo:hi].astype(np.uint64) + np.uint64(1)) * power[: hi - lo], out=sums[1:])
+            out[a:b] = _mix((sums[end[a:b] - lo] - sums[start[a:b] - lo]) * inverse[start[a:b] - lo])
+            a = b
+    places = np.cumsum([0] + [len(t) + 1 for t in lower])
+    return out, np.searchsorted(start, places)
+
+
+def grams(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of every n successive words."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    size = len(h) - n + 1
+    with np.errstate(over="ignore"):
+        g = np.full(size, n, np.uint64)
+        for k in range(n):
+            g = g * np.uint64(0xD6E8FEB86659FD93) + h[k : k + size]
+        return _mix(g)
+
+
+def winnow(g: np.ndarray) -> np.ndarray:
+    """Which hashes are the smallest of W = 2 successive ones, the last of equals; a single one is."""
+    keep = np.full(len(g), len(g) == 1)
+    if len(g) > 1:
+        second = g[1:] <= g[:-1]
+        keep[1:] |= second
+        keep[:-1] |= ~second
+    return keep
+
+
+def _passage_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, words) to (key, n, at, hash, kept), n being K or EXACT_WORDS."""
+    for batch in batches:
+        rows = []
+        for k, words in enumerate(batch.column(1).to_pylist()):
+            h = np.frombuffer(words, np.uint64)
+            for n in (K, EXACT_WORDS) if len(h) >= EXACT_WORDS else ():
+                g = grams(h, n)
+                rows.append((np.full(len(g), k), np.full(len(g), n, np.int32), np.arange(len(g), dtype=np.int32), g.view(np.int64), winnow(g) if n == K else np.ones(len(g), bool)))
+        if rows:
+            key, *rest = (np.concatenate(c) for c in zip(*rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(key)), *map(pa.array, rest)], names=["key", "n", "at", "hash", "kept"])
+
+
+def shared_grams(n_words: int, hot: np.ndarray) -> int:
+    """How many grams at least a text shares with a passage that it holds edited, those aside that are hot. (A stretch
+    of twice the least length or more is two, of which one holds.)"""
+    rare = np.concatenate(([0], np.cumsum(~hot)))
+    least = n_words
+    for size in range(FUZZY_WORDS, min(2 * FUZZY_WORDS, n_words + 1)):
+        held = rare[size - K + 1 :] - rare[: len(rare) - (size - K + 1)]
+        least = min(least, int(held.min()) - K * (size // WORDS_PER_EDIT))
+    return least
+
+
+def _needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, number of grams, places of hot ones) to (key, touched, stock, need)."""
+    for batch in batches:
+        out = []
+        for n, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            hot = np.zeros(n, bool)
+            none = shared_grams(n + K - 1, hot)
+            if n + K - 1 < FUZZY_WORDS:
+                none = EXACT_WORDS - K + 1
+            hot[at] = True
+            need = shared_grams(n + K - 1, hot) if at else none
+            out.append((bool(at), need < 1, max(1, need) if need >= 1 else none))
+        cols = list(zip(*out)) if out else [[], [], []]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), k) for c, k in zip(cols, (pa.bool_(), pa.bool_(), pa.int32()))]], names=["key", "touched", "stock", "need"])
+
+
+def fingerprints(passages: DataFrame) -> DataFrame:
+    """(hash, key, p_at, kept, whole, need): the grams by which texts are searched for passages (key, words)."""
+    every = checkpoint(passages.mapInArrow(_passage_grams, "key string, n int, at int, hash long, kept boolean"))
+    four = every.where(f"n = {K}")
+    hot = four.groupBy("hash").agg(F.countDistinct("key").alias("passages")).where(F.col("passages") > HOT).select("hash", F.lit(True).alias("hot"))
+    marked = checkpoint(four.join(hot, "hash", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
+    places = marked.groupBy("key").agg(F.count("*").cast("int").alias("n"), F.collect_list(F.when(F.col("hot"), F.col("at"))).alias("at"))
+    needs = checkpoint(places.mapInArrow(_needs, "key string, touched boolean, stock boolean, need int"))
+    rows = marked.join(needs, "key").where("stock or not hot").select("hash", "key", F.col("at").alias("p_at"), F.expr("kept or touched").alias("kept"), F.lit(False).alias("whole"), "need")
+    whole = every.where(f"n = {EXACT_WORDS}").join(needs.where("touched"), "key").select("hash", "key", F.col("at").alias("p_at"), "kept", F.lit(True).alias("whole"), "need")
+    return checkpoint(rows.union(whole))
+
+
+def bitmap(index: DataFrame) -> np.ndarray:
+    """A bit for each hash of the index, by the hash's upper bits; as bytes, at most MOST_BITS / 8 of them."""
+    n = index.count()
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << int(64 * n).bit_length()))
+    shift = 64 - (size.bit_length() - 1)
+    bits = index.selectExpr(f"shiftrightunsigned(hash, {shift}) AS b").selectExpr("shiftright(b, 5) AS word", "shiftleft(1L, cast(b & 31 AS int)) AS mask")
+    words = bits.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    out = np.zeros(size // 32, np.uint32)  # as many rows as words of the bitmap, or fewer
+    out[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64).astype(np.uint32)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool) if size <= 1 << 22 else out
+
+
+def _seen(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
+    if bits.dtype == bool:
+        return bits[(g >> np.uint64(64 - (len(bits).bit_length() - 1))).astype(np.int64)]
+    at = g >> np.uint64(64 - ((len(bits) * 32).bit_length() - 1))
+    return (bits[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
+
+
+TEXT = "doc_id long, words binary, hashes array<long>, at array<int>"
+BATCH_CHARS = 1 << 20
+
+
+def _candidates(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix: Index = index.value
-        hasher = Hasher()
-        passages = [h.tolist() for h in ix.passages]
+        table = bits.value
+
+        def search(ids: list[int], texts: list[str]) -> pa.RecordBatch:
+            h, first = word_hashes(texts)
+            rows = []
+            owner = np.repeat(np.arange(len(ids)), np.diff(first))
+            found, places = [], []
+            for n in (K, EXACT_WORDS):
+                g = grams(h, n)
+                at = np.flatnonzero(_seen(table, g) & (owner[: len(g)] == owner[n - 1 :]) if len(g) else np.zeros(0, bool))
+                found.append(g[at])
+                places.append(at)
+            g, at = np.concatenate(found), np.concatenate(places)
+            order = np.argsort(owner[at], kind="stable") if len(at) else at
+            g, at = g[order], at[order]
+            own = owner[at] if len(at) else at
+            cuts = np.searchsorted(own, np.arange(len(ids) + 1))
+            for k in np.unique(own):
+                a, b = cuts[k], cuts[k + 1]
+                rows.append((ids[k], h[first[k] : first[k + 1]].tobytes(), g[a:b].view(np.int64), (at[a:b] - first[k]).astype(np.int32)))
+            cols = list(zip(*rows)) if rows else [[], [], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())))], names=["doc_id", "words", "hashes", "at"])
+
         for batch in batches:
-            out = []
+            ids, texts, size = [], [], 0
             for d, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                h = hasher.of(words(x.as_py()))
-                near = ix.hits(*winnow(h))
-                if near:
-                    ws = h.tolist()
-                    held = set(ws)
-                    out += [(d, ix.ids[k], *f) for k, hits in near.items() if (f := match(ws, held, passages[k], hits))]
-            cols = list(zip(*out)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int32()))], names=["doc_id", "item_id", "kind", "n_words"])
+                ids.append(d)
+                texts.append(x.as_py())
+                size += len(texts[-1])
+                if size >= BATCH_CHARS:
+                    yield search(ids, texts)
+                    ids, texts, size = [], [], 0
+            if ids:
+                yield search(ids, texts)
 
     return run
 
@@ -139,7 +247,8 @@ def _side(t: np.ndarray, p: np.ndarray) -> np.ndarray:
     return best
 
 
-#: A passage's stretch of 60 words or more that holds is two of 30 or more of which one holds, so no longer ones are sought.
+#: A passage's stretch of 60 words or more that holds is two of 30 or more of which one holds, so whether one holds is
+#: decided within this reach; how long it is, without.
 REACH = 2 * FUZZY_WORDS
 
 
@@ -157,6 +266,21 @@ def _may_hold(held: set[int], passage: list[int]) -> bool:
     return False
 
 
+def _extent(text: list[int], passage: list[int], n: int, a: int, b: int, reach: int) -> int:
+    """Words of the longest stretch of the passage that holds and takes in the equal run of n words at a and b, 0 if
+    none does; not farther than `reach` from the run."""
+    left = _side(np.array(text[max(0, a - 2 * reach) : a][::-1], np.uint64), np.array(passage[max(0, b - reach) : b][::-1], np.uint64))
+    right = _side(np.array(text[a + n : a + n + 2 * reach], np.uint64), np.array(passage[b + n : b + n + reach], np.uint64))
+    # of all ways to go on to one side only those count that no longer one scores as well as
+    best_right = np.maximum.accumulate(right[::-1])[::-1]
+    longest = 0
+    for i, score in enumerate(left):
+        j = int(np.searchsorted(-best_right, score + n, side="right")) - 1
+        if j >= 0:
+            longest = max(longest, i + j + n)
+    return longest if longest >= FUZZY_WORDS else 0
+
+
 def match(text: list[int], held: set[int], passage: list[int], hits: list[tuple[int, int]]) -> tuple[str, int] | None:
     """('exact', words of the longest equal run) or ('edited', words of the passage) if the text holds the passage,
     from common fingerprints at (position in the text, position in the passage). held: the words of the text."""
@@ -174,7 +298,7 @@ def match(text: list[int], held: set[int], passage: list[int], hits: list[tuple[
             e, f = e + 1, f + 1
         ends[a - b] = e
         longest = max(longest, e - i)
-        if e - i >= K + W - 1:
+        if e - i >= K:
             anchors.append((e - i, i, j))
     if longest >= EXACT_WORDS:
         return "exact", longest
@@ -184,36 +308,63 @@ def match(text: list[int], held: set[int], passage: list[int], hits: list[tuple[
         own = passage[max(0, b - REACH) : b + n + REACH]
         if not _may_hold(set(text[max(0, a - REACH - REACH // 4) : a + n + REACH + REACH // 4]), own):
             continue
-        left = _side(np.array(text[max(0, a - 2 * REACH) : a][::-1], np.uint64), np.array(passage[max(0, b - REACH) : b][::-1], np.uint64))
-        right = _side(np.array(text[a + n : a + n + 2 * REACH], np.uint64), np.array(passage[b + n : b + n + REACH], np.uint64))
-        total = left[:, None] + right[None, :] + n
-        length = np.arange(len(left))[:, None] + np.arange(len(right))[None, :] + n
-        good = (total >= 0) & (length >= FUZZY_WORDS)
-        if good.any():
-            return "edited", int(length[good].max())
+        if words := _extent(text, passage, n, a, b, REACH):
+            return "edited", max(words, _extent(text, passage, n, a, b, n_passage)) if n_passage > 2 * REACH else words
     return None
 
 
-LEAK = "doc_id long, item_id long, kind string, n_words int"
+LEAK = "doc_id long, key string, kind string, n_words int"
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out, last, held, text = [], None, set(), []
+        for d, words, key, passage, hits in zip(batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:])):
+            if words != last:
+                text = np.frombuffer(words.as_py(), np.uint64).tolist()
+                last, held = words, set(text)
+            if f := match(text, held, np.frombuffer(passage, np.uint64).tolist(), [(h["at"], h["p_at"]) for h in hits]):
+                out.append((d, key, *f))
+        cols = list(zip(*out)) if out else [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int32()))], names=["doc_id", "key", "kind", "n_words"])
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [word_hashes([p])[0].tobytes() for p in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], names=["item_id", "words"])
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage") -> DataFrame:
     """(doc_id, item_id, kind, n_words): every document that holds a passage, at least 12 successive words of it
-    ('exact') or at least 30 with at most one word in six replaced, added or left out ('edited').
+    ('exact', with the words of the longest equal run) or at least 30 with at most one word in six replaced, added or
+    left out ('edited', with the words of the passage that are held so).
 
     Rows with a null id or text are left out, texts and passages of fewer words than a fingerprint match nothing.
     Documents posted again under their own id are each reported; rows repeated under one id count once (the result is
-    distinct), different texts under one id count together. Empty tables give no rows.
+    distinct), different texts under one id count together. Passages of the same words are sought once. Empty tables
+    give no rows.
     """
     spark = documents.sparkSession
     docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     own = items.where(F.col(item_id).isNotNull() & F.col(passage).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(passage).alias("passage")).distinct()
-    size = own.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_CHARS))
-    found = None
-    for k in range(blocks):
-        block = [(r.item_id, r.passage) for r in own.where(F.pmod(F.xxhash64("passage"), F.lit(blocks)) == k).collect()]  # about BLOCK_CHARS
-        part = docs.mapInArrow(_search(spark.sparkContext.broadcast(Index(block))), LEAK) if block else spark.createDataFrame([], LEAK)
-        found = part if found is None else found.unionByName(part)
+    named = checkpoint(own.mapInArrow(_hashed, "item_id long, words binary").withColumn("key", F.sha2("words", 256)))
+    passages = named.groupBy("key").agg(F.first("words").alias("words"))
+    index = fingerprints(passages)
+    # bounded: MOST_BITS
+    texts = checkpoint(docs.mapInArrow(_candidates(spark.sparkContext.broadcast(bitmap(index))), TEXT).withColumn("text_key", F.xxhash64("doc_id", "words")))
+    single = texts.dropDuplicates(["doc_id", "text_key"])
+    hits = single.select("doc_id", "text_key", F.inline(F.arrays_zip("hashes", "at"))).withColumnRenamed("hashes", "hash").join(index, "hash")
+    # what is held shifts by one place at most with each edit: all its grams lie in one of two overlapping bands
+    band = F.floor((F.col("at") - F.col("p_at")) / EDITS)
+    keys = ["doc_id", "text_key", "key"]
+    bands = hits.withColumn("band", F.explode(F.array(band, band + 1))).repartition(*keys).groupBy(*keys, "band").agg(
+        F.collect_set(F.struct("at", "p_at")).alias("hits"), F.bool_or("kept").alias("kept"), F.bool_or("whole").alias("whole"), F.max("need").alias("need")
+    )
+    enough = F.size(F.array_distinct(F.transform("hits", lambda x: x["p_at"]))) >= F.col("need")
+    bands = bands.where(F.col("whole") | (F.col("kept") & (F.size("hits") >= F.col("need")))).where(F.col("whole") | enough)
+    pairs = bands.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
+    pairs = pairs.join(passages.withColumnRenamed("words", "passage"), "key").join(single.select("doc_id", "text_key", "words"), ["doc_id", "text_key"])
+    found = pairs.select("doc_id", "words", "key", "passage", "hits").mapInArrow(_align, LEAK).join(named.select("item_id", "key"), "key")
     # only documents that leak: few rows, for ids that repeat
     return found.groupBy("doc_id", "item_id").agg(F.min(F.struct("kind", (-F.col("n_words")).alias("n"))).alias("s")).select("doc_id", "item_id", F.col("s.kind").alias("kind"), (-F.col("s.n")).cast("int").alias("n_words"))

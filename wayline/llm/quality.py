@@ -90,7 +90,7 @@ def _structured(line: Column) -> Column:
     return line.contains("\t") | (bars >= 2) | line.rlike(OPENS) | (tight(";") >= 3) | (tight(",") - F.when(line.endswith(","), 1).otherwise(0) >= 3) | (columns >= 2)
 
 
-def _line(line: Column, common: list[str], stop: list[str]) -> Column:
+def _line(line: Column, common: list[str], stop: list[str], wanted: set[str]) -> Column:
     marked = F.substring(F.ltrim(line), 1, 1).isin("|", ">")
     words = lambda b: F.regexp_extract_all(F.lower(b), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
@@ -98,15 +98,17 @@ def _line(line: Column, common: list[str], stop: list[str]) -> Column:
         w, end = s["w"], s["end"]
         ends = F.substring(end, -16, 16).rlike(ENDS)
         # a word below ":" begins with a digit
-        return _let(
-            F.struct(F.filter(w, lambda x: x.isin(common)).alias("c"), F.size(F.filter(w, lambda x: (x >= ":") | x.rlike(r"\p{L}"))).alias("alpha"), _structured(s["bare"]).alias("structured")),
-            lambda k: F.struct(
-                F.length(line).alias("n"), F.size(w).alias("words"), F.length(F.array_join(w, "")).alias("letters"), k["alpha"].alias("alpha"), F.size(k["c"]).alias("common"),
-                F.size(F.filter(k["c"], lambda x: x.isin(stop))).alias("stop"),
-                (~k["structured"] & (k["alpha"] >= 3) & (F.size(k["c"]) * 8 >= F.greatest(F.lit(8), k["alpha"]))).alias("runs"),
-                (~k["structured"] & ends).alias("closes"), ends.alias("punct"), line.rlike(BULLET).alias("bullet"), (end.endswith("…") | end.endswith("...")).alias("dots"),
-            ),
-        )
+        first = F.struct(F.filter(w, lambda x: x.isin(common)).alias("c"), F.size(F.filter(w, lambda x: (x >= ":") | x.rlike(r"\p{L}"))).alias("alpha"), _structured(s["bare"]).alias("structured"))
+
+        def counts(k: Column) -> Column:
+            out = {
+                "n": F.length(line), "words": F.size(w), "letters": F.length(F.array_join(w, "")), "alpha": k["alpha"], "common": F.size(k["c"]), "stop": F.size(F.filter(k["c"], lambda x: x.isin(stop))),
+                "runs": ~k["structured"] & (k["alpha"] >= 3) & (F.size(k["c"]) * 8 >= F.greatest(F.lit(8), k["alpha"])), "closes": ~k["structured"] & ends,
+                "punct": ends, "bullet": line.rlike(BULLET), "dots": end.endswith("…") | end.endswith("..."),
+            }
+            return F.struct(*[c.alias(name) for name, c in out.items() if name in wanted])
+
+        return _let(first, counts)
 
     return _let(F.when(marked, F.regexp_replace(line, QUOTED, "")).otherwise(line), lambda b: _let(F.struct(words(b).alias("w"), b.alias("bare"), F.rtrim(line, F.lit(BLANKS)).alias("end")), of))
 
@@ -115,28 +117,60 @@ def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0).cast("long"), lambda acc, v: acc + v)
 
 
-def _statistics(x: Column, common: list[str], stop: list[str]) -> Column:
+#: What each statistic needs to know of the lines.
+NEEDS = {
+    "n_chars": "", "n_words": "words", "mean_word_length": "letters words", "symbol_ratio": "letters", "hash_word_ratio": "words", "ellipsis_word_ratio": "words", "alpha_word_share": "alpha words",
+    "n_lines": "", "punct_line_share": "punct", "bullet_line_share": "bullet", "ellipsis_line_share": "dots", "short_line_share": "", "repeated_line_share": "", "common_word_share": "common words",
+    "n_stop_words": "stop", "n_sentences": "", "has_curly_bracket": "", "running_share": "runs closes",
+}
+
+
+def _statistics(x: Column, common: list[str], stop: list[str], statistics: list[str]) -> Column:
+    wanted = {"n", *" ".join(NEEDS[s] for s in statistics).split()}
+
     def of(p: Column) -> Column:
         f, lines = p["f"], p["lines"]
         n_lines = F.size(f)
         total = lambda name: _total(F.transform(f, lambda s: s[name]))
         count = lambda name: F.size(F.filter(f, lambda s: s[name]))
-        runs = F.transform(f, lambda s, i: F.when(s["runs"] | (s["closes"] & (i > 0) & F.coalesce(F.get(f, i - 1)["runs"], F.lit(False))), s["n"]).otherwise(0))
-        sums = F.struct(total("n").alias("n"), total("words").alias("words"), total("letters").alias("letters"), total("alpha").alias("alpha"), total("common").alias("common"), total("stop").alias("stop"), _total(runs).alias("runs"))
+        sums = [total(name).alias(name) for name in ("n", "words", "letters", "alpha", "common", "stop") if name in wanted]
         solid = F.length(F.translate(x, BLANKS + "\r\n\f\v", ""))
-        return _let(sums, lambda t: F.struct(
-            F.length(x).cast("long").alias("n_chars"), t["words"].alias("n_words"), _share(t["letters"], t["words"]).alias("mean_word_length"),
-            _share(solid - t["letters"], solid).alias("symbol_ratio"), _share(_occurrences(x, "#"), t["words"]).alias("hash_word_ratio"),
-            _share(_occurrences(x, "...") + _occurrences(x, "…"), t["words"]).alias("ellipsis_word_ratio"), _share(t["alpha"], t["words"]).alias("alpha_word_share"),
-            n_lines.cast("long").alias("n_lines"), _share(count("punct"), n_lines).alias("punct_line_share"), _share(count("bullet"), n_lines).alias("bullet_line_share"),
-            _share(count("dots"), n_lines).alias("ellipsis_line_share"), _share(F.size(F.filter(f, lambda s: s["n"] < 30)), n_lines).alias("short_line_share"),
-            _share(t["n"] - _total(F.transform(F.array_distinct(lines), F.length)), t["n"]).alias("repeated_line_share"),
-            _share(t["common"], t["words"]).alias("common_word_share"), t["stop"].alias("n_stop_words"), F.regexp_count(x, F.lit(SENTENCE_END)).cast("long").alias("n_sentences"),
-            x.contains("{").alias("has_curly_bracket"), _share(t["runs"], t["n"]).alias("running_share"),
-        ))
+
+        def out(t: Column) -> Column:
+            running = lambda s, i: F.when(s["runs"] | (s["closes"] & (i > 0) & F.coalesce(F.get(f, i - 1)["runs"], F.lit(False))), s["n"]).otherwise(0)
+            every = {
+                "n_chars": lambda: F.length(x).cast("long"), "n_words": lambda: t["words"], "mean_word_length": lambda: _share(t["letters"], t["words"]),
+                "symbol_ratio": lambda: _share(solid - t["letters"], solid), "hash_word_ratio": lambda: _share(_occurrences(x, "#"), t["words"]),
+                "ellipsis_word_ratio": lambda: _share(_occurrences(x, "...") + _occurrences(x, "…"), t["words"]), "alpha_word_share": lambda: _share(t["alpha"], t["words"]),
+                "n_lines": lambda: n_lines.cast("long"), "punct_line_share": lambda: _share(count("punct"), n_lines), "bullet_line_share": lambda: _share(count("bullet"), n_lines),
+                "ellipsis_line_share": lambda: _share(count("dots"), n_lines), "short_line_share": lambda: _share(F.size(F.filter(f, lambda s: s["n"] < 30)), n_lines),
+                "repeated_line_share": lambda: _share(t["n"] - _total(F.transform(F.array_distinct(lines), F.length)), t["n"]), "common_word_share": lambda: _share(t["common"], t["words"]),
+                "n_stop_words": lambda: t["stop"], "n_sentences": lambda: F.regexp_count(x, F.lit(SENTENCE_END)).cast("long"), "has_curly_bracket": lambda: x.contains("{"),
+                "running_share": lambda: _share(_total(F.transform(f, running)), t["n"]),
+            }
+            return F.struct(*[every[s]().alias(s) for s in statistics])
+
+        return _let(F.struct(*sums), out)
 
     lines = F.filter(F.split(F.translate(x, "\r", "\n"), "\n", -1), lambda s: F.trim(s) != "")
-    return _let(lines, lambda ls: _let(F.struct(F.transform(ls, lambda s: _line(s, common, stop)).alias("f"), ls.alias("lines")), of))
+    return _let(lines, lambda ls: _let(F.struct(F.transform(ls, lambda s: _line(s, common, stop, wanted)).alias("f"), ls.alias("lines")), of))
+
+
+def _measured(documents: DataFrame, doc_id: str, text: str, common: dict, stop: dict, statistics: list[str]) -> DataFrame:
+    flat = lambda d: sorted({w for ws in d.values() for w in ws})
+    rows = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("x"))
+    # a generator, so that no later filter or selection makes Catalyst copy the expressions
+    return rows.select("doc_id", F.inline(F.transform(F.array("x"), lambda x: _statistics(x, flat(common), flat(stop), statistics))))
+
+
+def _failing(rules: dict[str, str]) -> Column:
+    return F.concat_ws(",", F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in rules.items()])))
+
+
+def natural_prose(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", common: dict[str, list[str]] = COMMON) -> DataFrame:
+    """(doc_id, prose_reasons, natural) as quality() has them, with only the statistics that these rules need."""
+    stats = _measured(documents, doc_id, text, common, {}, ["n_words", "common_word_share", "n_sentences", "running_share"])
+    return stats.select("doc_id", _failing(PROSE).alias("prose_reasons")).withColumn("natural", F.col("prose_reasons") == "")
 
 
 def quality(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", common: dict[str, list[str]] = COMMON, stop: dict[str, list[str]] = STOP) -> DataFrame:
@@ -152,9 +186,5 @@ def quality(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", co
     each rule of PROSE, in their order, joined by commas; natural: none of PROSE fails. A null text counts as an empty
     one: all statistics are 0 and it isn't natural prose. No rows give no rows. Other columns are ignored.
     """
-    flat = lambda d: sorted({w for ws in d.values() for w in ws})
-    rows = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("x"))
-    # a generator, so that no later filter or selection makes Catalyst copy the expressions
-    stats = rows.select("doc_id", F.inline(F.transform(F.array("x"), lambda x: _statistics(x, flat(common), flat(stop)))))
-    failing = lambda rules: F.concat_ws(",", F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in rules.items()])))
-    return stats.withColumns({"reasons": failing(RULES), "prose_reasons": failing(PROSE)}).withColumn("natural", F.col("prose_reasons") == "")
+    stats = _measured(documents, doc_id, text, common, stop, list(NEEDS))
+    return stats.withColumns({"reasons": _failing(RULES), "prose_reasons": _failing(PROSE)}).withColumn("natural", F.col("prose_reasons") == "")

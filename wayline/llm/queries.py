@@ -9,7 +9,7 @@ from wayline.llm.groups import boruvka_groups, observation_links
 from wayline.llm.leaks import leaks
 from wayline.llm.mixing import mix
 from wayline.llm.nearest import nearest_in_time
-from wayline.llm.quality import quality
+from wayline.llm.quality import natural_prose, quality
 from wayline.llm.runs import collapse_runs, damage_class
 from wayline.llm.splits import picture_groups, split_of
 from wayline.session import table
@@ -86,7 +86,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that aren't natural prose."""
-    return quality(table(spark, d, "documents")).where("not natural").select("doc_id").distinct()
+    return natural_prose(table(spark, d, "documents")).where("not natural").select("doc_id").distinct()
 
 
 def p10_quality(spark: SparkSession, d: str) -> DataFrame:
