@@ -113,7 +113,8 @@ def test_stock_phrases_are_no_fingerprints_and_nothing_is_lost(spark, monkeypatc
         return [rng.choice(["zz", "qq"]) if i % every == every - 1 else w for i, w in enumerate(ws)]
 
     docs = [stock, items[0][3:], edit(items[1], 6), edit(items[2][:30], 6), items[3][4:15], items[4][3:15], stock * 2, edit(stock * 4, 7), stock * 4, items[-1], passage(9, 80), edit(items[5], 5), stock + passage(9, 30)]
-    index = lk.fingerprints(spark.createDataFrame([(str(i), lk.word_hashes([" ".join(x)])[0].tobytes()) for i, x in enumerate(items[:8])], "key string, words binary"))
+    rows = [(i, lk.word_hashes([" ".join(x)])[0].tobytes()) for i, x in enumerate(items[:8])]
+    index, _ = lk.fingerprints(spark.createDataFrame(rows, "key long, words binary"))
     shared = {int(np.int64(g)) for g in lk.grams(lk.word_hashes([" ".join(stock)])[0], lk.K).view(np.int64)}
     assert not shared & {r.hash for r in index.collect()}
     got = set(leaked(spark, [" ".join(x) for x in docs], [" ".join(x) for x in items]))

@@ -151,17 +151,18 @@ def _needs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(list(c), k) for c, k in zip(cols, (pa.bool_(), pa.bool_(), pa.int32()))]], names=["key", "touched", "stock", "need"])
 
 
-def fingerprints(passages: DataFrame) -> DataFrame:
-    """(hash, key, p_at, kept, whole, need): the grams by which texts are searched for passages (key, words)."""
-    every = checkpoint(passages.mapInArrow(_passage_grams, "key string, n int, at int, hash long, kept boolean"))
+def fingerprints(passages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hash, key, p_at, flags), the grams by which texts are searched for passages (key, words), and (key, need), how
+    many of them a text must share. flags: 1 for a fingerprint, 2 for a gram of twelve words."""
+    every = checkpoint(passages.select("key", "words").mapInArrow(_passage_grams, "key long, n int, at int, hash long, kept boolean"))
     four = every.where(f"n = {K}")
     hot = four.groupBy("hash").agg(F.countDistinct("key").alias("passages")).where(F.col("passages") > HOT).select("hash", F.lit(True).alias("hot"))
     marked = checkpoint(four.join(hot, "hash", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
     places = marked.groupBy("key").agg(F.count("*").cast("int").alias("n"), F.collect_list(F.when(F.col("hot"), F.col("at"))).alias("at"))
-    needs = checkpoint(places.mapInArrow(_needs, "key string, touched boolean, stock boolean, need int"))
-    rows = marked.join(needs, "key").where("stock or not hot").select("hash", "key", F.col("at").alias("p_at"), F.expr("kept or touched").alias("kept"), F.lit(False).alias("whole"), "need")
-    whole = every.where(f"n = {EXACT_WORDS}").join(needs.where("touched"), "key").select("hash", "key", F.col("at").alias("p_at"), "kept", F.lit(True).alias("whole"), "need")
-    return checkpoint(rows.union(whole))
+    needs = checkpoint(places.mapInArrow(_needs, "key long, touched boolean, stock boolean, need int"))
+    rows = marked.join(needs, "key").where("stock or not hot").selectExpr("hash", "key", "at AS p_at", "if(kept or touched, 1, 0) AS flags")
+    whole = every.where(f"n = {EXACT_WORDS}").join(needs.where("touched"), "key").selectExpr("hash", "key", "at AS p_at", "2 AS flags")
+    return checkpoint(rows.union(whole)), needs.select("key", "need")
 
 
 def bitmap(index: DataFrame) -> np.ndarray:
@@ -185,20 +186,36 @@ def _seen(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
 
 TEXT = "doc_id long, words binary, hashes array<long>, at array<int>"
 BATCH_CHARS = 1 << 20
+#: A stretch that need be looked at spans so many words of the text at most.
+SPAN = 2 * FUZZY_WORDS + EDITS
 
 
-def _candidates(bits):
+def _dense(at: np.ndarray, own: np.ndarray, need: int) -> np.ndarray:
+    """Which grams lie among `need` of one text within SPAN words; at rises within each text."""
+    out = np.zeros(len(at), bool)
+    if need <= 1:
+        return ~out
+    if len(at) >= need:
+        first = np.flatnonzero((at[need - 1 :] - at[: 1 - need] <= SPAN - K) & (own[need - 1 :] == own[: 1 - need]))
+        for k in range(need):
+            out[first + k] = True
+    return out
+
+
+def _candidates(bits, need: int):
+    """(doc_id, text) to TEXT, for texts that hold `need` grams of passages, or a gram of twelve words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = bits.value
 
         def search(ids: list[int], texts: list[str]) -> pa.RecordBatch:
             h, first = word_hashes(texts)
-            rows = []
             owner = np.repeat(np.arange(len(ids)), np.diff(first))
             found, places = [], []
             for n in (K, EXACT_WORDS):
                 g = grams(h, n)
-                at = np.flatnonzero(_seen(table, g) & (owner[: len(g)] == owner[n - 1 :]) if len(g) else np.zeros(0, bool))
+                at = np.flatnonzero(_seen(table, g) & (owner[: len(g)] == owner[n - 1 :])) if len(g) else np.zeros(0, np.int64)
+                at = at[_dense(at, owner[at], need)] if n == K else at
                 found.append(g[at])
                 places.append(at)
             g, at = np.concatenate(found), np.concatenate(places)
@@ -206,6 +223,7 @@ def _candidates(bits):
             g, at = g[order], at[order]
             own = owner[at] if len(at) else at
             cuts = np.searchsorted(own, np.arange(len(ids) + 1))
+            rows = []
             for k in np.unique(own):
                 a, b = cuts[k], cuts[k + 1]
                 rows.append((ids[k], h[first[k] : first[k + 1]].tobytes(), g[a:b].view(np.int64), (at[a:b] - first[k]).astype(np.int32)))
@@ -227,6 +245,35 @@ def _candidates(bits):
     return run
 
 
+PAIR = "tid long, key long, hits array<long>"
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tid, key, hits, whole, need) to PAIR. What is held shifts by one place at most with each edit, so all its grams
+    lie in one of two overlapping bands of places in the text less places in the passage; pairs with fewer than they
+    need in every band are dropped, and the hits outside of full bands."""
+    for batch in batches:
+        hits = batch.column("hits")
+        n = np.diff(hits.offsets.to_numpy())
+        flat = hits.flatten().to_numpy()
+        pair = np.repeat(np.arange(len(n)), n)
+        at, p_at = flat >> 32, flat & 0xFFFFFFFF
+        need, whole = batch.column("need").to_numpy(), batch.column("whole").to_numpy(zero_copy_only=False)
+        band = (at - p_at) // EDITS
+        full = whole[pair]
+        for shift in (0, 1):
+            _, group = np.unique(np.stack([pair, (band + shift) // 2]), axis=1, return_inverse=True)
+            places = np.unique(np.stack([group.ravel(), p_at]), axis=1)[0]
+            full |= np.bincount(places, minlength=group.max(initial=-1) + 1)[group.ravel()] >= need[pair]
+        kept = np.flatnonzero(full)
+        left = np.bincount(pair[kept], minlength=len(n))
+        some = np.flatnonzero(left)
+        ends = np.concatenate(([0], np.cumsum(left[some]))).astype(np.int32)
+        out = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[kept]))
+        rows = pa.array(some)
+        yield pa.RecordBatch.from_arrays([batch.column("tid").take(rows), batch.column("key").take(rows), out], names=["tid", "key", "hits"])
+
+
 def _side(t: np.ndarray, p: np.ndarray) -> np.ndarray:
     """best[l]: the best score of an alignment that takes in l more words of the passage p, beginning at its start,
     and any number of words of t from its start. A passage word scores 1 if it is met, -5 if replaced or left out, an
@@ -313,20 +360,20 @@ def match(text: list[int], held: set[int], passage: list[int], hits: list[tuple[
     return None
 
 
-LEAK = "doc_id long, key string, kind string, n_words int"
+LEAK = "doc_id long, key long, kind string, n_words int"
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out, last, held, text = [], None, set(), []
-        for d, words, key, passage, hits in zip(batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:])):
-            if words != last:
+        for d, tid, words, key, passage, hits in zip(*(batch.column(k).to_pylist() for k in range(2)), batch.column(2), *(c.to_pylist() for c in batch.columns[3:])):
+            if tid != last:
                 text = np.frombuffer(words.as_py(), np.uint64).tolist()
-                last, held = words, set(text)
-            if f := match(text, held, np.frombuffer(passage, np.uint64).tolist(), [(h["at"], h["p_at"]) for h in hits]):
+                last, held = tid, set(text)
+            if f := match(text, held, np.frombuffer(passage, np.uint64).tolist(), [(h >> 32, h & 0xFFFFFFFF) for h in hits]):
                 out.append((d, key, *f))
         cols = list(zip(*out)) if out else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int32()))], names=["doc_id", "key", "kind", "n_words"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.int32()))], names=["doc_id", "key", "kind", "n_words"])
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,23 +395,20 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     spark = documents.sparkSession
     docs = documents.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     own = items.where(F.col(item_id).isNotNull() & F.col(passage).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(passage).alias("passage")).distinct()
-    named = checkpoint(own.mapInArrow(_hashed, "item_id long, words binary").withColumn("key", F.sha2("words", 256)))
-    passages = named.groupBy("key").agg(F.first("words").alias("words"))
-    index = fingerprints(passages)
+    named = checkpoint(own.mapInArrow(_hashed, "item_id long, words binary"))
+    # numbers of a written table stay what they are
+    passages = checkpoint(named.groupBy("words").agg(F.count("*").alias("items")).withColumn("key", F.monotonically_increasing_id()))
+    index, needs = fingerprints(passages)
+    least = needs.agg(F.min("need")).first()[0] or 1
     # bounded: MOST_BITS
-    texts = checkpoint(docs.mapInArrow(_candidates(spark.sparkContext.broadcast(bitmap(index))), TEXT).withColumn("text_key", F.xxhash64("doc_id", "words")))
-    single = texts.dropDuplicates(["doc_id", "text_key"])
-    hits = single.select("doc_id", "text_key", F.inline(F.arrays_zip("hashes", "at"))).withColumnRenamed("hashes", "hash").join(index, "hash")
-    # what is held shifts by one place at most with each edit: all its grams lie in one of two overlapping bands
-    band = F.floor((F.col("at") - F.col("p_at")) / EDITS)
-    keys = ["doc_id", "text_key", "key"]
-    bands = hits.withColumn("band", F.explode(F.array(band, band + 1))).repartition(*keys).groupBy(*keys, "band").agg(
-        F.collect_set(F.struct("at", "p_at")).alias("hits"), F.bool_or("kept").alias("kept"), F.bool_or("whole").alias("whole"), F.max("need").alias("need")
-    )
-    enough = F.size(F.array_distinct(F.transform("hits", lambda x: x["p_at"]))) >= F.col("need")
-    bands = bands.where(F.col("whole") | (F.col("kept") & (F.size("hits") >= F.col("need")))).where(F.col("whole") | enough)
-    pairs = bands.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
-    pairs = pairs.join(passages.withColumnRenamed("words", "passage"), "key").join(single.select("doc_id", "text_key", "words"), ["doc_id", "text_key"])
-    found = pairs.select("doc_id", "words", "key", "passage", "hits").mapInArrow(_align, LEAK).join(named.select("item_id", "key"), "key")
+    found = docs.mapInArrow(_candidates(spark.sparkContext.broadcast(bitmap(index)), least), TEXT)
+    texts = checkpoint(found.withColumn("tid", F.monotonically_increasing_id()))
+    hits = texts.select("tid", F.inline(F.arrays_zip("hashes", "at"))).withColumnRenamed("hashes", "hash").join(index, "hash")
+    pairs = hits.groupBy("tid", "key").agg(F.collect_list(F.expr("shiftleft(cast(at AS long), 32) | p_at")).alias("hits"), F.bit_or("flags").alias("flags"))
+    pairs = pairs.join(needs, "key").withColumn("whole", F.col("flags") >= 2).where(F.col("whole") | ((F.col("flags") > 0) & (F.size("hits") >= F.col("need"))))
+    pairs = pairs.select("tid", "key", "hits", "whole", "need").mapInArrow(_banded, PAIR)
+    pairs = pairs.join(passages.select("key", F.col("words").alias("passage")), "key").join(texts.select("tid", "doc_id", "words"), "tid")
+    held = pairs.select("doc_id", "tid", "words", "key", "passage", "hits").mapInArrow(_align, LEAK)
+    held = held.join(passages.select("key", "words"), "key").join(named, "words")
     # only documents that leak: few rows, for ids that repeat
-    return found.groupBy("doc_id", "item_id").agg(F.min(F.struct("kind", (-F.col("n_words")).alias("n"))).alias("s")).select("doc_id", "item_id", F.col("s.kind").alias("kind"), (-F.col("s.n")).cast("int").alias("n_words"))
+    return held.groupBy("doc_id", "item_id").agg(F.min(F.struct("kind", (-F.col("n_words")).alias("n"))).alias("s")).select("doc_id", "item_id", F.col("s.kind").alias("kind"), (-F.col("s.n")).cast("int").alias("n_words"))
