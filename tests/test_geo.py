@@ -49,7 +49,7 @@ def test_boxes_and_region(spark):
 
 def test_misc(spark):
     r = one(spark, way=misc.way_of_segment(F.lit("way/12#3")), n=misc.padded_id("trk", F.lit(7)), c=misc.rdd_class(F.lit("D40")), x=misc.rdd_class(F.lit("D44")), k=misc.file_kind(F.lit("a/frames/f1.JPG")), e=misc.format_elapsed(F.lit(3725)), v=misc.video_time_to_epoch_ms(F.lit(1000), F.lit(0.25)), neg=misc.video_time_to_epoch_ms(F.lit(1000), F.lit(-1.0)))
-    assert (r.way, r.n, r.c, r.x, r.k, r.e, r.v, r.neg) == ("way/12", "trk00007", "pothole", None, "frame", "01:02:05", 1250, None)
+    assert (r.way, r.n, r.c, r.x, r.k, r.e, r.v, r.neg) == ("way/12", "trk00007", "pothole", None, "frames", "01:02:05", 1250, None)
 
 
 def test_content_hash_ignores_order(spark):

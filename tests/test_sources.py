@@ -49,10 +49,12 @@ def test_overpass_and_xml(spark, tmp_path):
 def test_annotations(spark, tmp_path):
     obj = lambda c, *b: f"<object><name>{c}</name><bndbox><xmin>{b[0]}</xmin><ymin>{b[1]}</ymin><xmax>{b[2]}</xmax><ymax>{b[3]}</ymax></bndbox></object>"
     head = "<annotation><filename>a.jpg</filename><size><width>100</width><height>80</height><depth>3</depth></size>"
-    (tmp_path / "a.xml").write_text(head + obj("D00", "10.7", 5, 400, 60) + obj("D44", 1, 1, 5, 5) + obj("D40", 9, 9, 3, 3) + obj("D10", "x", 1, 2, 3) + obj("D20", -5, -5, 5, 5) + "</annotation>")
-    r = annotations.read_voc(spark, str(tmp_path / "*.xml")).first()
-    assert (r.image_id, r.width, r.error) == ("a", 100, False)
-    assert [tuple(b) for b in r.boxes if b.rdd_code != "D10"] == [("D00", 10, 5, 100, 60), ("D20", 0, 0, 5, 5)]
+    (tmp_path / "a.xml").write_text(head + obj("D00", "10.7", 5, 400, 60) + obj("D44", 1, 1, 5, 5) + obj("D40", 9, 9, 3, 3) + obj("D10", "x", 1, 2, 3) + obj("D10", 1, 1, "abc", 30) + obj("D20", -5, -5, 5, 5) + "</annotation>")
+    (tmp_path / "b.xml").write_text(head.replace("<height>80</height>", "") + obj("D00", 1, 1, 5, 5) + "</annotation>")
+    (tmp_path / "c.xml").write_text("no xml")
+    got = {r.image_id: r for r in annotations.read_voc(spark, str(tmp_path / "*.xml")).collect()}
+    assert (got["a"].width, got["a"].error) == (100, False) and [tuple(b) for b in got["a"].boxes] == [("D00", 10, 5, 100, 60), ("D20", 0, 0, 5, 5)]
+    assert [(got[k].error, got[k].boxes) for k in "bc"] == [(True, [])] * 2
 
 
 def test_exports(spark, tmp_path):

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wayline.functions import geo
 from wayline.operators import clustering, detect, evaluate, pixels, roads, rollup, store, track, tracking, training
 
 T0 = 1_787_049_731_000
@@ -92,17 +93,43 @@ def test_clustering_both_ways(spark):
     assert d.observation_count == 3 and d.uncertainty_m >= 5.0 and d.survey_ids == ["s"]
 
 
-def test_clustering_by_components_is_the_global_rule(spark):
+def by_sequence(df):
+    """The rule itself: one candidate after another, against all clusters."""
+    c, clusters, out = clustering.ClusteringConfig(), {}, {}
+    for r in df.orderBy("observed_at", "observation_id").collect():
+        best, to = math.inf, r.observation_id
+        for k, m in clusters.items():
+            if m[0].damage_class != r.damage_class:
+                continue
+            d = min(float(clustering._metres(np.array([x.lat]), np.array([x.lon]), r.lat, r.lon)[0]) for x in m)
+            both = [*m, r]
+            w = np.array([1 / max(x.uncertainty_m, 0.5) ** 2 for x in both])
+            la, lo = np.array([x.lat for x in both]), np.array([x.lon for x in both])
+            far = clustering._metres(la, lo, float((w * la).sum() / w.sum()), float((w * lo).sum() / w.sum())).max()
+            if d <= min(c.merge_radius_m + r.uncertainty_m + max(x.uncertainty_m for x in m), c.max_merge_radius_m) and d < best and far <= c.max_extent_m:
+                best, to = d, k
+        clusters.setdefault(to, []).append(r)
+        out[r.observation_id] = to
+    return out
+
+
+def test_clustering_by_tiles_is_the_global_rule(spark):
     rng = random.Random(4)
-    places = [rng.uniform(0, 900) for _ in range(120)]
-    df = candidates(spark, places, u=3.0)
-    rows = df.orderBy("observed_at", "observation_id").toPandas()
-    whole = clustering.greedy_clusters(rows.lat.to_numpy(), rows.lon.to_numpy(), rows.uncertainty_m.to_numpy(), rows.damage_class.tolist(), clustering.ClusteringConfig())
-    got = {r.observation_id: r.cluster_id for r in clustering.cluster(df).collect()}
-    first = {}
-    for i, k in zip(rows.observation_id, whole):
-        first.setdefault(k, i)
-    assert got == {i: first[k] for i, k in zip(rows.observation_id, whole)}
+    df = candidates(spark, [rng.uniform(0, 900) for _ in range(150)], [rng.choice(["pothole", "alligator_crack"]) for _ in range(150)], u=3.0)
+    for tile in (2000.0, 130.0):
+        got = {r.observation_id: r.cluster_id for r in clustering.cluster(df, clustering.ClusteringConfig(tile_m=tile)).collect()}
+        assert got == by_sequence(df)
+
+
+def test_clustering_of_a_long_chain_and_over_the_180th_meridian(spark):
+    n = 20_000
+    rows = spark.range(n).select(F.format_string("o%06d", "id").alias("observation_id"), F.lit("s").alias("survey_id"), F.timestamp_seconds(F.col("id") + 1_787_000_000).alias("observed_at"), F.lit("pothole").alias("damage_class"), F.lit(0.5).alias("confidence"), F.lit(0.0001).alias("lat"), (F.pmod(179.5 + F.col("id") * 0.00005 + F.rand(3) * 0.00002 + 180.0, F.lit(360.0)) - 180.0).alias("lon"), F.lit(2.0).alias("uncertainty_m"), F.lit("f").alias("representative_frame_id"))
+    rows = clustering.checkpoint(rows)
+    got = {r.observation_id: r.cluster_id for r in clustering.cluster(rows).collect()}
+    r = rows.orderBy("observation_id").toPandas()
+    assert r.lon.max() > 179.99 and r.lon.min() < -179.99
+    want = clustering.greedy_clusters(r.observation_id.tolist(), r.lat.tolist(), [x % 360.0 for x in r.lon], r.uncertainty_m.tolist(), r.damage_class.tolist(), clustering.ClusteringConfig())
+    assert got == dict(zip(r.observation_id, want)) and 1000 < len(set(want)) < 8000
 
 
 def network(spark):
@@ -123,11 +150,37 @@ def test_matching(spark):
     ]
     p = spark.createDataFrame(rows, "point_id string, lat double, lon double, uncertainty_m double, heading_deg double")
     got = {r.point_id: r for r in roads.match_points(p, network(spark)).collect()}
+    assert roads.match_points(p, network(spark), roads.MatchingConfig(require_named=True)).where("way_id = 'way/3'").count() == 0
     assert {k: r.reason for k, r in got.items()} == {"on": "matched", "between": "ambiguous", "cross": "heading_mismatch", "far": "no_candidates", "wrong": "heading_mismatch", "right": "matched", "past": "matched"}
     assert got["on"].way_id == "way/1" and abs(got["on"].lat - LAT) < 1e-6 and got["on"].uncertainty_m == 5.0 and got["on"].heading_delta_deg < 1
     assert got["far"].lat == rows[3][1] and abs(got["past"].match_distance_m - 10) < 0.1 and abs(got["past"].lon - LON) < 1e-9
 
 
+def test_matching_over_the_180th_meridian(spark):
+    deg = 0.00001
+    seg = spark.createDataFrame([(f"way/1#{i}", "way/1", i, 1.0, 179.9995 + i * 50 * deg - (360 if i > 9 else 0), 1.0, 179.9995 + (i + 1) * 50 * deg - (360 if i >= 1 else 0), "Line", "road", False) for i in (0, 1)] + [("way/2#0", "way/2", 0, 2.0, 179.999, 2.001, -179.999, "Over", "road", False)], "segment_id string, way_id string, seg_ord long, a_lat double, a_lon double, b_lat double, b_lon double, name string, highway string, oneway boolean")
+    p = spark.createDataFrame([("west", 1.00001, 179.99975, 5.0, None), ("east", 1.00001, -179.9998, 5.0, None), ("edge", 1.00001, 180.0, 5.0, None), ("on", 2.0005 + 1e-5, 180.0, 5.0, None), ("on2", 2.00075, -179.9995, 5.0, None), ("off", 2.0005, -179.99, 5.0, None)], "point_id string, lat double, lon double, uncertainty_m double, heading_deg double")
+    got = {r.point_id: r.way_id for r in roads.match_points(p, seg).collect()}
+    assert got == {"west": "way/1", "east": "way/1", "edge": "way/1", "on": "way/2", "on2": "way/2", "off": None}
+
+
+def test_matching_against_all_pairs(spark):
+    rng = random.Random(2)
+    seg, pts = [], []
+    for i in range(60):
+        a, b = (LAT + rng.uniform(0, 0.02), LON + rng.uniform(0, 0.02)), rng.uniform(0, 0.006)
+        seg.append((f"way/{i}#0", f"way/{i}", 0, *a, a[0] + rng.uniform(-b, b), a[1] + rng.uniform(-b, b), None, "road", False))
+    for i in range(400):
+        s, f = rng.choice(seg), rng.random()
+        pts.append((f"p{i}", s[3] + (s[5] - s[3]) * f + rng.uniform(-3e-4, 3e-4), s[4] + (s[6] - s[4]) * f + rng.uniform(-3e-4, 3e-4), rng.uniform(0, 20), None))
+    p = spark.createDataFrame(pts, "point_id string, lat double, lon double, uncertainty_m double, heading_deg double")
+    g = spark.createDataFrame(seg, "segment_id string, way_id string, seg_ord long, a_lat double, a_lon double, b_lat double, b_lon double, name string, highway string, oneway boolean")
+    near = geo.with_projection(p.withColumnsRenamed({"lat": "p_lat", "lon": "p_lon"}).join(g), "p_lat", "p_lon", "a_lat", "a_lon", "b_lat", "b_lon").where("distance_m <= 20").groupBy("point_id").agg(F.min(F.struct("distance_m", "segment_id")).alias("m"))
+    want = {r.point_id: r.m.segment_id for r in near.collect()}
+    got = {r.point_id: r for r in roads.match_points(p, g, roads.MatchingConfig(ambiguity_m=0.0, min_radius_m=20.0)).collect()}
+    assert {k: r.segment_id for k, r in got.items() if r.reason == "matched"} == want and len(want) > 200
+
+
 def test_rollup_knows_clean_from_never_driven(spark):
     deg = 0.0000118
     f = spark.createDataFrame([(f"f{i}", "s", T0 + i, float(i), LAT + 1e-5, LON + 5 * i * deg, 5.0, 90.0) for i in range(30)] + [("z", "s", T0 + 999, 99.0, LAT + 0.01, LON, 5.0, None)], "frame_id string, survey_id string, t_epoch_ms long, video_time_s double, lat double, lon double, uncertainty_m double, heading_deg double")
@@ -150,6 +203,34 @@ def test_evaluation(spark):
     assert (s["pothole"].tp, s["pothole"].fp, s["pothole"].fn) == (2, 2, 0) and s["alligator_crack"].precision is None and s["alligator_crack"].recall == 0
     ap = {r.damage_class: r.ap for r in evaluate.average_precision(m, g).collect()}
     assert abs(ap["pothole"] - (0.5 * 1.0 + 0.5 * 2 / 3)) < 1e-9 and ap["alligator_crack"] == 0
+    extra = p.union(spark.createDataFrame([("i", "transverse_crack", "p5", 0.9, 0.0, 0.0, 1.0, 1.0)], box.format("score double, ")))
+    every = evaluate.scores(evaluate.match_boxes(extra, g), g)
+    odd = every.where("damage_class = 'transverse_crack'").first()
+    assert (odd.fp, odd.recall, odd.ap) == (1, None, None)
+    t = evaluate.totals(every).first()
+    assert (t.tp, t.fp, t.fn, t.n_classes) == (2, 3, 1, 3) and abs(t.map50 - ap["pothole"] / 2) < 1e-9 and abs(t.macro_f1 - s["pothole"].f1) < 1e-9
+    assert "n/a" in evaluate.report(every) and "pothole" in evaluate.report(every)
+    with pytest.raises(ValueError):
+        evaluate.totals(every, "train")
+
+
+def test_claims_against_the_rule(spark):
+    rng = random.Random(6)
+    rows, truth = [], []
+    for k in range(40):
+        for j in range(rng.randrange(0, 7)):
+            x = rng.uniform(0, 12)
+            (rows if rng.random() < 0.6 else truth).append((f"i{k % 20}", rng.choice("ab"), f"b{k:02d}{j}", round(rng.random(), 1), x, 0.0, x + 10, 10.0))
+    kind = "image_id string, damage_class string, box_id string, score double, x1 double, y1 double, x2 double, y2 double"
+    got = {r.box_id: r.hit for r in evaluate.match_boxes(spark.createDataFrame(rows, kind), spark.createDataFrame(truth, kind)).collect()}
+    want, used = {}, set()
+    for r in sorted(rows, key=lambda r: (-r[3], r[2])):
+        near = [(-tracking.box_iou(r[4:], g[4:]), g[2]) for g in truth if g[:2] == r[:2] and g[2] not in used]
+        hit = bool(near) and -min(near)[0] >= 0.5
+        want[r[2]] = hit
+        if hit:
+            used.add(min(near)[1])
+    assert got == want and any(want.values())
 
 
 def test_store(spark, tmp_path):
@@ -162,8 +243,8 @@ def test_store(spark, tmp_path):
     store.replace_table(store.upsert(store.read_table(spark, path), new, ["k"]), path)
     back = store.read_table(spark, path, {"later": "string"})
     assert back.count() == 3 and back.columns == ["k", "first", "v", "later"]
-    log, refused = store.append_only(old, new, "k")
-    assert log.count() == 3 and refused.count() == 1 and store.orphans(new, old, "k").count() == 1
+    log, refused = store.append_only(old, new.union(new), "k")
+    assert log.count() == 3 and refused.count() == 3 and store.orphans(new, old, "k").count() == 1
     entries = spark.createDataFrame([("d", 1, "a", "x"), ("d", 3, "b", None), ("d", 2, "c", "y")], "d string, at int, p string, q string")
     r = store.current_state(entries, "d", "at", "p", ["p", "q"]).first()
     assert (r.p, r.q, r.n_entries) == ("b", "y", 3)

@@ -75,6 +75,17 @@ def interpolate(a, b, fraction) -> Column:
     return a + (b - a) * f
 
 
+def normalize_lon(lon) -> Column:
+    """In [-180, 180)."""
+    return F.pmod(_c(lon) + 540.0, F.lit(360.0)) - 180.0
+
+
+def interpolate_lon(a, b, fraction) -> Column:
+    """From a towards b the short way, across the 180th meridian too; straight where the plain way is the short one."""
+    a, b, f = map(_c, (a, b, fraction))
+    return F.when(F.abs(b - a) <= 180.0, a + (b - a) * f).otherwise(normalize_lon(a + (F.pmod(b - a + 540.0, F.lit(360.0)) - 180.0) * f))
+
+
 def cross_track_distance_m(lat, lon, lat1, lon1, lat2, lon2) -> Column:
     """Distance to the unbounded great circle through two points."""
     d = haversine_m(lat1, lon1, lat, lon) / EARTH_RADIUS_M
@@ -142,6 +153,16 @@ def bounding_box(lat, lon, radius_m) -> Column:
     )
 
 
+def extent(df: DataFrame, key: list[str], lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """(*key, min_lat, max_lat, min_lon, max_lon) of usable positions. Where the way over the 180th meridian is the
+    narrower one, min_lon is east of it and max_lon west, so that min_lon > max_lon."""
+    turned = F.when(F.col(lon) < 0, F.col(lon) + 360.0).otherwise(F.col(lon))
+    e = df.groupBy(*key).agg(F.min(lat).alias("min_lat"), F.max(lat).alias("max_lat"), F.min(lon).alias("a"), F.max(lon).alias("b"), F.min(turned).alias("c"), F.max(turned).alias("d"))
+    back = lambda x: F.col(x) - F.when(F.col(x) >= 180.0, 360.0).otherwise(0.0)
+    over = F.col("d") - F.col("c") < F.col("b") - F.col("a")
+    return e.select(*key, "min_lat", "max_lat", F.when(over, back("c")).otherwise(F.col("a")).alias("min_lon"), F.when(over, back("d")).otherwise(F.col("b")).alias("max_lon"))
+
+
 def box_area(x1, y1, x2, y2) -> Column:
     return (_c(x2) - _c(x1)) * (_c(y2) - _c(y1))
 
@@ -204,6 +225,14 @@ def cells_spanned(a, b, size: float = GRID_DEG) -> Column:
     return F.sequence(grid_cell(F.least(_c(a), _c(b)), size), grid_cell(F.greatest(_c(a), _c(b)), size))
 
 
+def lon_cells_spanned(a, b, size: float = GRID_DEG) -> Column:
+    """array<long> of all cells from longitude a eastwards to b, which may leave [-180, 180]; cells are those of
+    longitudes in [-180, 180), so a range over the 180th meridian goes on at its other side."""
+    n = round(360.0 / size)
+    first, last = grid_cell(a, size), grid_cell(b, size)
+    return F.when(last - first >= n, F.sequence(F.lit(-(n // 2)).cast("long"), F.lit(n - n // 2 - 1).cast("long"))).otherwise(F.transform(F.sequence(first, last), lambda c: F.pmod(c + n // 2, F.lit(n)) - n // 2))
+
+
 def estimated_spacing_m(speed_mps, fps) -> Column:
     s, f = _c(speed_mps), _c(fps)
     return F.when(f > 0, s / f)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 RDD_CODES = {"D00": "longitudinal_crack", "D10": "transverse_crack", "D20": "alligator_crack", "D40": "pothole"}
 #: Classes of the COCO set that stand for people and vehicles; fixed values.
-COCO_REGIONS = {"person": "person", "bicycle": "vehicle", "car": "vehicle", "motorcycle": "vehicle", "bus": "vehicle", "truck": "vehicle"}
+COCO_REGIONS = {"person": "person", "bicycle": "vehicle", "car": "vehicle", "motorcycle": "vehicle", "bus": "vehicle", "train": "vehicle", "truck": "vehicle"}
 
 
 def video_time_to_epoch_ms(start_ms: Column, seconds: Column) -> Column:
@@ -81,11 +81,10 @@ def is_synthetic_model(model_id: Column) -> Column:
 
 
 def file_kind(path: Column) -> Column:
-    """raw_video, frame, evidence or null, by suffix and folder."""
+    """What retention calls a file, by suffix and folder: raw_video, frames, or null for what has no rule of age."""
     suffix = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
-    parent = F.lower(F.regexp_extract(path, r"([^/\\]+)[/\\][^/\\]*$", 1))
-    image = suffix.isin("jpg", "jpeg", "png", "bmp")
-    return F.when(suffix.isin("mp4", "mov", "mkv", "avi", "m4v"), "raw_video").when(image & (parent == "frames"), "frame").when(image & (parent == "evidence"), "evidence")
+    parent = F.regexp_extract(path, r"([^/\\]+)[/\\][^/\\]*$", 1)
+    return F.when(suffix.isin("mp4", "mov", "mkv", "avi", "m4v"), "raw_video").when(suffix.isin("jpg", "jpeg", "png") & (parent == "frames"), "frames")
 
 
 def mosaic_block(width: Column, height: Column, across: int = 4, least: int = 8) -> Column:

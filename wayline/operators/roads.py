@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import degrees
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,29 +69,66 @@ def heading_delta(heading: Column, bearing: Column, is_oneway: Column) -> Column
     return F.when(is_oneway, d).otherwise(F.least(d, 180.0 - d))
 
 
-def _cells(df: DataFrame, lat0: Column, lon0: Column, lat1: Column, lon1: Column) -> DataFrame:
-    return df.withColumn("cell_lat", F.explode(geo.cells_spanned(lat0, lat1))).withColumn("cell_lon", F.explode(geo.cells_spanned(lon0, lon1)))
+#: Edge of the cells in which points and segments meet, in degrees: about what a segment is long.
+MEET_DEG = 0.001
+
+
+def _meeting_cells(points: DataFrame, segments: DataFrame, reach_m: float) -> tuple[DataFrame, DataFrame]:
+    """Both with cell_lat, cell_lon: a point once, in its own cell; a segment in all cells around it, piece by piece,
+    in which points within reach_m of it may lie. So a pair meets once at most."""
+    at = points.withColumns({"cell_lat": geo.grid_cell("p_lat", MEET_DEG), "cell_lon": geo.grid_cell(geo.normalize_lon("p_lon"), MEET_DEG)})
+    east = F.pmod(F.col("b_lon") - F.col("a_lon") + 540.0, F.lit(360.0)) - 180.0
+    rise = F.col("b_lat") - F.col("a_lat")
+    n = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(east), F.abs(rise)) / MEET_DEG)).cast("long")
+    # a great circle leaves the straight line in degrees by at most an eighth of its length squared
+    lat_pad = degrees(reach_m / geo.EARTH_RADIUS_M) * 1.01 + F.degrees(F.pow(F.radians(east), 2) / 8)
+    lon_pad = F.least(F.lit(180.0), lat_pad / F.greatest(F.lit(1e-9), F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs("a_lat"), F.abs("b_lat")) + lat_pad)))))
+    cut = segments.withColumns({"_east": east, "_rise": rise, "_n": n, "_lat_pad": lat_pad, "_lon_pad": lon_pad})
+
+    def piece(i: Column) -> Column:
+        ends = lambda start, step: [F.col(start) + F.col(step) * (i + k) / F.col("_n") for k in (0, 1)]
+        (la0, la1), (lo0, lo1) = ends("a_lat", "_rise"), ends("a_lon", "_east")
+        lats = geo.cells_spanned(F.least(la0, la1) - F.col("_lat_pad"), F.greatest(la0, la1) + F.col("_lat_pad"), MEET_DEG)
+        lons = geo.lon_cells_spanned(F.least(lo0, lo1) - F.col("_lon_pad"), F.greatest(lo0, lo1) + F.col("_lon_pad"), MEET_DEG)
+        return F.flatten(F.transform(lats, lambda x: F.transform(lons, lambda y: F.struct(x.alias("cell_lat"), y.alias("cell_lon")))))
+
+    cells = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), piece)))
+    return at, cut.withColumn("_cell", F.explode(cells)).select(*segments.columns, "_cell.*")
 
 
 def match_points(points: DataFrame, segments: DataFrame, config: MatchingConfig = MatchingConfig()) -> DataFrame:
     """(point_id, reason, segment_id, way_id, name, lat, lon, match_distance_m, heading_delta_deg, uncertainty_m), one
     row for each row of `points` (point_id unique, lat, lon, uncertainty_m, heading_deg).
 
-    Points and segments meet in the cells of a uniform grid that their boxes touch. The best by distance plus heading
-    penalty wins (ties: the smaller segment id), unless another street is nearly as good. reason: matched, ambiguous,
-    heading_mismatch or no_candidates; an unmatched point keeps its position.
+    Candidates are the segments within max_distance_m that share a cell of a uniform grid of 0.005 degrees with the
+    point's search box. They are found in finer cells, a segment's own degree box sorts out most of the rest, and only
+    what is left pays for trigonometry. The best by distance plus heading penalty wins (ties: the smaller segment id),
+    unless another street is nearly as good. reason: matched, ambiguous, heading_mismatch or no_candidates; an
+    unmatched point keeps its position.
     """
     c = config
     radius = F.least(F.lit(c.max_distance_m), F.greatest(F.lit(c.min_radius_m), F.coalesce("uncertainty_m", F.lit(0.0)) * c.uncertainty_multiplier))
-    near = points.select("point_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "heading_deg", geo.bounding_box("lat", "lon", radius).alias("box"))
-    near = _cells(near, F.col("box.min_lat"), F.col("box.min_lon"), F.col("box.max_lat"), F.col("box.max_lon")).drop("box")
+    near = points.select("point_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "heading_deg", radius.alias("radius"))
     roads = segments.select("segment_id", "way_id", "name", "oneway", "a_lat", "a_lon", "b_lat", "b_lon")
     if c.require_named:
         roads = roads.where("coalesce(name, '') <> ''")
-    roads = _cells(roads, F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    # a point's box touches one to four cells: the same candidate may come from several of them
-    met = near.join(roads, ["cell_lat", "cell_lon"])
+    near, roads = _meeting_cells(near, roads, c.max_distance_m)
     ends = ("a_lat", "a_lon", "b_lat", "b_lon")
+    # the segment's own box, widened by what counts
+    east, off = (F.pmod(F.col(x) - F.col("a_lon") + 540.0, F.lit(360.0)) - 180.0 for x in ("b_lon", "p_lon"))
+    lat_pad = degrees(c.max_distance_m / geo.EARTH_RADIUS_M) * 1.01 + F.degrees(F.pow(F.radians(east), 2) / 8)
+    lon_pad = lat_pad / F.greatest(F.lit(1e-9), F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs("a_lat"), F.abs("b_lat")) + lat_pad))))
+    zero = F.lit(0.0)
+    inside = F.col("p_lat").between(F.least("a_lat", "b_lat") - lat_pad, F.greatest("a_lat", "b_lat") + lat_pad) & off.between(F.least(zero, east) - lon_pad, F.greatest(zero, east) + lon_pad)
+    # the uniform grid: does the search box touch one of the segment's cells?
+    reach = F.degrees(F.col("radius") / geo.EARTH_RADIUS_M)
+    wide = reach / F.greatest(F.lit(1e-9), F.cos(F.radians("p_lat")))
+    touch = lambda lo, hi, p, r: (geo.grid_cell(p - r) <= geo.grid_cell(hi)) & (geo.grid_cell(p + r) >= geo.grid_cell(lo))
+    plain = F.abs(F.col("b_lon") - F.col("a_lon")) <= 180.0
+    west, most = F.when(plain, F.least("a_lon", "b_lon")).otherwise(F.col("a_lon") + F.least(zero, east)), F.when(plain, F.greatest("a_lon", "b_lon")).otherwise(F.col("a_lon") + F.greatest(zero, east))
+    p_lon = F.when(F.abs(F.col("p_lon") - F.col("a_lon")) <= 180.0, F.col("p_lon")).otherwise(F.col("a_lon") + off)
+    grid = touch(F.least("a_lat", "b_lat"), F.greatest("a_lat", "b_lat"), F.col("p_lat"), reach) & touch(west, most, p_lon, wide)
+    met = near.join(roads, ["cell_lat", "cell_lon"]).where(inside & grid).drop("radius")
     met = geo.with_projection(met, "p_lat", "p_lon", *ends).where(F.col("distance_m") <= c.max_distance_m)
     met = met.withColumn("delta", heading_delta(F.col("heading_deg"), F.col("bearing_deg"), F.col("oneway"))).withColumn("wrong", F.coalesce(F.col("delta") > c.max_heading_deg, F.lit(False)))
     score = F.col("distance_m") + F.coalesce(F.col("delta") * c.penalty_m_per_deg, F.lit(0.0))

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 VERSION = 2
 
@@ -39,9 +40,12 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: list[str] = ())
 
 
 def append_only(log: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(log with the new rows whose key it doesn't have, refused rows)."""
-    fresh = new.join(log.select(key), key, "left_anti")
-    return log.unionByName(fresh), new.join(log.select(key), key, "left_semi")
+    """(log with the new rows whose key it doesn't have, refused rows). Of new rows with one key the first by all
+    columns is taken, the others are refused."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*new.columns))
+    rows = new.withColumn("_rank", rank).join(log.select(key, F.lit(True).alias("_known")).distinct(), key, "left")
+    taken = F.col("_known").isNull() & (F.col("_rank") == 1)
+    return log.unionByName(rows.where(taken).select(*new.columns)), rows.where(~taken).select(*new.columns)
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
@@ -49,25 +53,57 @@ def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     return child.where(F.col(key).isNotNull()).join(parent.select(key).distinct(), key, "left_anti")
 
 
+POINTER = "_CURRENT"
+
+
+def _files(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    fs = where.getFileSystem(conf)
+    return hadoop, fs, hadoop.FileContext.getFileContext(fs.getUri(), conf)
+
+
+def _current(spark: SparkSession, path: str) -> str | None:
+    hadoop, fs, _ = _files(spark, path)
+    at = hadoop.Path(f"{path}/{POINTER}")
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytearray(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes next to the table and renames, so that df may read the table it replaces and readers see one or the
-    other state. The old version goes last."""
+    """Writes a new version of the table below `path`, then has the pointer file name it by one atomic rename: readers
+    see one version or the other, and df may read the table it replaces. The version before stays for those who are
+    reading it; older ones go."""
     spark = df.sparkSession
-    tmp, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.withColumn("_schema_version", F.lit(VERSION)).write.parquet(tmp)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    had = fs.exists(hadoop(path))
-    if had:
-        fs.rename(hadoop(path), hadoop(old))
-    fs.rename(hadoop(tmp), hadoop(path))
-    if had:
-        fs.delete(hadoop(old), True)
+    was, now = _current(spark, path), f"data-{uuid.uuid4().hex}"
+    df.withColumn("_schema_version", F.lit(VERSION)).write.parquet(f"{path}/{now}")
+    hadoop, fs, context = _files(spark, path)
+    draft = hadoop.Path(f"{path}/{POINTER}-{uuid.uuid4().hex}")
+    stream = fs.create(draft)
+    stream.write(bytearray(now.encode()))
+    stream.close()
+    rename = getattr(hadoop, "Options$Rename")
+    over = spark._sc._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    context.rename(draft, hadoop.Path(f"{path}/{POINTER}"), over)
+    for entry in fs.listStatus(hadoop.Path(path)):
+        name = entry.getPath().getName()
+        if name.startswith("data-") and name not in (was, now):
+            fs.delete(entry.getPath(), True)
 
 
 def read_table(spark: SparkSession, path: str, columns: dict[str, str] | None = None) -> DataFrame:
     """A table; refused if written by a newer version, columns that an older one lacks are null."""
-    df = spark.read.option("mergeSchema", "true").parquet(path)
+    now = _current(spark, path)
+    if now is None:
+        raise FileNotFoundError(f"no table at {path}")
+    df = spark.read.option("mergeSchema", "true").parquet(f"{path}/{now}")
     newest = df.agg(F.max("_schema_version")).first()[0]
     if newest is not None and newest > VERSION:
         raise ValueError(f"{os.path.basename(path)} has version {newest}, newer than {VERSION}")

@@ -106,7 +106,7 @@ def locate(track: DataFrame, queries: DataFrame, key: str, config: TrackConfig =
     pick = lambda x, y: F.when(ends_, x).otherwise(y)
     return s.select(
         F.col("key").alias(key), "survey_id", "t",
-        pick(cl["lat"], geo.interpolate(a["lat"], b["lat"], al)).alias("lat"), pick(cl["lon"], geo.interpolate(a["lon"], b["lon"], al)).alias("lon"),
+        pick(cl["lat"], geo.interpolate(a["lat"], b["lat"], al)).alias("lat"), pick(cl["lon"], geo.interpolate_lon(a["lon"], b["lon"], al)).alias("lon"),
         pick(F.lit("phone_gps"), F.lit("interpolated_phone_gps")).alias("method"),
         pick(acc(cl) + speed0 * drift, F.round(geo.interpolate(acc(a), acc(b), al) + 0.25 * apart * 4.0 * al * (1.0 - al), 3)).alias("uncertainty_m"),
         pick(cl["speed_mps"], speed).alias("speed_mps"), pick(cl["heading_deg"], heading).alias("heading_deg"),

@@ -105,12 +105,10 @@ def track_detections(frames: DataFrame, detections: DataFrame, config: TrackingC
 
 def summarize_tracks(tracked: DataFrame, key: list[str], min_length: int = 1) -> DataFrame:
     """One row for each track: its length, first and last frame and time, maximum and mean confidence and the best
-    detection (highest confidence, then the earliest)."""
+    detection (highest confidence, then the earliest, then the smallest id)."""
     order = F.struct("t_epoch_ms", "detection_id")
-    best = F.max_by("detection_id", F.struct("confidence", -F.col("t_epoch_ms"), "inverse"))
-    # of equal confidence and time the smaller id: larger is better in max_by, hence the inverse rank by a reversed map
-    flipped = tracked.withColumn("inverse", F.translate("detection_id", "0123456789", "9876543210"))
-    out = flipped.groupBy(*key).agg(
+    best = F.min_by("detection_id", F.struct(-F.col("confidence"), "t_epoch_ms", "detection_id"))
+    out = tracked.groupBy(*key).agg(
         F.count("*").alias("n_detections"), F.min("t_epoch_ms").alias("first_t"), F.max("t_epoch_ms").alias("last_t"),
         F.min_by("frame_id", order).alias("first_frame_id"), F.max_by("frame_id", order).alias("last_frame_id"),
         F.max("confidence").alias("max_confidence"), F.avg("confidence").alias("mean_confidence"), best.alias("best_detection_id"),

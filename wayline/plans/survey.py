@@ -11,7 +11,7 @@ from wayline.functions import geo, misc
 from wayline.operators import clustering, detect, evaluate, pixels, roads, rollup, store, track, tracking, training
 from wayline.plans.process import process
 from wayline.plans.projections import DEFECTS, DRIVEN, SEGMENTS, project
-from wayline.session import table
+from wayline.session import checkpoint, table
 from wayline.sources import annotations as notes
 from wayline.sources import export
 
@@ -83,13 +83,13 @@ _SEG = ("lat - 0.001", "lon - 0.001", "lat + 0.002 * confidence", "lon + 0.001")
 
 
 @query(f"""
-    WITH s AS (SELECT observation_id, {hav(_SEG[0], _SEG[1], "lat", "lon")} / 6371008.8e0 AS d13, radians({brg(_SEG[0], _SEG[1], "lat", "lon")} - {brg(*_SEG)}) AS dt, {hav(*_SEG)} AS len FROM cluster_candidates WHERE {GOOD_FIX} AND abs(lon) < 179.9),
+    WITH s AS (SELECT observation_id, {hav(_SEG[0], _SEG[1], "lat", "lon")} / 6371008.8e0 AS d13, radians({brg(_SEG[0], _SEG[1], "lat", "lon")} - {brg(*_SEG)}) AS dt, {hav(*_SEG)} AS len FROM cluster_candidates WHERE {GOOD_FIX}),
     x AS (SELECT *, asin(greatest(-1e0, least(1e0, sin(d13) * sin(dt)))) AS xt FROM s),
     a AS (SELECT *, acos(greatest(-1e0, least(1e0, cos(d13) / cos(xt)))) * CASE WHEN cos(dt) < 0 THEN -1 ELSE 1 END * 6371008.8e0 AS al FROM x)
     SELECT observation_id, round(abs(xt) * 6371008.8e0, 2) AS cross_track_m, round(greatest(0e0, least(al, len)), 2) AS along_m, round(greatest(0e0, least(al, len)) / len, 4) AS fraction FROM a""")
 def geo_projection(spark: SparkSession, d: str) -> DataFrame:
     """G7, G8, G9, G10."""
-    c = table(spark, d, "cluster_candidates").where(geo.usable("lat", "lon") & (F.abs("lon") < 179.9))
+    c = table(spark, d, "cluster_candidates").where(geo.usable("lat", "lon"))
     seg = (F.col("lat") - 0.001, F.col("lon") - 0.001, F.col("lat") + 0.002 * F.col("confidence"), F.col("lon") + 0.001)
     p = c.select("observation_id", geo.cross_track_distance_m("lat", "lon", *seg).alias("x"), geo.project_onto_segment("lat", "lon", *seg).alias("s"))
     return p.select("observation_id", F.round("x", 2).alias("cross_track_m"), F.round("s.along_m", 2).alias("along_m"), F.round("s.fraction", 4).alias("fraction"))
@@ -154,10 +154,12 @@ def geo_spacing_ring(spark: SparkSession, d: str) -> DataFrame:
     return f.select("frame_id", F.round(geo.estimated_spacing_m("speed_mps", 4.0), 4).alias("spacing_m"), F.round(geo.ring_radius_px("obs_lat", 15.0, F.coalesce("obs_uncertainty_m", F.lit(0.0))), 3).alias("ring_px"))
 
 
-@query(f"""SELECT survey_id, min(lat) AS min_lat, min(lon) AS min_lon, max(lat) AS max_lat, max(lon) AS max_lon FROM location_records WHERE {GOOD_FIX} GROUP BY 1""")
+@query(f"""
+    WITH e AS (SELECT survey_id, min(lat) AS min_lat, max(lat) AS max_lat, min(lon) AS a, max(lon) AS b, min(CASE WHEN lon < 0 THEN lon + 360 ELSE lon END) AS c, max(CASE WHEN lon < 0 THEN lon + 360 ELSE lon END) AS d FROM location_records WHERE {GOOD_FIX} GROUP BY 1)
+    SELECT survey_id, min_lat, max_lat, CASE WHEN d - c < b - a THEN c - CASE WHEN c >= 180 THEN 360 ELSE 0 END ELSE a END AS min_lon, CASE WHEN d - c < b - a THEN d - CASE WHEN d >= 180 THEN 360 ELSE 0 END ELSE b END AS max_lon FROM e""")
 def geo_extent(spark: SparkSession, d: str) -> DataFrame:
     """G20."""
-    return table(spark, d, "location_records").where(geo.usable("lat", "lon")).groupBy("survey_id").agg(*[f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in ("lat", "lon")])
+    return geo.extent(table(spark, d, "location_records").where(geo.usable("lat", "lon")), ["survey_id"])
 
 
 # --- time, text, hash
@@ -240,7 +242,7 @@ _LOCATE = _CLEAN + f""",
 """
 
 
-@query(_LOCATE + """SELECT frame_id, round(coalesce(clat, alat + (blat - alat) * al), 6) AS lat, round(coalesce(clon, alon + (blon - alon) * al), 6) AS lon, CASE WHEN clat IS NULL THEN 'interpolated_phone_gps' ELSE 'phone_gps' END AS method,
+@query(_LOCATE + """SELECT frame_id, round(coalesce(clat, alat + (blat - alat) * al), 6) AS lat, round(coalesce(clon, CASE WHEN abs(blon - alon) <= 180 THEN alon + (blon - alon) * al ELSE ((alon + (((blon - alon + 540) % 360 + 360) % 360 - 180) * al + 540) % 360 + 360) % 360 - 180 END), 6) AS lon, CASE WHEN clat IS NULL THEN 'interpolated_phone_gps' ELSE 'phone_gps' END AS method,
     round(CASE WHEN clat IS NULL THEN coalesce(aacc, 10) + (coalesce(bacc, 10) - coalesce(aacc, 10)) * al + 0.25 * sep * 4 * al * (1 - al) ELSE coalesce(cacc, 10) + CASE WHEN coalesce(cspd, 0) = 0 THEN 13.9e0 ELSE cspd END * drift END, 3) AS uncertainty_m,
     round(CASE WHEN clat IS NULL THEN span ELSE drift END, 3) AS gap_s, CASE WHEN clat IS NULL THEN span <= 10 ELSE drift <= 1 END AS is_trustworthy FROM c""")
 def track_locate(spark: SparkSession, d: str) -> DataFrame:
@@ -420,7 +422,7 @@ def rollup_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 def _report(spark, d, everything=False):
     seg = _segments(spark, d)
-    cover = rollup.coverage_by_way(_driven(spark, d), seg)
+    cover = checkpoint(rollup.coverage_by_way(_driven(spark, d), seg))
     return rollup.street_report(rollup.ways_of_defects(_defects(spark, d), seg), cover, seg, everything), cover, seg
 
 
@@ -575,8 +577,7 @@ def eval_matches(spark: SparkSession, d: str) -> DataFrame:
 def eval_scores(spark: SparkSession, d: str) -> DataFrame:
     """E3, E4, E5, W6, W7."""
     p, t = _boxes(spark, d)
-    m = evaluate.match_boxes(p, t)
-    s = evaluate.class_scores(m, t).join(evaluate.average_precision(m, t), "damage_class")
+    s = evaluate.scores(checkpoint(evaluate.match_boxes(p, t)), t)
     return s.select(*[F.round(c, 4).alias(c) if k == "double" else F.col(c) for c, k in s.dtypes])
 
 

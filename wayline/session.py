@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import tempfile
 import uuid
 
@@ -22,6 +24,9 @@ def get_spark(app: str = "wayline", cores: str | int = "*", partitions: int = 8)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not getattr(spark.sparkContext, "_wayline_shipped", False):
+        ship_package(spark)
+        spark.sparkContext._wayline_shipped = True
     return spark
 
 
@@ -45,13 +50,60 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Tables that checkpoint() has written and that are still there, by the name of their folder.
+_written: dict[str, SparkSession] = {}
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df written as a table to the checkpoint folder and read back: lineage cut, kept through the loss of executors.
 
     A table rather than DataFrame.checkpoint(), whose result inherits the estimated size of its plan: a join's estimate
     is the product of its sides', so that it squares with every self-join of a loop until its digits fill the driver.
+    Loops release() what they no longer read; what is left goes when the process ends.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/wayline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _written:
+        atexit.unregister(drop_checkpoints)
+        atexit.register(drop_checkpoints)
+    _written[path] = spark
+    back = spark.read.schema(df.schema).parquet(path)
+    back._checkpoint_path = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that checkpoint() has given; others are left alone. Nothing may read them afterwards."""
+    for df in tables:
+        _delete(getattr(df, "_checkpoint_path", None))
+
+
+def drop_checkpoints() -> None:
+    """Deletes all that checkpoint() has written and nobody released."""
+    for path in list(_written):
+        _delete(path)
+
+
+def _delete(path: str | None) -> None:
+    spark = _written.pop(path, None)
+    if spark is None:
+        return
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration() if spark._jsc.sc().isStopped() else spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the JVM may be gone; the folder's owner cleans up then
+        pass
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the workers, for sessions whose executors don't have it installed."""
+    import pathlib
+    import zipfile
+
+    here = pathlib.Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="wayline-package-"), f"{here.name}.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for f in here.rglob("*.py"):
+            z.write(f, f.relative_to(here.parent))
+    spark.sparkContext.addPyFile(target)

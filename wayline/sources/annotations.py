@@ -13,15 +13,18 @@ _VOC = "filename string, size struct<width: string, height: string>, object arra
 
 def read_voc(spark: SparkSession, path: str) -> DataFrame:
     """(image_id, file_name, width, height, boxes, error) of VOC files. Unknown codes are dropped, coordinates cut to
-    whole numbers and to the image, boxes without area dropped; a file that isn't XML has error set."""
+    whole numbers and to the image; boxes with a coordinate that is missing or no number, or without area, are dropped.
+    A file that isn't XML, or tells no size above 0, has error set and no boxes."""
     raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("f"), F.from_xml("value", _VOC, {"mode": "PERMISSIVE"}).alias("x"))
     num = lambda c: F.expr(f"cast(try_cast({c} as double) as int)")
-    rows = raw.select(F.regexp_replace("f", r"\.xml$", "").alias("image_id"), F.coalesce("x.filename", "f").alias("file_name"), num("x.size.width").alias("width"), num("x.size.height").alias("height"), F.col("x.object").alias("o"), (F.col("x.filename").isNull() & F.col("x.size").isNull()).alias("error"))
-    cut = lambda v, hi: F.greatest(F.lit(0), F.least(v.try_cast("double").cast("int"), F.coalesce(hi, F.lit(2**31 - 1))))
-    boxes = F.transform(F.coalesce("o", F.array().cast("array<struct<name: string, bndbox: struct<xmin: string, ymin: string, xmax: string, ymax: string>>>")), lambda b: F.struct(
-        b["name"].alias("rdd_code"), cut(b["bndbox"]["xmin"], F.col("width")).alias("xmin"), cut(b["bndbox"]["ymin"], F.col("height")).alias("ymin"), cut(b["bndbox"]["xmax"], F.col("width")).alias("xmax"), cut(b["bndbox"]["ymax"], F.col("height")).alias("ymax"),
-    ))
-    ok = F.filter(boxes, lambda b: b["rdd_code"].isin(*RDD_CODES) & (b["xmax"] > b["xmin"]) & (b["ymax"] > b["ymin"]))
+    rows = raw.select(F.regexp_replace("f", r"\.xml$", "").alias("image_id"), F.coalesce("x.filename", "f").alias("file_name"), num("x.size.width").alias("width"), num("x.size.height").alias("height"), F.col("x.object").alias("o"))
+    rows = rows.withColumn("error", ~F.coalesce((F.col("width") > 0) & (F.col("height") > 0), F.lit(False)))
+    sides = (("xmin", "width"), ("ymin", "height"), ("xmax", "width"), ("ymax", "height"))
+    whole = lambda b, k: b["bndbox"][k].try_cast("double").cast("int")
+    kind = "array<struct<name: string, bndbox: struct<xmin: string, ymin: string, xmax: string, ymax: string>>>"
+    known = F.filter(F.coalesce("o", F.array().cast(kind)), lambda b: b["name"].isin(*RDD_CODES) & whole(b, "xmin").isNotNull() & whole(b, "ymin").isNotNull() & whole(b, "xmax").isNotNull() & whole(b, "ymax").isNotNull())
+    boxes = F.transform(known, lambda b: F.struct(b["name"].alias("rdd_code"), *[F.greatest(F.lit(0), F.least(whole(b, k), F.col(side))).alias(k) for k, side in sides]))
+    ok = F.filter(boxes, lambda b: ~F.col("error") & (b["xmax"] > b["xmin"]) & (b["ymax"] > b["ymin"]))
     return rows.select("image_id", "file_name", "width", "height", ok.alias("boxes"), "error")
 
 
