@@ -11,6 +11,7 @@ from wayline.operators.roads import MatchingConfig, match_points, with_geometry
 
 MAX_FRAME_GAP_M = 60.0
 MIN_LENGTH_FOR_DENSITY_M = 50.0
+SEVERITIES = ("unassessed", "low", "medium", "high")
 
 
 def way_lengths(segments: DataFrame) -> DataFrame:
@@ -50,13 +51,15 @@ def street_report(defects: DataFrame, coverage: DataFrame, segments: DataFrame,
     per_way = defects.where("way_id is not null").groupBy("way_id").agg(
         n(F.col("status") == "verified", "verified"), n(F.col("status") == "rejected", "rejected"), n(~F.col("status").isin("verified", "rejected"), "probable"),
         *[n(alive & (F.col("damage_class") == k), k) for k in ("longitudinal_crack", "transverse_crack", "alligator_crack", "pothole")],
-        F.countDistinct("survey_id").alias("n_surveys"),
+        *[n(alive & (F.col("severity") == k), f"severity_{k}") for k in SEVERITIES if "severity" in defects.columns],
+        F.countDistinct("survey_id").alias("n_surveys"), F.collect_set("survey_id").alias("survey_ids"),
     )
     rows = coverage.where("way_id is not null").join(per_way, "way_id", "full_outer")
     meta = way_lengths(segments)
     rows = meta.join(rows, "way_id", "full_outer" if include_unsurveyed else "right")
     zero = [c for c, t in rows.dtypes if t == "bigint" or c in ("surveyed_m", "length_m")]
     rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(dict(rows.dtypes)[c])) for c in zero})
+    rows = rows.withColumn("survey_ids", F.coalesce("survey_ids", F.array().cast("array<string>")))
     return rows.withColumns({
         "outstanding": F.col("verified") + F.col("probable"),
         "covered_m": F.when(F.col("length_m") > 0, F.least("surveyed_m", "length_m")).otherwise(F.lit(0.0)),
@@ -78,14 +81,32 @@ def worst(report: DataFrame, n: int) -> DataFrame:
 
 
 def by_name(report: DataFrame) -> DataFrame:
-    """Ways of one name as one street; unnamed ones are left out."""
-    sums = ["verified", "rejected", "probable", "outstanding", "surveyed_m", "covered_m", "length_m", "longitudinal_crack", "transverse_crack", "alligator_crack", "pothole"]
-    return report.where("coalesce(name, '') <> ''").groupBy("name").agg(F.count("*").alias("n_ways"), *[F.sum(c).alias(c) for c in sums])
-
-
-def summarize(defects: DataFrame) -> DataFrame:
-    """(dimension, value, n, mean_uncertainty_m): total and by class and status in one pass of grouping sets."""
-    sets = defects.groupingSets([["damage_class"], ["status"], []], "damage_class", "status").agg(
-        F.count("*").alias("n"), F.avg("uncertainty_m").alias("mean_uncertainty_m"), F.grouping_id("damage_class", "status").alias("g")
-    )
-    return sets.select(F.when(F.col("g") == 1, "damage_class").when(F.col("g") == 2, "status").otherwise("total").alias("dimension"), F.coalesce(F.when(F.col("g") == 1, F.col("damage_class")), F.when(F.col("g") == 2, F.col("status")), F.lit("")).alias("value"), "n", F.round("mean_uncertainty_m", 3).alias("mean_uncertainty_m"))
+    """Ways of one name as one street, with the surveys of all of them; unnamed ones are left out."""
+    sums = ["verified", "rejected", "probable", "outstanding", "surveyed_m", "covered_m", "length_m", "longitudinal_crack", "transverse_crack", "alligator_crack", "pothole", *[c for c in report.columns if c.startswith("severity_")]]
+    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list("survey_ids")))).alias("survey_ids")
+    return report.where("coalesce(name, '') <> ''").groupBy("name").agg(F.count("*").alias("n_ways"), *[F.sum(c).alias(c) for c in sums], ids)
+
+
+def streets(report: DataFrame, limit: int = 200, keep_unsurveyed: bool = False) -> DataFrame:
+    """The densest streets first, then those with most outstanding defects, then by way; a top-k report. A street with
+    defects that was never driven is left out unless asked for."""
+    rows = report if keep_unsurveyed else report.where("state <> 'not_surveyed'")
+    return rows.orderBy(F.desc(F.coalesce("defects_per_100m", F.lit(0.0))), F.desc("outstanding"), "way_id").limit(limit)
+
+
+def summarize(defects: DataFrame, distance_km: float | None = None) -> DataFrame:
+    """(dimension, value, n, mean_uncertainty_m): total and by class, status and (where there is one) severity, in one
+    pass of grouping sets; with a distance above 0 also n_per_km."""
+    dims = ["damage_class", "status", *(["severity"] if "severity" in defects.columns else [])]
+    sets = defects.groupingSets([*[[d] for d in dims], []], *dims).agg(F.count("*").alias("n"), F.avg("uncertainty_m").alias("mean_uncertainty_m"), F.grouping_id(*dims).alias("g"))
+    alone = {d: (1 << len(dims)) - 1 - (1 << (len(dims) - 1 - k)) for k, d in enumerate(dims)}
+    pick = lambda f: F.coalesce(*[F.when(F.col("g") == g, f(d)) for d, g in alone.items()])
+    out = sets.select(F.coalesce(pick(F.lit), F.lit("total")).alias("dimension"), F.coalesce(pick(F.col), F.lit("")).alias("value"), "n", F.round("mean_uncertainty_m", 3).alias("mean_uncertainty_m"))
+    return out if not distance_km or distance_km <= 0 else out.withColumn("n_per_km", F.round(F.col("n") / distance_km, 2))
+
+
+def defects_per_km(defects: DataFrame, distances: DataFrame) -> DataFrame:
+    """(survey_id, n_defects, km, per_km) for each survey of `distances` (survey_id, distance_m); null without a distance."""
+    n = defects.groupBy("survey_id").agg(F.count("*").alias("n_defects"))
+    rows = distances.join(n, "survey_id", "left").select("survey_id", F.coalesce("n_defects", F.lit(0)).alias("n_defects"), (F.col("distance_m") / 1000.0).alias("km"))
+    return rows.withColumn("per_km", F.when(F.col("km") > 0, F.col("n_defects") / F.col("km")))

@@ -122,12 +122,12 @@ def geo_iou(spark: SparkSession, d: str) -> DataFrame:
     WITH d AS (SELECT x.frame_id, x.detection_id, (x.x1 + x.x2) / 2 / f.width AS px, x.y2 / f.height AS py, f.width IS NULL OR f.height IS NULL OR f.width <= 0 OR f.height <= 0 AS unknown, x.confidence
         FROM detections x JOIN frames f ON x.frame_id = f.frame_id),
     e AS (SELECT *, (py - 0.45e0) / (0.95e0 - 0.45e0) AS k FROM d)
-    SELECT CASE WHEN confidence < 0.25 THEN 'low_confidence' WHEN NOT coalesce(unknown OR (py >= 0.45e0 AND py <= 0.95e0 AND px >= 0.35e0 - 0.35e0 * k AND px <= 0.65e0 + 0.35e0 * k), FALSE) THEN 'outside_road' ELSE 'kept' END AS reason, count(*) AS n
-    FROM e GROUP BY 1""")
+    SELECT frame_id, detection_id, min(CASE WHEN confidence < 0.25 THEN 'low_confidence' WHEN NOT coalesce(unknown OR (py >= 0.45e0 AND py <= 0.95e0 AND px >= 0.35e0 - 0.35e0 * k AND px <= 0.65e0 + 0.35e0 * k), FALSE) THEN 'outside_road' ELSE 'kept' END) AS reason
+    FROM e GROUP BY 1, 2""")
 def filter_detections(spark: SparkSession, d: str) -> DataFrame:
-    """What is kept, and why the rest isn't."""
+    """Each detection, and why those that aren't kept aren't."""
     x = table(spark, d, "detections").drop("survey_id").join(table(spark, d, "frames").select("frame_id", "width", "height"), "frame_id")
-    return detect.keep_detections(x).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+    return detect.keep_detections(x).groupBy("frame_id", "detection_id").agg(F.min(F.coalesce("reason", F.lit("kept"))).alias("reason"))
 
 
 @query("""
@@ -188,10 +188,17 @@ def fn_stable_unit(spark: SparkSession, d: str) -> DataFrame:
     return a.select("image_id", "file_name", misc.stable_unit(F.lit("7"), F.col("image_id")).alias("u"), misc.safe_name(F.col("image_id")).alias("safe"))
 
 
-@query()
+_BOX_TEXT = "concat_ws('|', image_id, coalesce(country, ''), coalesce(CAST(image_index AS VARCHAR), ''), list_aggregate(list_transform(boxes, lambda b: concat(b.rdd_code, ':', b.xmin, ',', b.ymin, ',', b.xmax, ',', b.ymax)), 'string_agg', ';'))"
+
+
+@query(f"""
+    WITH h AS (SELECT md5({_BOX_TEXT}) AS h FROM annotations)
+    SELECT sha256(concat_ws(':', count(*), sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)), sum(CAST('0x' || substr(h, 13, 12) AS BIGINT)))) AS content_hash, count(*) AS n FROM h""")
 def fn_content_hash(spark: SparkSession, d: str) -> DataFrame:
     """one hash of a whole table, whatever its order."""
-    return table(spark, d, "annotations").agg(misc.content_hash(F.to_json(F.struct("image_id", "country", "image_index", "boxes"))).alias("content_hash"), F.count("*").alias("n"))
+    boxes = F.array_join(F.transform("boxes", lambda b: F.concat(b["rdd_code"], F.lit(":"), F.concat_ws(",", b["xmin"], b["ymin"], b["xmax"], b["ymax"]))), ";")
+    row = F.concat_ws("|", "image_id", F.coalesce("country", F.lit("")), F.coalesce(F.col("image_index").cast("string"), F.lit("")), F.when(F.size("boxes") > 0, boxes))
+    return table(spark, d, "annotations").agg(misc.content_hash(row).alias("content_hash"), F.count("*").alias("n"))
 
 
 @query("""SELECT json_extract_string(device_json, '$.os') AS os, json_extract_string(device_json, '$.mount') AS mount, count(*) AS n FROM surveys GROUP BY 1, 2""")
@@ -237,22 +244,26 @@ _LOCATE = _CLEAN + f""",
     q AS (SELECT f.frame_id, f.survey_id, f.t_epoch_ms AS t, z.t0, z.t1 FROM frames f JOIN z ON f.survey_id = z.survey_id),
     a AS (SELECT q.*, x.t AS a_t, x.lat AS alat, x.lon AS alon, x.accuracy_m AS aacc, x.speed_mps AS aspd, x.heading_deg AS ahdg FROM q ASOF LEFT JOIN k x ON q.survey_id = x.survey_id AND q.t > x.t),
     b AS (SELECT a.*, y.t AS bt, y.lat AS blat, y.lon AS blon, y.accuracy_m AS bacc, y.speed_mps AS bspd, y.heading_deg AS bhdg FROM a ASOF LEFT JOIN k y ON a.survey_id = y.survey_id AND a.t <= y.t),
-    c AS (SELECT b.*, e.lat AS clat, e.lon AS clon, e.accuracy_m AS cacc, e.speed_mps AS cspd, abs(e.t - b.t) / 1000e0 AS drift, (b.t - a_t) / CAST(bt - a_t AS DOUBLE) AS al, (bt - a_t) / 1000e0 AS span, {hav("alat", "alon", "blat", "blon")} AS sep
+    c AS (SELECT b.*, e.lat AS clat, e.lon AS clon, e.accuracy_m AS cacc, e.speed_mps AS cspd, e.heading_deg AS chdg, abs(e.t - b.t) / 1000e0 AS drift, (b.t - a_t) / CAST(bt - a_t AS DOUBLE) AS al, (bt - a_t) / 1000e0 AS span, {hav("alat", "alon", "blat", "blon")} AS sep
         FROM b LEFT JOIN k e ON b.survey_id = e.survey_id AND e.t = CASE WHEN b.t <= b.t0 THEN b.t0 WHEN b.t >= b.t1 THEN b.t1 END)
 """
 
 
 @query(_LOCATE + """SELECT frame_id, round(coalesce(clat, alat + (blat - alat) * al), 6) AS lat, round(coalesce(clon, CASE WHEN abs(blon - alon) <= 180 THEN alon + (blon - alon) * al ELSE ((alon + (((blon - alon + 540) % 360 + 360) % 360 - 180) * al + 540) % 360 + 360) % 360 - 180 END), 6) AS lon, CASE WHEN clat IS NULL THEN 'interpolated_phone_gps' ELSE 'phone_gps' END AS method,
     round(CASE WHEN clat IS NULL THEN coalesce(aacc, 10) + (coalesce(bacc, 10) - coalesce(aacc, 10)) * al + 0.25 * sep * 4 * al * (1 - al) ELSE coalesce(cacc, 10) + CASE WHEN coalesce(cspd, 0) = 0 THEN 13.9e0 ELSE cspd END * drift END, 3) AS uncertainty_m,
-    round(CASE WHEN clat IS NULL THEN span ELSE drift END, 3) AS gap_s, CASE WHEN clat IS NULL THEN span <= 10 ELSE drift <= 1 END AS is_trustworthy FROM c""")
+    round(CASE WHEN clat IS NULL THEN span ELSE drift END, 3) AS gap_s, CASE WHEN clat IS NULL THEN span <= 10 ELSE drift <= 1 END AS is_trustworthy,
+    round(CASE WHEN clat IS NOT NULL THEN cspd WHEN aspd IS NOT NULL AND bspd IS NOT NULL THEN aspd + (bspd - aspd) * al ELSE coalesce(aspd, bspd, CASE WHEN span > 0 THEN sep / span END) END + 1e-8, 4) AS speed_mps,
+    round(CASE WHEN clat IS NOT NULL THEN chdg WHEN ahdg IS NOT NULL AND bhdg IS NOT NULL THEN ((ahdg + (((bhdg - ahdg + 540) % 360 + 360) % 360 - 180) * al) % 360 + 360) % 360 ELSE coalesce(ahdg, bhdg, CASE WHEN sep >= 1 THEN {turn} END) END + 1e-8, 4) AS heading_deg FROM c""".replace("{turn}", brg("alat", "alon", "blat", "blon")))
 def track_locate(spark: SparkSession, d: str) -> DataFrame:
-    """The place of every frame."""
+    """The place of every frame."""
     at = track.locate(track.clean_track(table(spark, d, "location_records")), table(spark, d, "frames").select("frame_id", "survey_id", F.col("t_epoch_ms").alias("t")), "frame_id")
-    return at.select("frame_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "method", F.round("uncertainty_m", 3).alias("uncertainty_m"), F.round("gap_s", 3).alias("gap_s"), "is_trustworthy")
+    return at.select("frame_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "method", F.round("uncertainty_m", 3).alias("uncertainty_m"), F.round("gap_s", 3).alias("gap_s"), "is_trustworthy", F.round(F.col("speed_mps") + 1e-8, 4).alias("speed_mps"), F.round(F.col("heading_deg") + 1e-8, 4).alias("heading_deg"))
 
 
-@query("""
-    WITH s AS (SELECT survey_id, recording_start_epoch_ms AS r, epoch_ms(ended_at - started_at) / 1000e0 AS dur FROM surveys WHERE ended_at IS NOT NULL),
+@query(_CLEAN + """,
+    x AS (SELECT survey_id, max(t) AS ft FROM r WHERE why IS NULL GROUP BY 1), y AS (SELECT survey_id, max(t_epoch_ms) AS vt FROM frames GROUP BY 1),
+    s AS (SELECT v.survey_id, recording_start_epoch_ms AS r, CASE WHEN ended_at IS NOT NULL THEN epoch_us(ended_at) / 1e6 - epoch_us(started_at) / 1e6 ELSE greatest(0, (coalesce(ft, vt) - recording_start_epoch_ms) / 1000e0) END AS dur
+        FROM surveys v LEFT JOIN x ON x.survey_id = v.survey_id LEFT JOIN y ON y.survey_id = v.survey_id WHERE ended_at IS NOT NULL OR coalesce(ft, vt) IS NOT NULL),
     g AS (SELECT survey_id, r, unnest(range(0, CAST(floor((dur + 1e-9) / 0.5e0) AS BIGINT) + 1)) AS i FROM s WHERE dur >= 0)
     SELECT survey_id, i AS index, round(i * 0.5e0, 6) AS video_time_s, CAST(r + i * 500 AS BIGINT) AS t_epoch_ms FROM g""")
 def sample_fixed_interval(spark: SparkSession, d: str) -> DataFrame:
@@ -279,11 +290,13 @@ def quality_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "frames").groupBy("quality").agg(F.count("*").alias("n"), F.count_if(F.col("obs_lat").isNull()).alias("unpositioned"))
 
 
-@query("""SELECT frame_id, CASE WHEN b < 40 OR l < 25 OR l > 235 THEN 'rejected' WHEN b < 100 OR l < 50 OR l > 210 THEN 'degraded' ELSE 'accepted' END AS verdict FROM (SELECT frame_id, obs_uncertainty_m * 12 AS b, heading_deg AS l FROM frames)""")
+@query("""SELECT frame_id, CASE WHEN b < 40 OR l < 25 OR l > 235 THEN 'rejected' WHEN b < 100 OR l < 50 OR l > 210 THEN 'degraded' ELSE 'accepted' END AS verdict,
+    concat_ws(';', CASE WHEN b < 40 THEN 'too_blurred' END, CASE WHEN l < 25 THEN 'too_dark' END, CASE WHEN l > 235 THEN 'too_bright' END, CASE WHEN b >= 40 AND b < 100 THEN 'blurred' END, CASE WHEN l >= 25 AND l < 50 THEN 'dark' END, CASE WHEN l > 210 AND l <= 235 THEN 'bright' END) AS reasons FROM (SELECT frame_id, obs_uncertainty_m * 12 AS b, heading_deg AS l FROM frames)""")
 def quality_verdict(spark: SparkSession, d: str) -> DataFrame:
     """Q4, over two numbers at hand in place of scores."""
     f = table(spark, d, "frames")
-    return f.select("frame_id", pixels.verdict(F.col("obs_uncertainty_m") * 12, F.col("heading_deg"))["quality"].alias("verdict"))
+    v = f.select("frame_id", pixels.verdict(F.col("obs_uncertainty_m") * 12, F.col("heading_deg")).alias("v"))
+    return v.select("frame_id", F.col("v.quality").alias("verdict"), F.concat_ws(";", "v.reasons").alias("reasons"))
 
 
 # --- tracking and clustering
@@ -350,23 +363,24 @@ def _driven(spark, d):
     return project(spark, d, DRIVEN)
 
 
-def match_sql(points: str, heading: str) -> str:
-    """Brute force over all segments within the cells; `points` has point_id, lat, lon, uncertainty_m."""
+def match_sql(points: str, heading: str, p: str = "") -> str:
+    """Brute force over all segments within the cells; `points` has point_id, lat, lon, uncertainty_m. `p` begins the names of the
+    steps, so that a statement may match twice."""
     r = "least(20e0, greatest(15e0, coalesce(uncertainty_m, 0) * 2))"
     return f"""
-    seg AS ({SEGMENTS}),
-    pt AS (SELECT *, {heading} AS hdg, degrees({r} / 6371008.8e0) AS dla, degrees({r} / (6371008.8e0 * cos(radians(lat)))) AS dlo FROM ({points}) p0),
-    m0 AS (SELECT pt.*, seg.*, {hav("a_lat", "a_lon", "lat", "lon")} / 6371008.8e0 AS d13, radians({brg("a_lat", "a_lon", "lat", "lon")} - {brg("a_lat", "a_lon", "b_lat", "b_lon")}) AS dt, {hav("a_lat", "a_lon", "b_lat", "b_lon")} AS len, {brg("a_lat", "a_lon", "b_lat", "b_lon")} AS sb, {hav("a_lat", "a_lon", "lat", "lon")} AS da, {hav("b_lat", "b_lon", "lat", "lon")} AS db
-        FROM pt JOIN seg ON floor((lat - dla) / 0.005e0) <= floor(greatest(a_lat, b_lat) / 0.005e0) AND floor((lat + dla) / 0.005e0) >= floor(least(a_lat, b_lat) / 0.005e0) AND floor((lon - dlo) / 0.005e0) <= floor(greatest(a_lon, b_lon) / 0.005e0) AND floor((lon + dlo) / 0.005e0) >= floor(least(a_lon, b_lon) / 0.005e0)),
-    m1 AS (SELECT *, asin(greatest(-1e0, least(1e0, sin(d13) * sin(dt)))) AS xt FROM m0),
-    m2 AS (SELECT *, CASE WHEN da = 0 THEN 0 ELSE acos(greatest(-1e0, least(1e0, cos(d13) / cos(xt)))) * CASE WHEN cos(dt) < 0 THEN -1 ELSE 1 END * 6371008.8e0 END AS al FROM m1),
-    m3 AS (SELECT *, CASE WHEN al <= 0 THEN da WHEN al >= len THEN db ELSE abs(xt) * 6371008.8e0 END AS dist, {bdiff("hdg", "sb")} AS raw FROM m2),
-    m4 AS (SELECT *, CASE WHEN oneway THEN raw ELSE least(raw, 180 - raw) END AS delta, CASE WHEN coalesce(name, '') <> '' THEN 'name:' || name ELSE 'way:' || way_id END AS street FROM m3 WHERE dist <= 20),
-    m5 AS (SELECT *, dist + coalesce(delta * 0.15e0, 0) AS score FROM m4 WHERE NOT coalesce(delta > 55, FALSE)),
-    b1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY score, segment_id) AS rn FROM m5) WHERE rn = 1),
-    rv AS (SELECT m5.point_id, min(m5.score) AS rival FROM m5 JOIN b1 ON m5.point_id = b1.point_id AND m5.street <> b1.street GROUP BY 1),
-    matched AS (SELECT pt.point_id, CASE WHEN b1.point_id IS NOT NULL AND coalesce(rival - b1.score < 4, FALSE) THEN 'ambiguous' WHEN b1.point_id IS NOT NULL THEN 'matched' WHEN pt.point_id IN (SELECT point_id FROM m4) THEN 'heading_mismatch' ELSE 'no_candidates' END AS reason,
-        b1.way_id, b1.segment_id, b1.dist FROM pt LEFT JOIN b1 ON pt.point_id = b1.point_id LEFT JOIN rv ON rv.point_id = pt.point_id)"""
+    {p}seg AS ({SEGMENTS}),
+    {p}pt AS (SELECT *, {heading} AS hdg, degrees({r} / 6371008.8e0) AS dla, degrees({r} / (6371008.8e0 * cos(radians(lat)))) AS dlo FROM ({points}) p0),
+    {p}m0 AS (SELECT pt.*, seg.*, {hav("a_lat", "a_lon", "lat", "lon")} / 6371008.8e0 AS d13, radians({brg("a_lat", "a_lon", "lat", "lon")} - {brg("a_lat", "a_lon", "b_lat", "b_lon")}) AS dt, {hav("a_lat", "a_lon", "b_lat", "b_lon")} AS len, {brg("a_lat", "a_lon", "b_lat", "b_lon")} AS sb, {hav("a_lat", "a_lon", "lat", "lon")} AS da, {hav("b_lat", "b_lon", "lat", "lon")} AS db
+        FROM {p}pt pt JOIN {p}seg seg ON floor((lat - dla) / 0.005e0) <= floor(greatest(a_lat, b_lat) / 0.005e0) AND floor((lat + dla) / 0.005e0) >= floor(least(a_lat, b_lat) / 0.005e0) AND floor((lon - dlo) / 0.005e0) <= floor(greatest(a_lon, b_lon) / 0.005e0) AND floor((lon + dlo) / 0.005e0) >= floor(least(a_lon, b_lon) / 0.005e0)),
+    {p}m1 AS (SELECT *, asin(greatest(-1e0, least(1e0, sin(d13) * sin(dt)))) AS xt FROM {p}m0),
+    {p}m2 AS (SELECT *, CASE WHEN da = 0 THEN 0 ELSE acos(greatest(-1e0, least(1e0, cos(d13) / cos(xt)))) * CASE WHEN cos(dt) < 0 THEN -1 ELSE 1 END * 6371008.8e0 END AS al FROM {p}m1),
+    {p}m3 AS (SELECT *, CASE WHEN al <= 0 THEN da WHEN al >= len THEN db ELSE abs(xt) * 6371008.8e0 END AS dist, {bdiff("hdg", "sb")} AS raw FROM {p}m2),
+    {p}m4 AS (SELECT *, CASE WHEN oneway THEN raw ELSE least(raw, 180 - raw) END AS delta, CASE WHEN coalesce(name, '') <> '' THEN 'name:' || name ELSE 'way:' || way_id END AS street FROM {p}m3 WHERE dist <= 20),
+    {p}m5 AS (SELECT *, dist + coalesce(delta * 0.15e0, 0) AS score FROM {p}m4 WHERE NOT coalesce(delta > 55, FALSE)),
+    {p}b1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY score, segment_id) AS rn FROM {p}m5) WHERE rn = 1),
+    {p}rv AS (SELECT m5.point_id, min(m5.score) AS rival FROM {p}m5 m5 JOIN {p}b1 b1 ON m5.point_id = b1.point_id AND m5.street <> b1.street GROUP BY 1),
+    {p}matched AS (SELECT pt.point_id, CASE WHEN b1.point_id IS NOT NULL AND coalesce(rival - b1.score < 4, FALSE) THEN 'ambiguous' WHEN b1.point_id IS NOT NULL THEN 'matched' WHEN pt.point_id IN (SELECT point_id FROM {p}m4) THEN 'heading_mismatch' ELSE 'no_candidates' END AS reason,
+        b1.way_id, b1.segment_id, b1.dist FROM {p}pt pt LEFT JOIN {p}b1 b1 ON pt.point_id = b1.point_id LEFT JOIN {p}rv rv ON rv.point_id = pt.point_id)"""
 
 
 _POINTS = f"SELECT defect_id AS point_id, lat, lon, uncertainty_m FROM ({DEFECTS}) d1"
@@ -382,11 +396,11 @@ def roads_match(spark: SparkSession, d: str) -> DataFrame:
 _DRIVEN_POINTS = f"SELECT frame_id AS point_id, lat, lon, uncertainty_m, heading_deg FROM ({DRIVEN}) d2"
 
 
-@query(f"WITH {match_sql(_DRIVEN_POINTS, 'heading_deg')} SELECT reason, count(*) AS n FROM matched GROUP BY 1")
+@query(f"WITH {match_sql(_DRIVEN_POINTS, 'heading_deg')} SELECT point_id, reason, CASE WHEN reason = 'matched' THEN segment_id END AS segment_id FROM matched")
 def roads_match_reasons(spark: SparkSession, d: str) -> DataFrame:
     """M3, M5, M6: outcomes with headings."""
     p = _driven(spark, d).select(F.col("frame_id").alias("point_id"), "lat", "lon", "uncertainty_m", "heading_deg")
-    return roads.match_points(p, _segments(spark, d)).groupBy("reason").agg(F.count("*").alias("n"))
+    return roads.match_points(p, _segments(spark, d)).select("point_id", "reason", "segment_id")
 
 
 @query(f"SELECT name, count(*) AS n_segments FROM ({SEGMENTS}) s1 WHERE coalesce(name, '') <> '' GROUP BY 1")
@@ -420,20 +434,40 @@ def rollup_coverage(spark: SparkSession, d: str) -> DataFrame:
     return rollup.coverage_by_way(_driven(spark, d), _segments(spark, d)).select("way_id", F.round("surveyed_m", 1).alias("surveyed_m"))
 
 
+def report_sql(everything: bool) -> str:
+    n = lambda cond, name: f"count(*) FILTER ({cond}) AS {name}"
+    alive = "status <> 'rejected' AND "
+    counts = [n("status = 'verified'", "verified"), n("status = 'rejected'", "rejected"), n("status NOT IN ('verified', 'rejected')", "probable"), *[n(f"{alive}damage_class = '{k}'", k) for k in schema.ENUMS["damage_class"]], *[n(f"{alive}severity = '{k}'", f"severity_{k}") for k in schema.ENUMS["severity"]]]
+    names = [c.rsplit(" ", 1)[1] for c in counts]
+    fresh = f"SELECT defect_id AS point_id, lat, lon, uncertainty_m FROM ({DEFECTS}) d3 WHERE segment_id IS NULL"
+    return f"""{_COVER}, {match_sql(fresh, 'NULL::DOUBLE', 'd_')},
+    dw AS (SELECT d.*, CASE WHEN d.segment_id IS NOT NULL THEN split_part(d.segment_id, '#', 1) WHEN m.reason = 'matched' THEN m.way_id END AS way FROM ({DEFECTS}) d LEFT JOIN d_matched m ON m.point_id = d.defect_id),
+    pw AS (SELECT way AS way_id, {', '.join(counts)}, count(DISTINCT survey_id) AS n_surveys, string_agg(DISTINCT survey_id, ';' ORDER BY survey_id) AS survey_ids FROM dw WHERE way IS NOT NULL GROUP BY 1),
+    meta AS (SELECT way_id, sum({hav('a_lat', 'a_lon', 'b_lat', 'b_lon')}) AS length_m, arg_max(highway, seg_ord) AS highway, last(name ORDER BY seg_ord) AS name FROM ({SEGMENTS}) s5 GROUP BY 1),
+    got AS (SELECT coalesce(c.way_id, pw.way_id) AS way_id, c.surveyed_m, pw.* EXCLUDE (way_id) FROM (SELECT * FROM cov WHERE way_id IS NOT NULL) c FULL JOIN pw ON c.way_id = pw.way_id),
+    r0 AS (SELECT coalesce(meta.way_id, got.way_id) AS way_id, coalesce(length_m, 0) AS length_m, name, highway, coalesce(surveyed_m, 0) AS surveyed_m, coalesce(survey_ids, '') AS survey_ids, coalesce(n_surveys, 0) AS n_surveys, {', '.join(f'coalesce({c}, 0) AS {c}' for c in names)}
+        FROM got {'FULL' if everything else 'LEFT'} JOIN meta ON meta.way_id = got.way_id),
+    rep AS (SELECT *, verified + probable AS outstanding, CASE WHEN length_m > 0 THEN least(surveyed_m, length_m) ELSE 0 END AS covered_m, CASE WHEN surveyed_m >= 50 THEN round((verified + probable) / surveyed_m * 100, 2) END AS defects_per_100m,
+        CASE WHEN surveyed_m <= 0 THEN 'not_surveyed' WHEN verified + probable = 0 THEN 'clean' ELSE 'defects' END AS state FROM r0)"""
+
+
 def _report(spark, d, everything=False):
     seg = _segments(spark, d)
     cover = checkpoint(rollup.coverage_by_way(_driven(spark, d), seg))
     return rollup.street_report(rollup.ways_of_defects(_defects(spark, d), seg), cover, seg, everything), cover, seg
 
 
-@query()
+@query(f"WITH {report_sql(False)} SELECT * REPLACE (round(surveyed_m, 1) AS surveyed_m, round(length_m, 1) AS length_m, round(covered_m, 1) AS covered_m) FROM rep")
 def rollup_streets(spark: SparkSession, d: str) -> DataFrame:
     """R3, R4, R5, R6, R7, J6."""
     r = _report(spark, d)[0]
+    r = r.withColumn("survey_ids", F.concat_ws(";", F.array_sort("survey_ids")))
     return r.select(*[F.round(c, 1).alias(c) if t == "double" and c != "defects_per_100m" else F.col(c) for c, t in r.dtypes])
 
 
-@query()
+@query(f"""WITH {report_sql(True)}, t AS (SELECT (SELECT count(*) FROM meta) AS network_ways, (SELECT sum(length_m) FROM meta) AS network_length_m, (SELECT sum(covered_m) FROM rep) AS covered_m, (SELECT sum(surveyed_m) FROM rep) AS on_network_m,
+    (SELECT coalesce(sum(surveyed_m) FILTER (way_id IS NULL), 0) FROM cov) AS unmatched_m, (SELECT sum(surveyed_m) FROM cov) AS surveyed_m)
+    SELECT network_ways, round(network_length_m, 3) AS network_length_m, round(covered_m, 3) AS covered_m, round(on_network_m, 3) AS on_network_m, round(unmatched_m, 3) AS unmatched_m, round(surveyed_m, 3) AS surveyed_m, round(covered_m / network_length_m, 3) AS coverage_fraction FROM t""")
 def rollup_network(spark: SparkSession, d: str) -> DataFrame:
     """R8."""
     r, cover, seg = _report(spark, d, True)
@@ -441,26 +475,28 @@ def rollup_network(spark: SparkSession, d: str) -> DataFrame:
     return n.select(*[F.round(c, 3).alias(c) if t == "double" else F.col(c) for c, t in n.dtypes])
 
 
-@query()
+@query(f"WITH {report_sql(False)} SELECT way_id, defects_per_100m FROM rep WHERE defects_per_100m IS NOT NULL ORDER BY defects_per_100m DESC, way_id LIMIT 10")
 def rollup_worst(spark: SparkSession, d: str) -> DataFrame:
     """The ten streets with most defects by length, a top-k report."""
     return rollup.worst(_report(spark, d)[0], 10).select("way_id", "defects_per_100m")
 
 
-@query()
+@query(f"""WITH {report_sql(False)}, ids AS (SELECT name, string_agg(DISTINCT s, ';' ORDER BY s) AS survey_ids FROM (SELECT name, unnest(string_split(survey_ids, ';')) AS s FROM rep WHERE survey_ids <> '') GROUP BY 1)
+    SELECT r.*, coalesce(ids.survey_ids, '') AS survey_ids FROM (SELECT name, count(*) AS n_ways, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ('verified', 'rejected', 'probable', 'outstanding', *schema.ENUMS['damage_class'], *(f'severity_{k}' for k in schema.ENUMS['severity'])))}, {', '.join(f'round(sum({c}), 1) AS {c}' for c in ('surveyed_m', 'covered_m', 'length_m'))}
+        FROM rep WHERE coalesce(name, '') <> '' GROUP BY 1) r LEFT JOIN ids ON ids.name = r.name""")
 def rollup_by_name(spark: SparkSession, d: str) -> DataFrame:
     """R10."""
-    r = rollup.by_name(_report(spark, d)[0])
+    r = rollup.by_name(_report(spark, d)[0]).withColumn("survey_ids", F.concat_ws(";", "survey_ids"))
     return r.select(*[F.round(c, 1).alias(c) if t == "double" else F.col(c) for c, t in r.dtypes])
 
 
 @query(f"""
     WITH d1 AS ({DEFECTS})
-    SELECT 'total' AS dimension, '' AS value, count(*) AS n, round(avg(uncertainty_m), 3) AS mean_uncertainty_m FROM d1
-    UNION ALL SELECT 'damage_class', damage_class, count(*), round(avg(uncertainty_m), 3) FROM d1 GROUP BY 2 UNION ALL SELECT 'status', status, count(*), round(avg(uncertainty_m), 3) FROM d1 GROUP BY 2""")
+    SELECT 'total' AS dimension, '' AS value, count(*) AS n, round(avg(uncertainty_m), 3) AS mean_uncertainty_m, round(count(*) / 12.5e0, 2) AS n_per_km FROM d1
+    """ + " ".join(f"UNION ALL SELECT '{c}', {c}, count(*), round(avg(uncertainty_m), 3), round(count(*) / 12.5e0, 2) FROM d1 GROUP BY 2" for c in ("damage_class", "status", "severity")))
 def rollup_summary(spark: SparkSession, d: str) -> DataFrame:
     """R11, O6."""
-    return rollup.summarize(_defects(spark, d))
+    return rollup.summarize(_defects(spark, d), distance_km=12.5)
 
 
 @query("""SELECT model_id, model_id SIMILAR TO '(fake|scripted|null)-.*' AS is_synthetic, count(*) AS n, count(DISTINCT survey_id) AS n_surveys FROM detections GROUP BY 1""")
@@ -525,13 +561,15 @@ def store_last_write(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH o AS (SELECT c_custkey, c_name, c_acctbal, 1 AS src FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey, 'new' AS c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 2 = 0)
-    SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN o.c_custkey IS NOT NULL THEN o.c_name ELSE n.c_name END AS c_name, round(CASE WHEN n.c_custkey IS NOT NULL THEN n.c_acctbal ELSE o.c_acctbal END, 2) AS c_acctbal FROM o FULL JOIN n ON o.c_custkey = n.c_custkey""")
+    WITH n AS (SELECT o_custkey AS c_custkey, 'new' AS c_name, sum(o_totalprice) AS c_acctbal FROM orders GROUP BY 1 UNION ALL SELECT -c_custkey, c_name, c_acctbal FROM customer)
+    SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN o.c_custkey IS NOT NULL THEN o.c_name ELSE n.c_name END AS c_name, round(CASE WHEN n.c_custkey IS NOT NULL THEN n.c_acctbal ELSE o.c_acctbal END, 2) AS c_acctbal FROM customer o FULL JOIN n ON o.c_custkey = n.c_custkey""")
 def store_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Two versions of a table merged; the name of known rows stays."""
+    """All customers, with what their orders come to as the new version, and as many new keys; the name of known
+    rows stays."""
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
-    new = c.where("c_custkey % 2 = 0").select("c_custkey", F.lit("new").alias("c_name"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
-    return store.upsert(c.where("c_custkey % 3 <> 0"), new, ["c_custkey"], ["c_name"]).withColumn("c_acctbal", F.round("c_acctbal", 2))
+    new = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.lit("new").alias("c_name"), F.sum("o_totalprice").alias("c_acctbal"))
+    new = new.unionByName(c.withColumn("c_custkey", -F.col("c_custkey")))
+    return store.upsert(c, new, ["c_custkey"], ["c_name"]).withColumn("c_acctbal", F.round("c_acctbal", 2))
 
 
 @query("""SELECT survey_id, arg_max(lat, (t, record_id)) FILTER (lat IS NOT NULL) AS lat, arg_max(speed_mps, (t, record_id)) FILTER (speed_mps IS NOT NULL) AS speed_mps, count(*) AS n_entries, max(t) AS last_at FROM location_records WHERE t IS NOT NULL GROUP BY 1""")
@@ -557,6 +595,35 @@ def store_validate(spark: SparkSession, d: str) -> DataFrame:
 # --- evaluation
 
 
+def unit(part: str, key: str) -> str:
+    return f"(CAST('0x' || substr(md5(concat_ws('|', '{part}', {key})), 1, 8) AS BIGINT) / 4294967296e0)"
+
+
+_EVAL = f"""
+    b0 AS (SELECT DISTINCT ON (image_id) image_id, boxes FROM annotations ORDER BY image_id),
+    b1 AS (SELECT image_id, unnest(boxes) AS b, generate_subscripts(boxes, 1) AS i FROM b0),
+    t AS (SELECT image_id, concat(image_id, '#', printf('%03d', i - 1)) AS box_id, CASE b.rdd_code WHEN 'D00' THEN 'longitudinal_crack' WHEN 'D10' THEN 'transverse_crack' WHEN 'D20' THEN 'alligator_crack' WHEN 'D40' THEN 'pothole' END AS damage_class,
+        CAST(b.xmin AS DOUBLE) AS x1, CAST(b.ymin AS DOUBLE) AS y1, CAST(b.xmax AS DOUBLE) AS x2, CAST(b.ymax AS DOUBLE) AS y2 FROM b1),
+    p AS (SELECT image_id, damage_class, box_id, round({unit('score', 'box_id')}, 3) AS score, x1 + k AS x1, y1, x2 + k AS x2, y2 FROM (SELECT *, ({unit('k', 'box_id')} * 0.7e0 - 0.35e0) * (x2 - x1) AS k FROM t) WHERE {unit('keep', 'box_id')} < 0.8e0),
+    o AS (SELECT p.image_id, p.damage_class, p.box_id AS pred, p.score, t.box_id AS gt, least(p.x2, t.x2) - greatest(p.x1, t.x1) AS w, least(p.y2, t.y2) - greatest(p.y1, t.y1) AS h, (p.x2 - p.x1) * (p.y2 - p.y1) AS pa, (t.x2 - t.x1) * (t.y2 - t.y1) AS ta
+        FROM p JOIN t ON p.image_id = t.image_id AND p.damage_class = t.damage_class),
+    e AS (SELECT *, w * h / (pa + ta - w * h) AS iou FROM o WHERE w > 0 AND h > 0 AND w * h / (pa + ta - w * h) >= 0.5e0),
+    l AS (SELECT image_id, damage_class, pred, list(gt ORDER BY iou DESC, gt) AS gts, row_number() OVER (PARTITION BY image_id, damage_class ORDER BY any_value(score) DESC, pred) AS k FROM e GROUP BY 1, 2, 3),
+    g(image_id, damage_class, k, used, pred) AS (SELECT DISTINCT image_id, damage_class, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), NULL::VARCHAR FROM l
+        UNION ALL SELECT image_id, damage_class, k, CASE WHEN c IS NULL THEN used ELSE list_append(used, c) END, CASE WHEN c IS NOT NULL THEN pred END
+        FROM (SELECT l.image_id, l.damage_class, l.k, g.used, l.pred, list_filter(l.gts, lambda x: NOT list_contains(g.used, x))[1] AS c FROM g JOIN l ON l.image_id = g.image_id AND l.damage_class = g.damage_class AND l.k = g.k + 1)),
+    m AS (SELECT p.image_id, p.damage_class, p.box_id, p.score, g.pred IS NOT NULL AS hit FROM p LEFT JOIN (SELECT * FROM g WHERE pred IS NOT NULL) g ON g.image_id = p.image_id AND g.damage_class = p.damage_class AND g.pred = p.box_id)"""
+_SCORES = f"""{_EVAL},
+    gc AS (SELECT damage_class, count(*) AS gt FROM t GROUP BY 1),
+    pc AS (SELECT damage_class, count(*) FILTER (hit) AS tp, count(*) FILTER (NOT hit) AS fp FROM m GROUP BY 1),
+    c0 AS (SELECT coalesce(pc.damage_class, gc.damage_class) AS damage_class, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(gt, 0) AS gt FROM pc FULL JOIN gc ON pc.damage_class = gc.damage_class),
+    c1 AS (SELECT *, gt - tp AS fn, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) END AS precision, CASE WHEN gt > 0 THEN tp / CAST(gt AS DOUBLE) END AS recall FROM c0),
+    a0 AS (SELECT *, sum(CAST(hit AS INT)) OVER w / CAST(count(*) OVER w AS DOUBLE) AS prec FROM m WINDOW w AS (PARTITION BY damage_class ORDER BY score DESC, image_id, box_id ROWS UNBOUNDED PRECEDING)),
+    a1 AS (SELECT *, max(prec) OVER (PARTITION BY damage_class ORDER BY score DESC, image_id, box_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env FROM a0),
+    ap AS (SELECT a1.damage_class, sum(env / gt) FILTER (hit) AS ap FROM a1 JOIN gc ON gc.damage_class = a1.damage_class GROUP BY 1),
+    sc AS (SELECT c1.damage_class, tp, fp, fn, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) END AS f1, CASE WHEN gt > 0 THEN coalesce(ap, 0) END AS ap FROM c1 LEFT JOIN ap ON ap.damage_class = c1.damage_class)"""
+
+
 def _boxes(spark, d):
     """Truth: every annotated box; predictions: the same boxes shifted by hashes, with a score, less some."""
     a = table(spark, d, "annotations").dropDuplicates(["image_id"])
@@ -567,27 +634,41 @@ def _boxes(spark, d):
     return p, t
 
 
-@query()
+@query(f"WITH RECURSIVE {_EVAL} SELECT * FROM m")
 def eval_matches(spark: SparkSession, d: str) -> DataFrame:
     """E1, E2."""
     return evaluate.match_boxes(*_boxes(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {_SCORES} SELECT damage_class, tp, fp, fn, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1, round(ap, 4) AS ap FROM sc")
 def eval_scores(spark: SparkSession, d: str) -> DataFrame:
-    """E3, E4, E5, W6, W7."""
+    """E3, E4, W6, W7."""
     p, t = _boxes(spark, d)
     s = evaluate.scores(checkpoint(evaluate.match_boxes(p, t)), t)
     return s.select(*[F.round(c, 4).alias(c) if k == "double" else F.col(c) for c, k in s.dtypes])
 
 
-# --- splits of the reference kind
+@query(f"WITH RECURSIVE {_SCORES} SELECT round(avg(f1), 4) AS macro_f1, round(avg(ap), 4) AS map50, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, count(*) AS n_classes FROM sc")
+def eval_totals(spark: SparkSession, d: str) -> DataFrame:
+    """E5."""
+    p, t = _boxes(spark, d)
+    r = evaluate.totals(evaluate.scores(checkpoint(evaluate.match_boxes(p, t)), t))
+    return r.select(*[F.round(c, 4).alias(c) if k == "double" else F.col(c) for c, k in r.dtypes])
 
 
-@query("""
-    WITH a AS (SELECT DISTINCT image_id, country, image_index FROM annotations WHERE country IS NOT NULL AND image_index IS NOT NULL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY image_index, image_id) - 1 AS rn, count(*) OVER (PARTITION BY country) AS n FROM a)
-    SELECT image_id, country, CASE WHEN rn < floor(n * 0.7e0) THEN 'train' WHEN rn < floor(n * 0.7e0) + floor(n * 0.15e0) THEN 'val' ELSE 'test' END AS split FROM r""")
+# --- splits by blocks of a numbering
+
+
+
+_PLACE = """
+    p AS (SELECT DISTINCT image_id, coalesce(nullif(trim(regexp_replace(lower(country), '[\\s_\\-]+', ' ', 'g')), ''), nullif(trim(regexp_replace(lower(regexp_extract(image_id, '^\\s*(.+?)_(\\d+)', 1)), '[\\s_\\-]+', ' ', 'g')), '')) AS c,
+        coalesce(image_index, try_cast(nullif(regexp_extract(image_id, '^\\s*(.+?)_(\\d+)', 2), '') AS BIGINT)) AS i, len(boxes) AS n FROM annotations),
+    a AS (SELECT image_id, min(coalesce(upper(c[1]) || c[2:], 'unknown')) AS country, coalesce(min(i), 0) AS image_index, min(n) AS n FROM p GROUP BY 1)"""
+
+
+@query(f"""
+    WITH {_PLACE}, r AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY image_index, image_id) - 1 AS rn, count(*) OVER (PARTITION BY country) AS k FROM a)
+    SELECT image_id, country, CASE WHEN rn < floor(k * 0.7e0) THEN 'train' WHEN rn < greatest(floor(k * 0.7e0), floor(k * (0.7e0 + 0.15e0))) THEN 'val' ELSE 'test' END AS split FROM r""")
 def split_contiguous(spark: SparkSession, d: str) -> DataFrame:
     """One block of the numbering for each split, by country in any spelling. Country and index are read from
     the id where they are missing; an image that tells neither way is of country 'unknown', at index 0."""
@@ -598,13 +679,13 @@ def split_contiguous(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     WITH s AS (SELECT survey_id, row_number() OVER (ORDER BY survey_id) - 1 AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT survey_id FROM frames))
-    SELECT survey_id, CASE WHEN n = 1 OR rn < greatest(1, floor(n * 0.7e0)) THEN 'train' WHEN rn < greatest(1, floor(n * 0.7e0)) + floor(n * 0.15e0) THEN 'val' ELSE 'test' END AS split FROM s""")
+    SELECT survey_id, CASE WHEN n = 1 OR rn < greatest(1, floor(n * 0.7e0)) THEN 'train' WHEN rn < greatest(1, floor(n * 0.7e0), floor(n * (0.7e0 + 0.15e0))) THEN 'val' ELSE 'test' END AS split FROM s""")
 def split_by_survey(spark: SparkSession, d: str) -> DataFrame:
     """X1."""
     return training.survey_splits(table(spark, d, "frames"))
 
 
-@query("""SELECT country, count(*) AS n_images, count(*) FILTER (len(boxes) = 0) AS n_negative, CAST(sum(len(boxes)) AS BIGINT) AS n_boxes FROM (SELECT DISTINCT ON (image_id) image_id, upper(country[1]) || lower(country[2:]) AS country, boxes FROM annotations WHERE country IS NOT NULL AND country SIMILAR TO '[A-Z][a-z]+' ORDER BY image_id) GROUP BY 1""")
+@query(f"WITH {_PLACE} SELECT country, count(*) AS n_images, count(*) FILTER (n = 0) AS n_negative, CAST(sum(n) AS BIGINT) AS n_boxes FROM a GROUP BY 1")
 def split_manifest(spark: SparkSession, d: str) -> DataFrame:
     """What a dataset holds: every image, by its country in any spelling or else the start of its id."""
     c, _ = misc.picture_place(F.col("image_id"), F.col("country"), F.col("image_index"))
@@ -615,16 +696,25 @@ def split_manifest(spark: SparkSession, d: str) -> DataFrame:
 # --- exports
 
 
-@query(f"SELECT defect_id, damage_class, status, round(lat, 6) AS lat, round(lon, 6) AS lon, round(uncertainty_m, 2) AS uncertainty_m, round(confidence, 4) AS confidence, survey_id, coalesce(segment_id, '') AS segment_id FROM ({DEFECTS}) d1")
+@query(f"""
+    SELECT defect_id, damage_class, round(lat, 6) AS latitude, round(lon, 6) AS longitude, location_method, round(uncertainty_m, 2) AS location_uncertainty_m, '' AS road_name, coalesce(segment_id, '') AS road_segment_id, CASE WHEN segment_id IS NULL THEN '' ELSE 'openstreetmap' END AS road_source,
+        round(confidence, 4) AS confidence, severity, severity_source, status, 'unknown' AS trend, observation_count, survey_id AS survey_ids, strftime(first_seen, '%Y-%m-%dT%H:%M:%S.%fZ') AS first_seen, strftime(last_seen, '%Y-%m-%dT%H:%M:%S.%fZ') AS last_seen,
+        coalesce(model_id, '') AS model_id, processing_run_id, representative_frame_id, '' AS representative_image FROM ({DEFECTS}) d1""")
 def export_rows(spark: SparkSession, d: str) -> DataFrame:
     """O1, O2, O3."""
-    return export.flat_rows(_defects(spark, d))
+    x = _defects(spark, d).withColumns({"survey_ids": F.array("survey_id"), "road_source": F.when(F.col("segment_id").isNotNull(), "openstreetmap")})
+    return export.csv_rows(x)
 
 
-@query()
+@query(f"SELECT defect_id, 'Feature' AS type, 'Point' AS geometry, round(lon, 6) AS lon, round(lat, 6) AS lat, damage_class, uncertainty_m, segment_id FROM ({DEFECTS}) d1")
 def export_features(spark: SparkSession, d: str) -> DataFrame:
-    """O4, R15."""
-    return export.features(_defects(spark, d))
+    """Each feature's JSON, read again."""
+    get = lambda path, name, kind="string": F.get_json_object("value", f"$.{path}").cast(kind).alias(name)
+    f = export.features(_defects(spark, d))
+    return f.select(
+        get("properties.defect_id", "defect_id"), get("type", "type"), get("geometry.type", "geometry"), get("geometry.coordinates[0]", "lon", "double"), get("geometry.coordinates[1]", "lat", "double"),
+        get("properties.damage_class", "damage_class"), get("properties.uncertainty_m", "uncertainty_m", "double"), get("properties.segment_id", "segment_id"),
+    )
 
 
 @query("""
@@ -637,22 +727,26 @@ def export_crops(spark: SparkSession, d: str) -> DataFrame:
     return export.crop_rectangle(x).select("detection_id", "crop_x1", "crop_y1", "crop_x2", "crop_y2")
 
 
-@query()
+@query(f"""
+    WITH s AS ({SEGMENTS}), v AS (SELECT way_id, seg_ord, a_lon AS lon, a_lat AS lat FROM s UNION ALL SELECT way_id, max(seg_ord) + 1, arg_max(b_lon, seg_ord), arg_max(b_lat, seg_ord) FROM s GROUP BY 1)
+    SELECT way_id, count(*) AS n_points, string_agg(printf('%.5f %.5f', lon, lat), ',' ORDER BY seg_ord) AS points FROM v GROUP BY 1""")
 def export_way_lines(spark: SparkSession, d: str) -> DataFrame:
     """The segments of a way as one line."""
-    p = F.array_sort(F.collect_list(F.struct("seg_ord", "a_lon", "a_lat", "b_lon", "b_lat")))
-    w = _segments(spark, d).groupBy("way_id").agg(p.alias("p"))
-    line = F.concat(F.transform("p", lambda s: F.array(s["a_lon"], s["a_lat"])), F.array(F.array(F.element_at("p", -1)["b_lon"], F.element_at("p", -1)["b_lat"])))
-    return w.select("way_id", F.to_json(F.struct(F.lit("LineString").alias("type"), line.alias("coordinates"))).alias("geometry"))
+    w = export.way_lines(_segments(spark, d)).select("way_id", F.from_json("geometry", "type string, coordinates array<array<double>>").alias("g"))
+    return w.select("way_id", F.size("g.coordinates").cast("long").alias("n_points"), F.array_join(F.transform("g.coordinates", lambda p: F.format_string("%.5f %.5f", p[0], p[1])), ",").alias("points"))
 
 
 # --- detectors and the whole pipeline
 
 
-@query("""SELECT count(*) AS n FROM (SELECT DISTINCT frame_id FROM frames) WHERE CAST('0x' || substr(md5(concat_ws('|', '0', frame_id, 'hit')), 1, 8) AS BIGINT) / 4294967296e0 < 0.3""")
+@query(f"""
+    SELECT frame_id, ['longitudinal_crack', 'transverse_crack', 'alligator_crack', 'pothole'][CAST(floor({unit("0", "concat_ws('|', frame_id, 'class')")} * 4) AS INT) + 1] AS damage_class, round(0.3e0 + 0.7e0 * {unit("0", "concat_ws('|', frame_id, 'confidence')")}, 6) AS confidence,
+        round({unit("0", "concat_ws('|', frame_id, 'x')")} * 0.92e0 * width, 3) AS x1, round((0.4e0 + {unit("0", "concat_ws('|', frame_id, 'y')")} * 0.54e0) * height, 3) AS y1
+    FROM frames WHERE {unit("0", "concat_ws('|', frame_id, 'hit')")} < 0.3e0""")
 def detect_fake(spark: SparkSession, d: str) -> DataFrame:
     """U1, U4."""
-    return detect.fake_detector(table(spark, d, "frames")).agg(F.count("*").alias("n"))
+    x = detect.fake_detector(table(spark, d, "frames"))
+    return x.select("frame_id", "damage_class", F.round("confidence", 6).alias("confidence"), F.round("x1", 3).alias("x1"), F.round("y1", 3).alias("y1"))
 
 
 @query()
