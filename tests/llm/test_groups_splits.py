@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayline.llm.groups import boruvka_groups, observation_links
-from wayline.llm.splits import canonical, entity_splits, picture_groups, split_of, star_components
+from wayline.llm.splits import balanced_splits, canonical, entity_splits, picture_groups, split_of, star_components
 
 
 def components(pairs):
@@ -88,3 +88,17 @@ def test_splits(spark):
     c = {x.id: x.component for x in out}
     assert len(out) == 5 and c["a"] == c["b"] == c["c"] and len({c["a"], c["d"], c["e"]}) == 3
     assert spark.range(1).select(canonical(F.lit(" \tA__b-\n")).alias("x"), canonical(F.lit("  ")).alias("y")).first() == ("a b", None)
+
+
+def test_balanced_splits_reach_the_shares_and_keep_groups(spark):
+    rng = random.Random(9)
+    sizes = [1 + int(rng.expovariate(0.1)) for _ in range(300)] + [700]
+    df = spark.createDataFrame([(f"g{i}",) for i, n in enumerate(sizes) for _ in range(n)] + [(None,)], "g string")
+    rows = balanced_splits(df, "g").collect()
+    assert {r.group: r.size for r in rows} == {f"g{i}": n for i, n in enumerate(sizes)}
+    got = {s: sum(r.size for r in rows if r.split == s) / sum(sizes) for s in ("train", "validation", "test")}
+    assert abs(got["train"] - 0.7) < 0.12 and abs(got["validation"] - 0.15) < 0.12 and abs(got["test"] - 0.15) < 0.12
+    small = balanced_splits(df.where("g <> 'g300'"), "g").groupBy("split").agg(F.sum("size").alias("n")).collect()
+    assert all(abs(r.n / sum(sizes[:-1]) - {"train": 0.7}.get(r.split, 0.15)) < 0.02 for r in small)
+    assert {tuple(r) for r in balanced_splits(df.repartition(3).union(df.limit(0)), "g").collect()} == {tuple(r) for r in rows}
+    assert balanced_splits(df.limit(0), "g").count() == 0

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayline.session import checkpoint
+from wayline.session import checkpoint, release
 
 
 def boruvka_groups(pairs: DataFrame, a: str, b: str, weight: str | None = None) -> DataFrame:
@@ -36,15 +36,22 @@ def boruvka_groups(pairs: DataFrame, a: str, b: str, weight: str | None = None)
         choice = checkpoint(out.groupBy("c").agg(F.min("e").alias("e")).select("c", F.col("e.to").alias("p")))
         back = choice.select(F.col("c").alias("p"), F.col("p").alias("pp"))
         parent = checkpoint(choice.join(back.hint("merge"), "p").select("c", F.when((F.col("pp") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p")))
+        held = parent
+        release(choice)
         while True:
             up = parent.select(F.col("c").alias("p"), F.col("p").alias("pp"))
             doubled = checkpoint(parent.join(up.hint("merge"), "p").select("c", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
-            parent = doubled.select("c", "p")
+            release(held)
+            parent, held = doubled.select("c", "p"), doubled
             if not doubled.where("moved").limit(1).count():
                 break
+        old = labels
         labels = checkpoint(labels.join(parent.hint("merge"), "c", "left").select("id", F.coalesce("p", "c").alias("c")))
+        release(old)
         moved = edges.join(parent.select(F.col("c").alias("cx"), F.col("p").alias("px")).hint("merge"), "cx").join(parent.select(F.col("c").alias("cy"), F.col("p").alias("py")).hint("merge"), "cy").where("px <> py")
-        edges = checkpoint(moved.groupBy(F.least("px", "py").alias("cx"), F.greatest("px", "py").alias("cy")).agg(F.min("rank").alias("rank")))
+        fewer = checkpoint(moved.groupBy(F.least("px", "py").alias("cx"), F.greatest("px", "py").alias("cy")).agg(F.min("rank").alias("rank")))
+        release(edges, held)
+        edges = fewer
     least = labels.groupBy("c").agg(F.min("id").alias("group_id"))
     return labels.join(least.hint("merge"), "c").select("id", "group_id")
 

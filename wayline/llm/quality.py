@@ -97,8 +97,8 @@ def _line(line: Column, common: list[str], stop: list[str], wanted: set[str]) ->
     def of(s: Column) -> Column:
         w, end = s["w"], s["end"]
         ends = F.substring(end, -16, 16).rlike(ENDS)
-        # a word below ":" begins with a digit
-        first = F.struct(F.filter(w, lambda x: x.isin(common)).alias("c"), F.size(F.filter(w, lambda x: (x >= ":") | x.rlike(r"\p{L}"))).alias("alpha"), _structured(s["bare"]).alias("structured"))
+        # most words begin with one of a to z and need no pattern
+        first = F.struct(F.filter(w, lambda x: x.isin(common)).alias("c"), F.size(F.filter(w, lambda x: ((x >= "a") & (x < "{")) | x.rlike(r"\p{L}"))).alias("alpha"), _structured(s["bare"]).alias("structured"))
 
         def counts(k: Column) -> Column:
             out = {

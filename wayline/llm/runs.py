@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayline.functions.misc import damage_class  # noqa: F401
+from wayline.session import checkpoint
 
 RUN = "entity string, value string, first_id string, last_id string, t0 long, t1 long, n long, opens boolean, closes boolean, part int"
 _TYPES = [pa.string()] * 4 + [pa.int64()] * 3 + [pa.bool_(), pa.bool_(), pa.int32()]
@@ -103,7 +104,8 @@ def collapse_runs(events: DataFrame, entity: list[str], t: str, id_col: str, val
     rows = rows.groupBy("entity", "id", "t").agg(F.min(F.struct(*rest)).alias("s")).select("entity", "s.value", "id", "t", *[f"s.x{k}" for k in range(len(tol))])
     order = ["entity", "t", "id"]
     spread = rows.repartition("entity") if tol else rows.repartitionByRange(*order)
-    pieces = spread.sortWithinPartitions(*order).mapInArrow(_machine(max_gap, list(tol.values())), RUN)
+    # written, as whole and cut runs are read from it
+    pieces = checkpoint(spread.sortWithinPartitions(*order).mapInArrow(_machine(max_gap, list(tol.values())), RUN))
     # join the runs that a partition's edge has cut; all others pass by
     w = Window.partitionBy("entity").orderBy("t0", "first_id", "part")
     edge = pieces.withColumn("whole", ~(F.col("opens") | F.col("closes")))

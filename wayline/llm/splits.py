@@ -13,9 +13,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from wayline.functions.misc import canonical, picture_place  # noqa: F401
-from wayline.session import checkpoint
+from wayline.functions.misc import canonical, picture_place, stable_unit  # noqa: F401
+from wayline.session import checkpoint, release
 
 
 def _sum(df: DataFrame) -> tuple[int, int]:
@@ -49,7 +50,10 @@ def star_components(edges: DataFrame, u: str = "u", v: str = "v", most_rounds: i
     for _ in range(most_rounds):
         if before[0] == 0:
             break
-        now = checkpoint(_star_small(checkpoint(_star_large(now))))
+        large = checkpoint(_star_large(now))
+        small = checkpoint(_star_small(large))
+        release(now, large)
+        now = small
         after = _sum(now)
         if after == before:
             break
@@ -91,18 +95,43 @@ def picture_groups(images: DataFrame, id_col: str = "image_id", country: str = "
 SHARES = (("train", 0.70), ("validation", 0.15), ("test", 0.15))
 
 
-def split_of(group: Column, shares=SHARES, seed: int = 0) -> Column:
-    """The split into whose range the hash of a group falls; a null group has none."""
-    u = F.pmod(F.xxhash64(group, F.lit(seed)), F.lit(1 << 40)).cast("double") / float(1 << 40)
-    total = float(sum(s for _, s in shares))
-    upto, bounds = 0.0, []
+def _bounds(shares) -> list[tuple[float, str]]:
+    total, upto, out = float(sum(s for _, s in shares)), 0.0, []
     for name, s in shares:
         upto += s / total
-        bounds.append((upto, name))
+        out.append((upto, name))
+    return out
+
+
+def _range_of(u: Column, shares) -> Column:
+    bounds = _bounds(shares)
     out = F.lit(bounds[-1][1])
     for upto, name in reversed(bounds[:-1]):
         out = F.when(u < upto, F.lit(name)).otherwise(out)
-    return F.when(group.isNotNull(), out)
+    return out
+
+
+def split_of(group: Column, shares=SHARES, seed: int = 0) -> Column:
+    """The split into whose range the hash of a group falls; a null group has none. The shares are reached as far as the
+    groups are many and small."""
+    return F.when(group.isNotNull(), _range_of(stable_unit(F.lit(str(seed)), group.cast("string")), shares))
+
+
+#: Ranges of the hash over which sizes are summed, so that no window is over all groups.
+RANGES = 4096
+
+
+def balanced_splits(members: DataFrame, group: str, shares=SHARES, seed: int = 0) -> DataFrame:
+    """(group, size, split): groups in the order of their hashes; the ranges end where the sizes of the groups before
+    reach the shares, so that the shares of members are met to within the size of a group. A group is in the split in
+    whose range its middle lies. Rows with a null group are left out."""
+    sizes = checkpoint(members.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("group")).agg(F.count("*").alias("size")).withColumn("u", stable_unit(F.lit(str(seed)), F.col("group").cast("string"))).withColumn("part", F.floor(F.col("u") * RANGES).cast("int")))
+    parts = sizes.groupBy("part").agg(F.sum("size").alias("n"))
+    every = Window.partitionBy(F.lit(0))  # over at most RANGES rows
+    parts = parts.select("part", (F.sum("n").over(every.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"), F.sum("n").over(every).alias("all"))
+    within = Window.partitionBy("part").orderBy("u", "group").rowsBetween(Window.unboundedPreceding, 0)
+    at = sizes.join(F.broadcast(parts), "part").withColumn("middle", (F.col("before") + F.sum("size").over(within) - F.col("size") / 2) / F.col("all"))
+    return at.select("group", "size", _range_of(F.col("middle"), shares).alias("split"))
 
 
 def entity_splits(records: DataFrame, id_col: str, entity_cols: list[str], shares=SHARES, seed: int = 0) -> DataFrame:
