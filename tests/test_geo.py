@@ -49,10 +49,22 @@ def test_boxes_and_region(spark):
 
 def test_misc(spark):
     r = one(spark, way=misc.way_of_segment(F.lit("way/12#3")), n=misc.padded_id("trk", F.lit(7)), c=misc.rdd_class(F.lit("D40")), x=misc.rdd_class(F.lit("D44")), k=misc.file_kind(F.lit("a/frames/f1.JPG")), e=misc.format_elapsed(F.lit(3725)), v=misc.video_time_to_epoch_ms(F.lit(1000), F.lit(0.25)), neg=misc.video_time_to_epoch_ms(F.lit(1000), F.lit(-1.0)))
-    assert (r.way, r.n, r.c, r.x, r.k, r.e, r.v, r.neg) == ("way/12", "trk00007", "pothole", None, "frames", "01:02:05", 1250, None)
+    assert (r.way, r.n, r.c, r.x, r.k, r.e, r.v, r.neg) == ("way/12", "trk00007", "pothole", None, "frames", "62:05", 1250, None)
 
 
 def test_content_hash_ignores_order(spark):
     df = spark.range(50).select(F.col("id").cast("string").alias("s"))
     h = lambda d: d.agg(misc.content_hash(F.col("s"))).first()[0]
     assert h(df) == h(df.orderBy(F.desc("s")).repartition(3)) != h(df.limit(49))
+
+
+def test_null_in_null_out(spark):
+    n, one = F.lit(None).cast("double"), F.lit(1.0)
+    f = {
+        "haversine": geo.haversine_m(n, one, one, one), "haversine2": geo.haversine_m(one, one, one, n), "bearing": geo.initial_bearing_deg(one, n, one, one), "difference": geo.bearing_difference_deg(n, one), "between": geo.interpolate_bearing(one, n, 0.5),
+        "destination": geo.destination_point(n, one, one, one)["lat"], "cross": geo.cross_track_distance_m(n, one, one, one, F.lit(2.0), one), "along": geo.along_track(one, one, one, n, F.lit(2.0), one), "distance": geo.project_onto_segment(n, one, one, one, F.lit(2.0), one)["distance_m"],
+        "fraction": geo.project_onto_segment(one, n, one, one, F.lit(2.0), one)["fraction"], "box": geo.bounding_box(n, one, one)["min_lat"], "box2": geo.bounding_box(one, one, n)["max_lon"], "iou": geo.iou(n, one, one, one, one, one, one, one), "region": geo.expanded_region(n, one, one, one, one, one, one)["x1"],
+        "cells": geo.cells_spanned(n, one), "ring": geo.ring_radius_px(one, one, n), "lon": geo.interpolate_lon(n, one, one), "pixels": geo.pixels_per_metre(n, one), "spacing": geo.estimated_spacing_m(n, one),
+    }
+    r = spark.range(1).select(*[c.alias(k) for k, c in f.items()]).first().asDict()
+    assert {k for k, v in r.items() if v is not None} == set()

@@ -33,6 +33,12 @@ def test_cleaning_counts_the_first_reason(spark):
     assert kept[T0 + 1000] == 3.0 and kept[T0 + 2000] == 5.0
 
 
+def test_distance_of_a_track(spark):
+    r = track.track_distance(track.clean_track(fixes(spark, straight(11)))).first()
+    assert r.n_fixes == 11 and abs(r.distance_m - 10 * 10.03) < 0.5
+    assert track.track_distance(track.clean_track(fixes(spark, straight(1)))).first().distance_m == 0
+
+
 def test_locate(spark):
     rows = straight(21)
     rows = [r for r in rows if not T0 + 5000 < r[2] < T0 + 17000]

@@ -19,6 +19,15 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x)) if isinstance(x, (int, float)) else F.col(x)
 
 
+def _known(expr: Column, *inputs) -> Column:
+    """expr, null if any input is: least and greatest inside of it would pass over nulls."""
+    ok = F.lit(True)
+    for x in inputs:
+        if not isinstance(x, (int, float)):
+            ok &= _c(x).isNotNull()
+    return F.when(ok, expr)
+
+
 def usable(lat, lon) -> Column:
     """Both present, numbers in range, not both 0. Never null."""
     lat, lon = _c(lat), _c(lon)
@@ -27,6 +36,10 @@ def usable(lat, lon) -> Column:
 
 
 def haversine_m(lat1, lon1, lat2, lon2) -> Column:
+    return _known(_haversine(lat1, lon1, lat2, lon2), lat1, lon1, lat2, lon2)
+
+
+def _haversine(lat1, lon1, lat2, lon2) -> Column:
     lat1, lon1, lat2, lon2 = map(_c, (lat1, lon1, lat2, lon2))
     p1, p2 = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
@@ -53,7 +66,7 @@ def destination_point(lat, lon, bearing_deg, distance_m) -> Column:
     p2 = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s)))
     dl = F.atan2(F.sin(th) * F.sin(a) * F.cos(p), F.cos(a) - F.sin(p) * s)
     return F.struct(
-        F.degrees(p2).alias("lat"),
+        _known(F.degrees(p2), lat, b, d).alias("lat"),
         (F.pmod(lon + F.degrees(dl) + 540.0, F.lit(360.0)) - 180.0).alias("lon"),
     )
 
@@ -61,7 +74,7 @@ def destination_point(lat, lon, bearing_deg, distance_m) -> Column:
 def bearing_difference_deg(a, b) -> Column:
     """Smallest angle between two bearings, in [0, 180]."""
     d = F.pmod(_c(a) - _c(b), F.lit(360.0))
-    return F.least(d, 360.0 - d)
+    return F.least(d, 360.0 - d)  # both null or none
 
 
 def interpolate_bearing(a, b, fraction) -> Column:
@@ -88,7 +101,11 @@ def interpolate_lon(a, b, fraction) -> Column:
 
 def cross_track_distance_m(lat, lon, lat1, lon1, lat2, lon2) -> Column:
     """Distance to the unbounded great circle through two points."""
-    d = haversine_m(lat1, lon1, lat, lon) / EARTH_RADIUS_M
+    return _known(_cross_track(lat, lon, lat1, lon1, lat2, lon2), lat, lon, lat1, lon1, lat2, lon2)
+
+
+def _cross_track(lat, lon, lat1, lon1, lat2, lon2) -> Column:
+    d = _haversine(lat1, lon1, lat, lon) / EARTH_RADIUS_M
     turn = F.radians(initial_bearing_deg(lat1, lon1, lat, lon) - initial_bearing_deg(lat1, lon1, lat2, lon2))
     x = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sin(d) * F.sin(turn)))
     return F.abs(F.asin(x)) * EARTH_RADIUS_M
@@ -96,7 +113,11 @@ def cross_track_distance_m(lat, lon, lat1, lon1, lat2, lon2) -> Column:
 
 def along_track(lat, lon, lat1, lon1, lat2, lon2) -> Column:
     """Signed metres from the segment's start to the foot of the perpendicular."""
-    d = haversine_m(lat1, lon1, lat, lon) / EARTH_RADIUS_M
+    return _known(_along_track(lat, lon, lat1, lon1, lat2, lon2), lat, lon, lat1, lon1, lat2, lon2)
+
+
+def _along_track(lat, lon, lat1, lon1, lat2, lon2) -> Column:
+    d = _haversine(lat1, lon1, lat, lon) / EARTH_RADIUS_M
     turn = F.radians(initial_bearing_deg(lat1, lon1, lat, lon) - initial_bearing_deg(lat1, lon1, lat2, lon2))
     xt = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sin(d) * F.sin(turn))))
     ratio = F.when(F.abs(F.cos(xt)) < 1e-15, F.lit(0.0)).otherwise(F.cos(d) / F.cos(xt))
@@ -110,8 +131,9 @@ def with_projection(df: DataFrame, lat, lon, lat1, lon1, lat2, lon2) -> DataFram
     repeated until the generated code gets too large."""
     r = EARTH_RADIUS_M
     clip = lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
+    # rows without a coordinate have no distance; callers join on cells, which drops them
     df = df.withColumns({
-        "length_m": haversine_m(lat1, lon1, lat2, lon2), "_start": haversine_m(lat, lon, lat1, lon1), "_end": haversine_m(lat, lon, lat2, lon2),
+        "length_m": _haversine(lat1, lon1, lat2, lon2), "_start": _haversine(lat, lon, lat1, lon1), "_end": _haversine(lat, lon, lat2, lon2),
         "bearing_deg": initial_bearing_deg(lat1, lon1, lat2, lon2), "_to": initial_bearing_deg(lat1, lon1, lat, lon),
     })
     df = df.withColumns({"_d": F.col("_start") / r, "_turn": F.radians(F.col("_to") - F.col("bearing_deg"))})
@@ -128,11 +150,12 @@ def with_projection(df: DataFrame, lat, lon, lat1, lon1, lat2, lon2) -> DataFram
 def project_onto_segment(lat, lon, lat1, lon1, lat2, lon2) -> Column:
     """struct(distance_m, along_m, fraction) as one expression; see with_projection for many rows."""
     lat, lon, lat1, lon1, lat2, lon2 = map(_c, (lat, lon, lat1, lon1, lat2, lon2))
-    length, at_start = haversine_m(lat1, lon1, lat2, lon2), haversine_m(lat, lon, lat1, lon1)
-    along = F.when((length == 0.0) | (at_start == 0.0), F.lit(0.0)).otherwise(along_track(lat, lon, lat1, lon1, lat2, lon2))
-    distance = F.when(along <= 0, at_start).when(along >= length, haversine_m(lat, lon, lat2, lon2)).otherwise(cross_track_distance_m(lat, lon, lat1, lon1, lat2, lon2))
+    length, at_start = _haversine(lat1, lon1, lat2, lon2), _haversine(lat, lon, lat1, lon1)
+    along = F.when((length == 0.0) | (at_start == 0.0), F.lit(0.0)).otherwise(_along_track(lat, lon, lat1, lon1, lat2, lon2))
+    distance = F.when(along <= 0, at_start).when(along >= length, _haversine(lat, lon, lat2, lon2)).otherwise(_cross_track(lat, lon, lat1, lon1, lat2, lon2))
     kept = F.greatest(F.lit(0.0), F.least(along, length))
-    return F.struct(distance.alias("distance_m"), kept.alias("along_m"), F.when(length == 0.0, F.lit(0.0)).otherwise(kept / length).alias("fraction"))
+    out = F.struct(distance.alias("distance_m"), kept.alias("along_m"), F.when(length == 0.0, F.lit(0.0)).otherwise(kept / length).alias("fraction"))
+    return _known(out, lat, lon, lat1, lon1, lat2, lon2)
 
 
 def point_to_segment_distance_m(lat, lon, lat1, lon1, lat2, lon2) -> Column:
@@ -146,10 +169,10 @@ def bounding_box(lat, lon, radius_m) -> Column:
     c = F.cos(F.radians(lat))
     dlon = F.when(F.abs(c) < 1e-9, F.lit(180.0)).otherwise(F.degrees(r / (EARTH_RADIUS_M * c)))
     return F.struct(
-        F.greatest(F.lit(-90.0), lat - dlat).alias("min_lat"),
-        F.greatest(F.lit(-180.0), lon - dlon).alias("min_lon"),
-        F.least(F.lit(90.0), lat + dlat).alias("max_lat"),
-        F.least(F.lit(180.0), lon + dlon).alias("max_lon"),
+        _known(F.greatest(F.lit(-90.0), lat - dlat), lat, r).alias("min_lat"),
+        _known(F.greatest(F.lit(-180.0), lon - dlon), lat, lon, r).alias("min_lon"),
+        _known(F.least(F.lit(90.0), lat + dlat), lat, r).alias("max_lat"),
+        _known(F.least(F.lit(180.0), lon + dlon), lat, lon, r).alias("max_lon"),
     )
 
 
@@ -183,7 +206,7 @@ def iou(ax1, ay1, ax2, ay2, bx1, by1, bx2, by2) -> Column:
     w = F.least(a[2], b[2]) - F.greatest(a[0], b[0])
     h = F.least(a[3], b[3]) - F.greatest(a[1], b[1])
     inter = w * h
-    return F.when((w <= 0) | (h <= 0), F.lit(0.0)).otherwise(inter / (box_area(*a) + box_area(*b) - inter))
+    return _known(F.when((w <= 0) | (h <= 0), F.lit(0.0)).otherwise(inter / (box_area(*a) + box_area(*b) - inter)), *a, *b)
 
 
 def region_contains(x, y, horizon=0.45, bonnet=0.05, near=(0.0, 1.0), far=(0.35, 0.65)) -> Column:
@@ -209,10 +232,10 @@ def expanded_region(x1, y1, x2, y2, margin, width, height) -> Column:
     x1, y1, x2, y2, m, w, h = map(_c, (x1, y1, x2, y2, margin, width, height))
     dx, dy = (x2 - x1) * m, (y2 - y1) * m
     return F.struct(
-        F.greatest(F.lit(0.0), x1 - dx).alias("x1"),
-        F.greatest(F.lit(0.0), y1 - dy).alias("y1"),
-        F.least(w, x2 + dx).alias("x2"),
-        F.least(h, y2 + dy).alias("y2"),
+        _known(F.greatest(F.lit(0.0), x1 - dx), x1, x2).alias("x1"),
+        _known(F.greatest(F.lit(0.0), y1 - dy), y1, y2).alias("y1"),
+        _known(F.least(w, x2 + dx), x1, x2, w).alias("x2"),
+        _known(F.least(h, y2 + dy), y1, y2, h).alias("y2"),
     )
 
 
@@ -222,7 +245,7 @@ def grid_cell(deg, size: float = GRID_DEG) -> Column:
 
 def cells_spanned(a, b, size: float = GRID_DEG) -> Column:
     """array<long> of all cells between two coordinates."""
-    return F.sequence(grid_cell(F.least(_c(a), _c(b)), size), grid_cell(F.greatest(_c(a), _c(b)), size))
+    return _known(F.sequence(grid_cell(F.least(_c(a), _c(b)), size), grid_cell(F.greatest(_c(a), _c(b)), size)), a, b)
 
 
 def lon_cells_spanned(a, b, size: float = GRID_DEG) -> Column:
@@ -244,4 +267,4 @@ def pixels_per_metre(lat, zoom) -> Column:
 
 
 def ring_radius_px(lat, zoom, uncertainty_m, least: float = 4.0) -> Column:
-    return F.greatest(F.lit(least), _c(uncertainty_m) * pixels_per_metre(lat, zoom))
+    return _known(F.greatest(F.lit(least), _c(uncertainty_m) * pixels_per_metre(lat, zoom)), uncertainty_m, lat, zoom)

@@ -98,8 +98,25 @@ def describe_accuracy(metres: Column) -> Column:
 
 
 def format_elapsed(seconds: Column) -> Column:
+    """Minutes and seconds; minutes go on beyond 60."""
     s = F.floor(F.greatest(seconds, F.lit(0))).cast("long")
-    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600).cast("long"), F.floor(s / 60).cast("long") % 60, s % 60)
+    return F.format_string("%02d:%02d", F.floor(s / 60).cast("long"), s % 60)
+
+
+#: A pessimistic estimate of how much a minute of video takes, and the shortest recording worth starting; fixed values.
+VIDEO_BYTES_PER_MINUTE, MIN_SURVEY_MINUTES = 120 * 1024 * 1024, 10
+
+
+def describe_storage(free_bytes: Column) -> Column:
+    """struct(minutes, ok): how long may be recorded, and whether that is long enough."""
+    minutes = F.floor(free_bytes / VIDEO_BYTES_PER_MINUTE).cast("long")
+    return F.struct(minutes.alias("minutes"), (minutes >= MIN_SURVEY_MINUTES).alias("ok"))
+
+
+def survey_id_of(now: Column, suffix: Column) -> Column:
+    """survey_<UTC time>_<suffix>, safe as a file name; null if the suffix isn't."""
+    made = F.concat(F.lit("survey_"), F.date_format(now, "yyyy-MM-dd'T'HH-mm-ss-SSS'Z'"), F.lit("_"), suffix)
+    return F.when(safe_name(made), made)
 
 
 def present(reading: Column) -> Column:

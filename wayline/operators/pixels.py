@@ -107,6 +107,40 @@ def redact(pixels: np.ndarray, regions: list[tuple[float, float, float, float]],
     return out
 
 
+def annotate(pixels: np.ndarray, boxes: list[tuple[float, float, float, float]], colour: tuple[int, int, int] = (220, 30, 30), width: int = 3) -> np.ndarray:
+    """A copy with the outlines of boxes."""
+    out = pixels.copy()
+    h, w = out.shape[:2]
+    for x1, y1, x2, y2 in boxes:
+        a, b, e, f = int(max(0, x1)), int(max(0, y1)), int(min(w, x2)), int(min(h, y2))
+        if e <= a or f <= b:
+            continue
+        out[b : b + width, a:e] = out[max(b, f - width) : f, a:e] = colour
+        out[b:f, a : a + width] = out[b:f, max(a, e - width) : e] = colour
+    return out
+
+
+EVIDENCE = "defect_id string, kind string, data binary, height int, width int, channels int"
+
+
+def evidence(images: DataFrame, boxes: DataFrame, regions: DataFrame, config: RedactionConfig = RedactionConfig()) -> DataFrame:
+    """EVIDENCE: for each defect of `boxes` (defect_id, image_id, x1..y2 and crop_x1..crop_y2 of its own best box) the
+    frame, the frame with its box, and the crop around it. An image is redacted once, as a whole, before anything is
+    derived from it, so a region that reaches over a crop's edge is blocked out in the crop too."""
+    rows = redact_images(images, regions, config).join(boxes.withColumnsRenamed({c: f"b_{c}" for c in ("x1", "y1", "x2", "y2")}), "image_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                p = np.frombuffer(r.data, np.uint8).reshape(int(r.height), int(r.width), int(r.channels))
+                for kind, q in (("frame", p), ("context", annotate(p, [(r.b_x1, r.b_y1, r.b_x2, r.b_y2)])), ("crop", p[int(r.crop_y1) : int(r.crop_y2), int(r.crop_x1) : int(r.crop_x2)])):
+                    out.append((r.defect_id, kind, q.tobytes(), q.shape[0], q.shape[1], q.shape[2]))
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in EVIDENCE.split(", ")])
+
+    return rows.mapInPandas(run, EVIDENCE)
+
+
 def redact_images(images: DataFrame, regions: DataFrame, config: RedactionConfig = RedactionConfig()) -> DataFrame:
     """images with their regions (image_id, x1, y1, x2, y2) blocked out. An image whose pixels can't be read fails the
     job: nothing leaves unredacted."""

@@ -155,6 +155,29 @@ def match_points(points: DataFrame, segments: DataFrame, config: MatchingConfig
     )
 
 
+def match_defects(defects: DataFrame, segments: DataFrame, headings: DataFrame | None = None, config: MatchingConfig = MatchingConfig()) -> DataFrame:
+    """defects with `match_reason` and, where they matched, the segment, way and name of their street and their place on
+    it. `headings` (defect_id, heading_deg) are those of their frames. A place that a reviewer has corrected is never
+    touched: skipped_manual."""
+    manual = F.coalesce(F.col("location_method") == "manual_correction", F.lit(False))
+    rows = defects.where(~manual)
+    rows = rows.join(headings.select("defect_id", "heading_deg"), "defect_id", "left") if headings is not None else rows.withColumn("heading_deg", F.lit(None).cast("double"))
+    found = match_points(rows.select(F.col("defect_id").alias("point_id"), "lat", "lon", "uncertainty_m", "heading_deg"), segments, config)
+    m = found.select(F.col("point_id").alias("defect_id"), F.col("reason").alias("match_reason"), *[F.col(c).alias(f"_{c}") for c in ("segment_id", "way_id", "name", "lat", "lon", "uncertainty_m", "match_distance_m", "heading_delta_deg")])
+    out = defects.join(m, "defect_id", "left").withColumn("match_reason", F.coalesce("match_reason", F.lit("skipped_manual")))
+    ok = F.col("match_reason") == "matched"
+    moved = {c: F.when(ok, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("lat", "lon", "uncertainty_m")}
+    moved["segment_id"] = F.when(ok, F.col("_segment_id")).otherwise(F.col("segment_id") if "segment_id" in defects.columns else F.lit(None).cast("string"))
+    moved["location_method"] = F.when(ok, "road_segment_matched").otherwise(F.col("location_method"))
+    return out.withColumns({**moved, "way_id": F.col("_way_id"), "road_name": F.col("_name"), "match_distance_m": F.col("_match_distance_m"), "heading_delta_deg": F.col("_heading_delta_deg")}).drop(*[c for c in m.columns if c.startswith("_")])
+
+
+def match_counts(matched: DataFrame) -> DataFrame:
+    """(reason, n) of match_defects, matched_named for those on a named street besides."""
+    named = matched.where((F.col("match_reason") == "matched") & (F.coalesce("road_name", F.lit("")) != "")).select(F.lit("matched_named").alias("reason"))
+    return matched.select(F.col("match_reason").alias("reason")).unionByName(named).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def named_streets(segments: DataFrame) -> DataFrame:
     return segments.where("coalesce(name, '') <> ''").groupBy("name").agg(F.count("*").alias("n_segments"))
 

@@ -68,6 +68,19 @@ def street_report(defects: DataFrame, coverage: DataFrame, segments: DataFrame,
     })
 
 
+def report_json(report: DataFrame) -> DataFrame:
+    """(way_id, value): each street of a report as JSON."""
+    return report.select("way_id", F.to_json(F.struct(*report.columns)).alias("value"))
+
+
+def report_text(report: DataFrame, totals: DataFrame, n: int = 10) -> str:
+    """The totals and the worst streets as text."""
+    t = totals.first()
+    head = f"{t.surveyed_m / 1000:.1f} km driven, {t.unmatched_m / 1000:.1f} km off the network; {t.coverage_fraction:.0%} of {t.network_ways} ways covered"
+    rows = [f"  {r.name or r.way_id}: {r.outstanding} outstanding, {r.defects_per_100m} per 100 m over {r.surveyed_m:.0f} m" for r in worst(report, n).collect()]
+    return "\n".join([head, *rows])
+
+
 def network_totals(report: DataFrame, coverage: DataFrame, segments: DataFrame) -> DataFrame:
     """One row: ways and metres of the network, metres driven on and off it, share covered."""
     net = way_lengths(segments).agg(F.count("*").alias("network_ways"), F.sum("length_m").alias("network_length_m"))

@@ -62,7 +62,7 @@ def track_distance(track: DataFrame) -> DataFrame:
 
 
 def locate(track: DataFrame, queries: DataFrame, key: str, config: TrackConfig = TrackConfig()) -> DataFrame:
-    """(key, survey_id, t, lat, lon, method, uncertainty_m, speed_mps, heading_deg, gap_s, is_trustworthy): where the
+    """(key, survey_id, t, lat, lon, method, uncertainty_m, speed_mps, heading_deg, gap_s, is_trustworthy, warning): where the
     device was at the times `t` of `queries`, interpolated between the fix before and the one at or after, or clamped
     to the track's ends.
 
@@ -111,6 +111,7 @@ def locate(track: DataFrame, queries: DataFrame, key: str, config: TrackConfig =
         pick(acc(cl) + speed0 * drift, F.round(geo.interpolate(acc(a), acc(b), al) + 0.25 * apart * 4.0 * al * (1.0 - al), 3)).alias("uncertainty_m"),
         pick(cl["speed_mps"], speed).alias("speed_mps"), pick(cl["heading_deg"], heading).alias("heading_deg"),
         pick(drift, span).alias("gap_s"), pick(drift <= c.trusted_drift_s, span <= c.max_gap_s).alias("is_trustworthy"),
+        pick(F.format_string("%.1f s beyond the track, at its nearest fix", drift), F.when(span > c.max_gap_s, F.format_string("interpolated over a gap of %.1f s", span))).alias("warning"),
     )
 
 
@@ -147,6 +148,25 @@ def time_grid(surveys: DataFrame, step_s: float, max_frames: int | None = None)
     return grid.select("survey_id", "index", F.round(at, 6).alias("video_time_s"), F.bround(F.col("recording_start_epoch_ms") + at * 1000.0, 0).cast("long").alias("t_epoch_ms"))
 
 
+def sampling_notes(surveys: DataFrame, track: DataFrame, plan: DataFrame, config: SamplingConfig = SamplingConfig()) -> DataFrame:
+    """(survey_id, n_grid, n_stationary, n_untrustworthy, n_planned, mode, notes): what the plan of each survey left out
+    and why. Untrustworthy places are counted whether or not the device stood still."""
+    step = 1.0 / config.fps if config.mode != "fixed_interval" else config.interval_s
+    grid = time_grid(surveys, step)
+    planned = plan.groupBy("survey_id").agg(F.count("*").alias("n_planned"))
+    fixes = track.groupBy("survey_id").agg(F.count("*").alias("n_fixes"))
+    at = locate(track, grid.select("survey_id", F.col("index").alias("k"), F.col("t_epoch_ms").alias("t")), "k")
+    seen = at.groupBy("survey_id").agg(F.count_if(F.coalesce(F.col("speed_mps") < config.min_speed_mps, F.lit(False))).alias("n_stationary"), F.count_if(~F.col("is_trustworthy")).alias("n_untrustworthy"))
+    rows = grid.groupBy("survey_id").agg(F.count("*").alias("n_grid")).join(seen, "survey_id", "left").join(planned, "survey_id", "left").join(fixes, "survey_id", "left").na.fill(0)
+    short = F.lit(config.mode == "distance") & (F.col("n_fixes") < 2)
+    say = lambda when, text, *cols: F.when(when, F.format_string(text, *cols))
+    notes = F.array_compact(F.array(
+        say(short, "%d fixes are too few to measure distance; a fixed rate is used", "n_fixes"), say(F.lit(config.mode == "distance") & ~short & (F.col("n_stationary") > 0), "%d times at which the device stood still are left out", "n_stationary"),
+        say(~short & (F.col("n_untrustworthy") > 0), "%d times lie where the track can't be trusted", "n_untrustworthy"), say(F.lit(config.max_frames is not None) & (F.col("n_planned") >= F.lit(config.max_frames or 0)), "cut off at %d frames", "n_planned"),
+    ))
+    return rows.select("survey_id", "n_grid", "n_stationary", "n_untrustworthy", "n_planned", F.when(short, "fixed_fps").otherwise(config.mode).alias("mode"), notes.alias("notes"))
+
+
 PLAN = "survey_id string, index long, video_time_s double, t_epoch_ms long, distance_from_previous_m double"
 
 

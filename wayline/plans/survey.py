@@ -33,7 +33,9 @@ def query(sql: str | None = None):
 
 
 def hav(a: str, b: str, c: str, d: str) -> str:
-    return f"(2 * 6371008.8e0 * asin(least(1e0, sqrt(pow(sin(radians(({c}) - ({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians(({d}) - ({b})) / 2), 2)))))"
+    """Null if any is: least() alone would pass over a null and give half the way round."""
+    s = f"sqrt(pow(sin(radians(({c}) - ({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians(({d}) - ({b})) / 2), 2))"
+    return f"(CASE WHEN ({a}) IS NULL OR ({c}) IS NULL OR ({b}) IS NULL OR ({d}) IS NULL THEN NULL ELSE 2 * 6371008.8e0 * asin(least(1e0, {s})) END)"
 
 
 def brg(a: str, b: str, c: str, d: str) -> str:
@@ -91,8 +93,9 @@ def geo_projection(spark: SparkSession, d: str) -> DataFrame:
     """G7, G8, G9, G10."""
     c = table(spark, d, "cluster_candidates").where(geo.usable("lat", "lon"))
     seg = (F.col("lat") - 0.001, F.col("lon") - 0.001, F.col("lat") + 0.002 * F.col("confidence"), F.col("lon") + 0.001)
-    p = c.select("observation_id", geo.cross_track_distance_m("lat", "lon", *seg).alias("x"), geo.project_onto_segment("lat", "lon", *seg).alias("s"))
-    return p.select("observation_id", F.round("x", 2).alias("cross_track_m"), F.round("s.along_m", 2).alias("along_m"), F.round("s.fraction", 4).alias("fraction"))
+    names = ("s_lat", "s_lon", "e_lat", "e_lon")
+    p = geo.with_projection(c.select("observation_id", "lat", "lon", *[x.alias(n) for x, n in zip(seg, names)]), "lat", "lon", *names)
+    return p.select("observation_id", F.round(geo.cross_track_distance_m("lat", "lon", *names), 2).alias("cross_track_m"), F.round("along_m", 2).alias("along_m"), F.round("fraction", 4).alias("fraction"))
 
 
 @query(f"""

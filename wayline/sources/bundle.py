@@ -61,6 +61,34 @@ def read_surveys(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     return rows.drop("no_route", "no_manifest", "no_anchor"), rows.select("survey_id", F.inline(found))
 
 
+def build_route(route_id: str, started_at: str, start_ms: int, app_version: str, ended_at: str | None = None, camera_facing: str = "back", requested_video_quality: str = "1080p") -> dict:
+    route = {"schema_version": VERSION, "route_id": route_id, "started_at": started_at, "recording_start_epoch_ms": start_ms, "camera_facing": camera_facing, "requested_video_quality": requested_video_quality, "app_version": app_version}
+    return route | ({"ended_at": ended_at} if ended_at else {})
+
+
+def build_manifest(has_video: bool, has_frames: bool = False) -> dict:
+    """Lists what is there and nothing else."""
+    return {"schema_version": VERSION, "files": ["route.json", "locations.jsonl", "device.json", *(["video.mp4"] if has_video else []), *(["frames"] if has_frames else [])]}
+
+
+def file_issues(spark: SparkSession, root: str) -> DataFrame:
+    """(survey_id, severity, message): bundles without locations.jsonl, which is an error, files that no bundle should
+    have, a warning, and locations with bytes that aren't UTF-8, an error."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.substring_index(F.expr(f"substring(path, locate('{os.path.basename(root.rstrip('/'))}/', path) + {len(os.path.basename(root.rstrip('/'))) + 1})"), "/", 20).alias("p"))
+    own = files.select(F.substring_index("p", "/", 1).alias("survey_id"), F.expr("substring(p, locate('/', p) + 1)").alias("name"))
+    known = F.col("name").isin(*KNOWN_FILES) | F.col("name").startswith("frames/")
+    odd = own.where(~known).select("survey_id", F.lit("warning").alias("severity"), F.concat(F.lit("unknown file "), "name").alias("message"))
+    none = own.groupBy("survey_id").agg(F.bool_or(F.col("name") == "locations.jsonl").alias("has")).where("not has").select("survey_id", F.lit("error").alias("severity"), F.lit("locations.jsonl is missing").alias("message"))
+    raw = spark.read.text(os.path.join(root, "*", "locations.jsonl")).where(~F.is_valid_utf8("value"))
+    bad = raw.select(_survey(F.col("_metadata.file_path")).alias("survey_id")).distinct().select("survey_id", F.lit("error").alias("severity"), F.lit("locations.jsonl isn't UTF-8").alias("message"))
+    return odd.unionByName(none).unionByName(bad)
+
+
+def append_locations(fixes: DataFrame, folder: str) -> None:
+    """Adds fixes to a folder of JSON lines; earlier ones stay."""
+    encode_locations(fixes).write.mode("append").text(folder)
+
+
 def write_skeleton(root: str, survey_id: str, started_at: str, start_ms: int, fixes: list[dict]) -> str:
     """A bundle's folder with the given fixes; for fixtures and as the written contract."""
     folder = os.path.join(root, survey_id)

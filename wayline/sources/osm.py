@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayline.functions import geo
 from wayline.operators.roads import DRIVABLE, segments_of_ways
+from wayline.schema import SCHEMAS
 
 _ELEMENT = "elements array<struct<type: string, id: long, tags: map<string,string>, geometry: array<struct<lat: double, lon: double>>>>"
 
@@ -47,6 +51,27 @@ def parse_bbox(text: str) -> tuple[float, float, float, float]:
     return s, w, n, e
 
 
+def bbox_around(lat: float, lon: float, radius_m: float) -> tuple[float, float, float, float]:
+    """(south, west, north, east) of a box that holds the circle."""
+    dlat = math.degrees(radius_m / geo.EARTH_RADIUS_M)
+    dlon = min(180.0, dlat / max(math.cos(math.radians(min(89.99, abs(lat) + dlat))), 1e-9))
+    return max(-90.0, lat - dlat), lon - dlon, min(90.0, lat + dlat), lon + dlon
+
+
+def save_network_json(segments: DataFrame, folder: str, compression: str = "gzip") -> None:
+    """JSON lines, compressed; for tools that read no Parquet."""
+    segments.withColumn("schema_version", F.lit(1)).write.mode("errorifexists").option("compression", compression).json(folder)
+
+
+def load_network_json(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines, compressed or not, refused if newer than this version."""
+    df = spark.read.schema(SCHEMAS["road_segments"] + ", schema_version int").json(path)
+    newest = df.agg(F.max("schema_version")).first()[0]
+    if newest is not None and newest > 1:
+        raise ValueError(f"network version {newest} is newer than 1")
+    return df.drop("schema_version")
+
+
 def save_network(segments: DataFrame, path: str, source: str, license_: str, attribution: str) -> None:
     """Parquet with the provenance in every row's constant columns (dictionary encoded, next to nothing on disk)."""
     segments.withColumns({"source": F.lit(source), "license": F.lit(license_), "attribution": F.lit(attribution), "schema_version": F.lit(1)}).write.mode("errorifexists").parquet(path)

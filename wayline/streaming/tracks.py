@@ -63,3 +63,95 @@ def track_stream(frames: DataFrame, config: TrackingConfig = TrackingConfig(), i
         yield pd.DataFrame(rows, columns=[f.split()[0] for f in out.split(", ")])
 
     return frames.groupBy("survey_id").applyInPandasWithState(step, out, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+
+
+def most_accurate(fixes: DataFrame, event_time: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """The most accurate fix (null counts as worst, then the smallest record_id) of each (survey, event time), given once
+    the watermark has passed it; so duplicates that come late, in any order, count."""
+    rows = fixes.withWatermark(event_time, late)
+    rest = [c for c in fixes.columns if c not in ("survey_id", event_time)]
+    best = F.min_by(F.struct(*rest), F.struct(F.coalesce("accuracy_m", F.lit(float("inf"))), "record_id"))
+    return rows.groupBy("survey_id", event_time).agg(best.alias("b")).select("survey_id", event_time, "b.*")
+
+
+def _ordered(rows: DataFrame, key: str, event_time: str, late: str, schema: str, start: dict, work) -> DataFrame:
+    """Rows of each key in the order of their event time: rows wait in the state until the watermark has passed them,
+    then `work(state, row)` gives what they lead to. Rows that the watermark has already passed are left out; what waits
+    when a stream ends comes out with a later batch's watermark, by an event-time timer."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {"wait": [], "state": start, "last": -1}
+        mark = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for pdf in batches:
+                held["wait"] += [r for r in json.loads(pdf.to_json(orient="records", date_unit="ms")) if r["_ms"] > held["last"]]
+        held["wait"].sort(key=lambda r: (r["_ms"], json.dumps(r, sort_keys=True)))
+        ready = [r for r in held["wait"] if r["_ms"] <= mark]
+        held["wait"] = held["wait"][len(ready) :]
+        out = []
+        for r in ready:
+            out += [(k[0], *x) for x in work(held["state"], r)]
+            held["last"] = r["_ms"]
+        state.update((json.dumps(held),))
+        if held["wait"]:
+            state.setTimeoutTimestamp(max(held["wait"][0]["_ms"], mark) + 1)
+        yield pd.DataFrame(out, columns=names)
+
+    timed = rows.withWatermark(event_time, late).withColumn("_ms", F.unix_millis(event_time))
+    return timed.groupBy(key).applyInPandasWithState(step, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _metres(a: list, b: list) -> float:
+    import math
+
+    p1, p2 = math.radians(a[0]), math.radians(b[0])
+    h = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+    return 2 * 6371008.8 * math.asin(min(1.0, math.sqrt(h)))
+
+
+def ordered_fixes(fixes: DataFrame, event_time: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """(survey_id, t, lat, lon, reordered): fixes in the order of their times; reordered tells those that came after a
+    later one."""
+
+    def work(state: dict, r: dict):
+        back = r["seq"] < state["seq"] if state["seq"] is not None else False
+        state["seq"] = max(r["seq"], state["seq"] or r["seq"])
+        return [(r["_ms"], r["lat"], r["lon"], back)]
+
+    return _ordered(fixes.select("survey_id", event_time, "lat", "lon", F.col("seq").cast("long").alias("seq")), "survey_id", event_time, late, "survey_id string, t long, lat double, lon double, reordered boolean", {"seq": None}, work)
+
+
+def distance_pieces(fixes: DataFrame, event_time: str = "ts", gap_m: float = 60.0, late: str = "10 minutes") -> DataFrame:
+    """(survey_id, t, piece, metres): for each fix but a survey's first the metres from the one before; a new piece
+    begins where they are more than gap_m, and the gap itself counts nothing."""
+
+    def work(state: dict, r: dict):
+        here, was = [r["lat"], r["lon"]], state["at"]
+        state["at"] = here
+        if was is None:
+            return []
+        d = _metres(was, here)
+        if d > gap_m:
+            state["piece"] += 1
+            d = 0.0
+        return [(r["_ms"], state["piece"], d)]
+
+    return _ordered(fixes.select("survey_id", event_time, "lat", "lon"), "survey_id", event_time, late, "survey_id string, t long, piece long, metres double", {"at": None, "piece": 0}, work)
+
+
+def spaced(fixes: DataFrame, event_time: str = "ts", spacing_m: float = 2.5, min_speed_mps: float = 1.0, min_step_s: float = 0.1, late: str = "10 minutes") -> DataFrame:
+    """(survey_id, t, metres): the first fix and each one that is spacing_m and min_step_s or more from the last that was
+    given; fixes at a known low speed are left out."""
+
+    def work(state: dict, r: dict):
+        if r["speed_mps"] is not None and r["speed_mps"] < min_speed_mps:
+            return []
+        here = [r["lat"], r["lon"]]
+        d = None if state["at"] is None else _metres(state["at"], here)
+        if d is not None and (d < spacing_m or r["_ms"] - state["t"] < min_step_s * 1000):
+            return []
+        state["at"], state["t"] = here, r["_ms"]
+        return [(r["_ms"], d)]
+
+    return _ordered(fixes.select("survey_id", event_time, "lat", "lon", "speed_mps"), "survey_id", event_time, late, "survey_id string, t long, metres double", {"at": None, "t": 0}, work)
