@@ -67,6 +67,32 @@ def test_sampling(spark):
     assert track.sampling_plan(s, moving, track.SamplingConfig(mode="fixed_fps", max_frames=5)).count() == 10
 
 
+def test_sampling_against_the_rule(spark):
+    rng = random.Random(12)
+    rows, lon, t = [], LON, T0
+    for i in range(160):
+        speed = rng.choice([0.0, 0.5, 3.0, 9.0, None])
+        lon, t = lon + 0.0000118 * (speed or 2.0), t + rng.choice([500, 1000, 1000, 4000])
+        rows.append((f"r{i:03d}", "s", t, LAT, lon, 5.0, speed, 90.0))
+    kept = track.clean_track(fixes(spark, rows))
+    s = spark.createDataFrame([("s", T0, (t - T0) / 1000.0)], "survey_id string, recording_start_epoch_ms long, duration_s double")
+    grid = track.time_grid(s, 0.25)
+    at = track.locate(kept, grid.select("survey_id", F.col("index").alias("k"), F.col("t_epoch_ms").alias("t")), "k").orderBy("k").collect()
+    want, last = [], None
+    for r in at:
+        if r.speed_mps is not None and r.speed_mps < 1.0:
+            continue
+        if last is not None:
+            p, q = math.radians(last.lat), math.radians(r.lat)
+            d = 2 * 6371008.8 * math.asin(math.sqrt(math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(r.lon - last.lon) / 2) ** 2))
+            if d < 2.5 or r.t - last.t < 100:
+                continue
+        want.append(r.t)
+        last = r
+    got = [r.t_epoch_ms for r in track.sampling_plan(s, kept).orderBy("index").collect()]
+    assert got == want and len(want) > 40
+
+
 def frames_and_boxes(spark, boxes, times):
     f = spark.createDataFrame([("s", f"f{i:02d}", T0 + t) for i, t in enumerate(times)], "survey_id string, frame_id string, t_epoch_ms long")
     d = spark.createDataFrame(boxes, "frame_id string, detection_id string, damage_class string, confidence double, x1 double, y1 double, x2 double, y2 double")
@@ -83,6 +109,39 @@ def test_tracking_rules(spark):
     assert s[got["a"]].n_detections == 4 and s[got["a"]].best_detection_id == "a"
 
 
+def test_tracking_against_the_rule(spark):
+    rng = random.Random(3)
+    times, boxes = [], []
+    for k in range(60):
+        times.append((times[-1] if times else 0) + rng.choice([200, 500, 900, 2500]))
+        for j in range(rng.randrange(0, 5)):
+            x = 100.0 * rng.randrange(4) + rng.uniform(0, 60)
+            boxes.append((f"f{k:02d}", f"d{k:02d}{j}", rng.choice(["pothole", "alligator_crack"]), 0.5, x, 10.0, x + 100.0, 110.0))
+    f, d = frames_and_boxes(spark, boxes, times)
+    got = {r.detection_id: r.track_no for r in tracking.track_detections(f, d).collect()}
+    open_, n, want = {}, 0, {}
+    for k, t in enumerate(times):
+        here = [b for b in boxes if b[0] == f"f{k:02d}"]
+        open_ = {no: tr for no, tr in open_.items() if t - tr[1] <= 2000}
+        pairs = sorted(((-tracking.box_iou(tr[0], b[4:]), a, j) for a, (no, tr) in enumerate(open_.items()) for j, b in enumerate(here) if tr[2] == b[2]), key=lambda p: p)
+        nos, taken, met = list(open_), set(), {}
+        for v, a, j in pairs:
+            if -v >= 0.15 and a not in taken and j not in met:
+                taken.add(a)
+                met[j] = nos[a]
+        for a, no in enumerate(nos):
+            if a not in taken:
+                open_[no][3] += 1
+        open_ = {no: tr for no, tr in open_.items() if tr[3] <= 2}
+        for j, b in enumerate(here):
+            if j not in met:
+                n += 1
+                met[j] = n
+            open_[met[j]] = [b[4:], t, b[2], 0]
+            want[b[1]] = met[j]
+    assert got == want and n > 20
+
+
 def candidates(spark, places, cls="pothole", u=5.0):
     rows = [(f"o{i:03d}", "s", i, cls if isinstance(cls, str) else cls[i], 0.5, LAT, LON + m * 0.0000118, u, f"f{i}") for i, m in enumerate(places)]
     df = spark.createDataFrame(rows, "observation_id string, survey_id string, o long, damage_class string, confidence double, lat double, lon double, uncertainty_m double, representative_frame_id string")

@@ -194,10 +194,14 @@ def defects_of(clustered: DataFrame, config: ClusteringConfig = ClusteringConfig
     u = F.coalesce("uncertainty_m", F.lit(config.default_uncertainty_m))
     rows = clustered.withColumn("w", w).withColumn("u", u)
     first = F.min(F.struct("observed_at", "observation_id"))
+    # a cluster over the 180th meridian has its mean there, not at the other side of the globe
+    turned = F.when(F.col("lon") < 0, F.col("lon") + 360.0).otherwise(F.col("lon"))
+    mean = lambda x: F.sum(F.col("w") * x) / F.sum("w")
+    lon = F.when(F.max("lon") - F.min("lon") > 180.0, geo.normalize_lon(mean(turned))).otherwise(mean(F.col("lon")))
     seen = F.array_sort(F.collect_list(F.struct("observed_at", "observation_id", "survey_id")))
     return rows.groupBy("cluster_id").agg(
         F.min_by("damage_class", F.struct("observed_at", "observation_id")).alias("damage_class"),
-        (F.sum(F.col("w") * F.col("lat")) / F.sum("w")).alias("lat"), (F.sum(F.col("w") * F.col("lon")) / F.sum("w")).alias("lon"),
+        (F.sum(F.col("w") * F.col("lat")) / F.sum("w")).alias("lat"), lon.alias("lon"),
         F.round(F.greatest(F.sqrt(1.0 / F.sum("w")), F.min("u")), 3).alias("uncertainty_m"), F.max("confidence").alias("confidence"),
         F.min_by("representative_frame_id", F.struct(-F.col("confidence"), "observed_at", "observation_id")).alias("representative_frame_id"),
         F.array_distinct(F.transform(seen, lambda s: s["survey_id"])).alias("survey_ids"), first["observed_at"].alias("first_seen"), F.max("observed_at").alias("last_seen"), F.count("*").alias("observation_count"),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -202,9 +202,9 @@ def sampling_plan(surveys: DataFrame, track: DataFrame, config: SamplingConfig =
                     continue
                 gone = None
                 if last is not None:
-                    p1, p2 = np.radians(last[1]), np.radians(lat)
-                    h = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(lon - last[2]) / 2) ** 2
-                    gone = float(2 * geo.EARTH_RADIUS_M * np.arcsin(min(1.0, np.sqrt(h))))
+                    p1, p2 = math.radians(last[1]), math.radians(lat)
+                    h = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(lon - last[2]) / 2) ** 2
+                    gone = 2 * geo.EARTH_RADIUS_M * math.asin(min(1.0, math.sqrt(h)))
                     if gone < c.spacing_m or v - last[0] < c.min_step_s:
                         continue
                 out.append((survey, n, v, t, None if gone is None else round(gone, 3)))

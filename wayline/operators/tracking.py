@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,30 +77,38 @@ def track_detections(frames: DataFrame, detections: DataFrame, config: TrackingC
     rows = frames.select("survey_id", "frame_id", "t_epoch_ms").join(boxes, "frame_id", "left").repartition("survey_id").sortWithinPartitions("survey_id", "t_epoch_ms", "frame_id", "detection_id")
     schema = "detection_id string, survey_id string, frame_id string, t_epoch_ms long, damage_class string, confidence double, track_no long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        survey, tracker, held = None, None, []
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = [pa.string()] * 3 + [pa.int64(), pa.string(), pa.float64(), pa.int64()]
 
-        def step(done: list) -> list:
-            if not done:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        survey, frame, t, tracker = None, None, 0, None
+        held: list[tuple] = []  # (detection_id, class, confidence, box) of the frame
+
+        def step() -> list[tuple]:
+            if frame is None:
                 return []
-            found = [r for r in done if r.detection_id is not None and r.detection_id == r.detection_id]
-            nos = tracker.frame(done[0].t_epoch_ms, [(r.damage_class, r.x1, r.y1, r.x2, r.y2) for r in found])
-            return [(r.detection_id, r.survey_id, r.frame_id, r.t_epoch_ms, r.damage_class, r.confidence, n) for r, n in zip(found, nos)]
+            nos = tracker.frame(t, [(c, *box) for _, c, _, box in held])
+            return [(i, survey, frame, t, c, conf, n) for (i, c, conf, _), n in zip(held, nos)]
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows)) if rows else [[] for _ in names]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
 
-        names = [f.split()[0] for f in schema.split(", ")]
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for r in pdf.itertuples(index=False):
-                if held and (r.survey_id, r.frame_id) != (held[0].survey_id, held[0].frame_id):
-                    out += step(held)
+            for s, f, at, i, c, conf, *box in zip(*(col.to_pylist() for col in batch.columns)):
+                if (s, f) != (survey, frame):
+                    out += step()
                     held = []
-                if r.survey_id != survey:
-                    survey, tracker = r.survey_id, Tracker(config)
-                held.append(r)
-            yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame(step(held), columns=names)
-
-    return rows.mapInPandas(run, schema)
+                    if s != survey:
+                        tracker = Tracker(config)
+                    survey, frame, t = s, f, at
+                if i is not None:
+                    held.append((i, c, conf, box))
+            yield batch_of(out)
+        yield batch_of(step())
+
+    return rows.select("survey_id", "frame_id", "t_epoch_ms", "detection_id", "damage_class", "confidence", "x1", "y1", "x2", "y2").mapInArrow(run, schema)
 
 
 def summarize_tracks(tracked: DataFrame, key: list[str], min_length: int = 1) -> DataFrame:

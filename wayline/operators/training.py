@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wayline.operators.chunks import numbered
+
 NAMES = ("train", "val", "test")
 
 
@@ -23,7 +25,7 @@ def _split(rank, n, train: float, val: float, least: int = 0, joint: bool = True
 def contiguous_splits(images: DataFrame, group: str, order: list[str], train: float = 0.7, val: float = 0.15, joint: bool = False) -> DataFrame:
     """images with `split`: in each group the first part of the order trains, the next validates, the rest tests, so
     that neighbours in the numbering stay together. Ranks are row numbers in the group; the sort spills. With `joint` validation
-    ends at floor(n * (train + val)), as in the reference, else at floor(n * train) + floor(n * val)."""
+    ends at floor(n * (train + val)), else at floor(n * train) + floor(n * val)."""
     _check(train, val)
     w = Window.partitionBy(group)
     rank = F.row_number().over(w.orderBy(*order)) - 1
@@ -31,14 +33,9 @@ def contiguous_splits(images: DataFrame, group: str, order: list[str], train: fl
 
 
 def survey_splits(frames: DataFrame, train: float = 0.7, val: float = 0.15) -> DataFrame:
-    """(survey_id, split): whole surveys, in the order of their ids; at least one trains, a single one does.
-
-    The rank over all surveys needs no single task over the rows: ids are ranked within ranges of the id's hash-free
-    order, here by counts of the ids before each prefix, then within the prefix."""
+    """(survey_id, split): whole surveys, in the order of their ids; at least one trains, a single one does."""
     _check(train, val)
-    ids = frames.where("survey_id is not null").select("survey_id").distinct().withColumn("p", F.substring("survey_id", 1, 8))
-    counts = ids.groupBy("p").agg(F.count("*").alias("c"))
-    upto = counts.withColumn("before", F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")).drop("c")
+    ids = numbered(frames.where("survey_id is not null").select("survey_id").distinct(), ["survey_id"], "rank")
     total = ids.agg(F.count("*").alias("n"))
-    ranked = ids.join(upto, "p").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("p").orderBy("survey_id")) - 1).join(F.broadcast(total))
+    ranked = ids.join(F.broadcast(total))
     return ranked.select("survey_id", F.when(F.col("n") == 1, NAMES[0]).otherwise(_split(F.col("rank"), F.col("n"), train, val, 1)).alias("split"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayline.operators import store
+from wayline.operators.chunks import numbered
 from wayline.operators.clustering import ClusteringConfig, cluster, defects_of
 from wayline.operators.detect import keep_detections
 from wayline.operators.roads import MatchingConfig, match_counts, match_defects
@@ -58,16 +59,8 @@ def sampled(plan: DataFrame, frames: DataFrame, tolerance_ms: int = 250) -> Data
 
 
 def with_ids(defects: DataFrame) -> DataFrame:
-    """defects with defect_id: def_00001 and on, in the order of (first_seen, cluster_id). The number is the place in a
-    range-partitioned sort: a count for each partition, then the row in it."""
-    rows = checkpoint(defects.repartitionByRange("first_seen", "cluster_id").sortWithinPartitions("first_seen", "cluster_id").withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    sizes = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
-    from pyspark.sql.window import Window
-
-    before = sizes.select("_part", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("_before"))
-    number = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return rows.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn("defect_id", F.format_string("def_%05d", number)).drop("_part", "_before", "_at")
+    """defects with defect_id: def_00001 and on, in the order of (first_seen, cluster_id)."""
+    return numbered(defects, ["first_seen", "cluster_id"], "_n").withColumn("defect_id", F.format_string("def_%05d", F.col("_n") + 1)).drop("_n")
 
 
 def process(fixes: DataFrame, frames: DataFrame, detections: DataFrame, config: PipelineConfig = PipelineConfig(), surveys: DataFrame | None = None, segments: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -329,21 +329,47 @@ def tracking_summary(spark: SparkSession, d: str) -> DataFrame:
     return tracking.summarize_tracks(rows, ["survey_id", "track_id"]).withColumn("mean_confidence", F.round("mean_confidence", 8))
 
 
-@query()
+def _arc(a: str, b: str, c: str, d: str) -> str:
+    """hav() of what is known not to be null."""
+    return f"(2 * 6371008.8e0 * asin(least(1e0, sqrt(pow(sin(radians(({c}) - ({a})) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians(({d}) - ({b})) / 2), 2)))))"
+
+
+# one candidate after another: the founders so far are a list that grows by one in each step
+_CLUSTERS = f"""
+c AS (SELECT row_number() OVER (ORDER BY observed_at, observation_id) AS k, observation_id AS id, damage_class AS cls, lat, lon, coalesce(uncertainty_m, 10e0) AS u, 1 / pow(greatest(coalesce(uncertainty_m, 10e0), 0.5e0), 2) AS w FROM cluster_candidates WHERE {GOOD_FIX}),
+ p AS (SELECT a.k AS k, a.lat AS alat, a.lon AS alon, a.u AS au, a.w AS aw, b.k AS m, b.lat, a.lon + ((b.lon - a.lon + 540) % 360) - 180 AS lon, b.u, b.w FROM c a JOIN c b ON b.k < a.k AND a.cls = b.cls AND abs(a.lat - b.lat) < 0.0009e0 AND {_arc('a.lat','a.lon','b.lat','b.lon')} <= 92),
+ l AS (SELECT k, any_value(alat) AS alat, any_value(alon) AS alon, any_value(au) AS au, any_value(aw) AS aw, list({{'m': m, 'lat': lat, 'lon': lon, 'u': u, 'w': w, 'd': {_arc('lat','lon','alat','alon')}}}) AS near FROM p GROUP BY 1),
+ o AS (SELECT c.k, alat, alon, au, aw, near FROM c LEFT JOIN l ON l.k = c.k),
+ r(k, f) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+   UNION ALL SELECT o.k, list_append(r.f, coalesce((SELECT g FROM (SELECT g, ms, list_min(list_transform(ms, lambda z: z.d)) AS d, list_max(list_transform(ms, lambda z: z.u)) AS mu,
+        (list_sum(list_transform(ms, lambda z: z.w * z.lat)) + o.aw * o.alat) / (list_sum(list_transform(ms, lambda z: z.w)) + o.aw) AS y, (list_sum(list_transform(ms, lambda z: z.w * z.lon)) + o.aw * o.alon) / (list_sum(list_transform(ms, lambda z: z.w)) + o.aw) AS x
+        FROM (SELECT g, list_filter(o.near, lambda z: r.f[z.m] = g) AS ms FROM (SELECT unnest(list_distinct(list_transform(o.near, lambda z: r.f[z.m]))) AS g) g0) g1) g2
+      WHERE d <= least(12e0 + o.au + mu, 30e0) AND greatest({_arc('o.alat','o.alon','y','x')}, list_max(list_transform(ms, lambda z: {_arc('z.lat','z.lon','y','x')}))) <= 15e0 ORDER BY d, g LIMIT 1), o.k))
+   FROM r JOIN o ON o.k = r.k + 1),
+ a AS (SELECT unnest(f) AS g, generate_subscripts(f, 1) AS k FROM (SELECT f FROM r ORDER BY k DESC LIMIT 1)),
+ k AS (SELECT c.id AS observation_id, d.id AS cluster_id FROM a JOIN c ON c.k = a.k JOIN c d ON d.k = a.g)"""
+
+
+@query(f"WITH RECURSIVE {_CLUSTERS} SELECT observation_id, cluster_id FROM k")
 def cluster_assignments(spark: SparkSession, d: str) -> DataFrame:
     """Every observation with the one that founded its cluster."""
     return clustering.cluster(table(spark, d, "cluster_candidates")).select("observation_id", "cluster_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CLUSTERS},
+    q AS (SELECT k.cluster_id, x.*, coalesce(uncertainty_m, 10e0) AS u, 1 / pow(greatest(coalesce(uncertainty_m, 10e0), 0.5e0), 2) AS w, CASE WHEN lon < 0 THEN lon + 360 ELSE lon END AS turned FROM k JOIN cluster_candidates x ON x.observation_id = k.observation_id),
+    v AS (SELECT cluster_id, string_agg(survey_id, ';' ORDER BY seen) AS survey_ids FROM (SELECT cluster_id, survey_id, min((observed_at, observation_id)) AS seen FROM q GROUP BY 1, 2) GROUP BY 1)
+    SELECT q.cluster_id, arg_min(damage_class, (observed_at, observation_id)) AS damage_class, round(sum(w * lat) / sum(w), 6) AS lat, round(CASE WHEN max(lon) - min(lon) > 180 THEN ((sum(w * turned) / sum(w) + 540) % 360 + 360) % 360 - 180 ELSE sum(w * lon) / sum(w) END, 6) AS lon,
+        round(greatest(sqrt(1 / sum(w)), min(u)), 3) AS uncertainty_m, max(confidence) AS confidence, any_value(v.survey_ids) AS survey_ids, min(observed_at) AS first_seen, max(observed_at) AS last_seen, count(*) AS observation_count, arg_min({{'f': representative_frame_id}}, (-confidence, observed_at, q.observation_id)).f AS representative_frame_id
+    FROM q JOIN v ON v.cluster_id = q.cluster_id GROUP BY 1""")
 def cluster_defects(spark: SparkSession, d: str) -> DataFrame:
     """One defect for each cluster."""
     x = clustering.defects_of(clustering.cluster(table(spark, d, "cluster_candidates")))
-    return x.select("cluster_id", "damage_class", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "uncertainty_m", "confidence", F.concat_ws(";", "survey_ids").alias("survey_ids"), "first_seen", "last_seen", "observation_count")
+    return x.select("cluster_id", "damage_class", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "uncertainty_m", "confidence", F.concat_ws(";", "survey_ids").alias("survey_ids"), "first_seen", "last_seen", "observation_count", "representative_frame_id")
 
 
 @query("""
-    SELECT damage_class, round(sum(lat * w) / sum(w), 6) AS lat, round(sum(lon * w) / sum(w), 6) AS lon, round(greatest(sqrt(1 / sum(w)), min(u)), 3) AS uncertainty_m, count(*) AS n
+    SELECT damage_class, round(sum(lat * w) / sum(w), 6) AS lat, round(CASE WHEN max(lon) - min(lon) > 180 THEN ((sum(w * CASE WHEN lon < 0 THEN lon + 360 ELSE lon END) / sum(w) + 540) % 360 + 360) % 360 - 180 ELSE sum(lon * w) / sum(w) END, 6) AS lon, round(greatest(sqrt(1 / sum(w)), min(u)), 3) AS uncertainty_m, count(*) AS n
     FROM (SELECT *, coalesce(uncertainty_m, 10e0) AS u, 1e0 / pow(greatest(coalesce(uncertainty_m, 10e0), 0.5e0), 2) AS w FROM cluster_candidates) c GROUP BY 1""")
 def cluster_centroids(spark: SparkSession, d: str) -> DataFrame:
     """Weighted centroids by class."""
