@@ -71,8 +71,8 @@ def test_sampling_against_the_rule(spark):
     rng = random.Random(12)
     rows, lon, t = [], LON, T0
     for i in range(160):
-        speed = rng.choice([0.0, 0.5, 3.0, 9.0, None])
-        lon, t = lon + 0.0000118 * (speed or 2.0), t + rng.choice([500, 1000, 1000, 4000])
+        speed = rng.choice([0.0, 0.5, 3.0, 9.0, None, float("nan")])
+        lon, t = lon + 0.0000118 * (2.0 if speed is None or math.isnan(speed) else speed), t + rng.choice([500, 1000, 1000, 4000])
         rows.append((f"r{i:03d}", "s", t, LAT, lon, 5.0, speed, 90.0))
     kept = track.clean_track(fixes(spark, rows))
     s = spark.createDataFrame([("s", T0, (t - T0) / 1000.0)], "survey_id string, recording_start_epoch_ms long, duration_s double")

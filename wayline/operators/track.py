@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,48 +171,142 @@ def sampling_notes(surveys: DataFrame, track: DataFrame, plan: DataFrame, config
 PLAN = "survey_id string, index long, video_time_s double, t_epoch_ms long, distance_from_previous_m double"
 
 
+class _Walk:
+    """The frame times of one survey by distance. Fixes come in order of time, in pieces of any size; what is held are
+    the last fix, the last time that was given and the place in the grid."""
+
+    def __init__(self, c: SamplingConfig, survey: str, start: int, duration: float):
+        self.c, self.survey, self.start, self.step = c, survey, start, 1.0 / c.fps
+        self.n = int(math.floor((duration + 1e-9) / self.step)) + 1 if duration is not None and duration >= 0 else 0
+        self.at, self.given, self.last, self.fix, self.begun = 0, 0, None, None, False
+        self.out: list[tuple] = []
+
+    def times(self, first: int, behind: int) -> np.ndarray:
+        return np.round(self.start + np.arange(first, behind) * self.step * 1000.0).astype(np.int64)
+
+    def until(self, t: int) -> int:
+        """The first grid point behind those with a time of at most t."""
+        k = min(self.n, max(self.at, int(math.floor((t - self.start) / (self.step * 1000.0))) + 2))
+        near = self.times(max(self.at, k - 4), k)
+        return k - int((near > t).sum())
+
+    def still(self, behind: int, lat: float, lon: float, speed: float | None) -> None:
+        """Grid points up to `behind`, all at one place."""
+        k = self.at
+        self.at = max(self.at, behind)
+        if speed is not None and speed < self.c.min_speed_mps:
+            return
+        while k < behind:
+            was = self.given
+            self.visit(k, lat, lon)
+            # where one was given, or is too near, so are all that follow; only the time step may still be short
+            if self.last is not None and self.given == was and self.far(lat, lon) < self.c.spacing_m:
+                return
+            k += 1
+
+    def far(self, lat: float, lon: float) -> float:
+        p1, p2 = math.radians(self.last[1]), math.radians(lat)
+        h = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(lon - self.last[2]) / 2) ** 2
+        return 2 * geo.EARTH_RADIUS_M * math.asin(min(1.0, math.sqrt(h)))
+
+    def visit(self, k: int, lat: float, lon: float) -> None:
+        c, v, gone = self.c, round(k * self.step, 6), None
+        if c.max_frames and self.given >= c.max_frames:
+            return
+        if self.last is not None:
+            gone = self.far(lat, lon)
+            if gone < c.spacing_m or v - self.last[0] < c.min_step_s:
+                return
+        self.out.append((self.survey, self.given, v, int(self.times(k, k + 1)[0]), None if gone is None else round(gone, 3)))
+        self.given, self.last = self.given + 1, (v, lat, lon)
+
+    def fixes(self, t: np.ndarray, lat: np.ndarray, lon: np.ndarray, speed: np.ndarray) -> None:
+        """Fixes with rising t; speed is NaN where it isn't known."""
+        if not self.begun:
+            self.begun = True
+            self.still(self.until(int(t[0])), lat[0], lon[0], None if np.isnan(speed[0]) else float(speed[0]))
+        else:
+            t, lat, lon, speed = (np.append(x, y) for x, y in zip(self.fix, (t, lat, lon, speed)))
+        self.fix = t[-1], lat[-1], lon[-1], speed[-1]
+        first, behind = self.at, self.until(int(t[-1]) - 1)  # the last fix itself is where the track may end
+        for a in range(first, behind, 65_536):
+            g = self.times(a, min(behind, a + 65_536))
+            b = np.searchsorted(t, g, side="left")
+            i = b - 1
+            al = (g - t[i]) / (t[b] - t[i])
+            east = np.mod(lon[b] - lon[i] + 540.0, 360.0) - 180.0
+            plain = np.abs(lon[b] - lon[i]) <= 180.0
+            la = lat[i] + (lat[b] - lat[i]) * al
+            lo = np.where(plain, lon[i] + (lon[b] - lon[i]) * al, np.mod(lon[i] + east * al + 540.0, 360.0) - 180.0)
+            p, q = np.radians(lat[i]), np.radians(lat[b])
+            apart = 2 * geo.EARTH_RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lon[b] - lon[i]) / 2) ** 2)))
+            one, two = speed[i], speed[b]
+            fast = np.where(~np.isnan(one) & ~np.isnan(two), one + (two - one) * al, np.where(~np.isnan(one), one, np.where(~np.isnan(two), two, apart / ((t[b] - t[i]) / 1000.0))))
+            for k in np.flatnonzero(~(fast < self.c.min_speed_mps)).tolist():
+                self.visit(a + k, la[k], lo[k])
+        self.at = max(first, behind)
+
+    def end(self) -> None:
+        if self.begun:
+            _, lat, lon, speed = self.fix
+            self.still(self.n, lat, lon, None if np.isnan(speed) else float(speed))
+
+
+def _walk(c: SamplingConfig):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(survey_id, t, start, duration, lat, lon, speed) in order: for each survey a row without t, then its fixes."""
+        kinds = (pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.float64())
+        names = [f.split()[0] for f in PLAN.split(", ")]
+        walk: _Walk | None = None
+
+        def done(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows)) if rows else [[] for _ in names]
+            return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(cols, kinds)], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(code)) + 1, [batch.num_rows]))
+            t, lat, lon, speed = (batch.column(k).to_numpy(zero_copy_only=False).astype(float) for k in (1, 4, 5, 6))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                survey = batch.column(0)[int(a)].as_py()
+                if walk is None or walk.survey != survey:
+                    if walk is not None:
+                        walk.end()
+                        yield done(walk.out)
+                    walk = _Walk(c, survey, batch.column(2)[int(a)].as_py() or 0, batch.column(3)[int(a)].as_py())
+                    a += int(np.isnan(t[a]))
+                if a < b and walk.n:
+                    walk.fixes(t[a:b].astype(np.int64), lat[a:b], lon[a:b], speed[a:b])
+                    yield done(walk.out)
+                    walk.out = []
+        if walk is not None:
+            walk.end()
+            yield done(walk.out)
+
+    return run
+
+
 def sampling_plan(surveys: DataFrame, track: DataFrame, config: SamplingConfig = SamplingConfig()) -> DataFrame:
     """Frame times by config.mode. Distance mode walks a time grid, leaves out times at which the speed is known and
     low, and emits the first and each one that is spacing_m or more and min_step_s or more from the last emitted;
     surveys of fewer than two fixes fall back to the grid.
 
     What is emitted depends on all before it, so each survey streams through one task in order, with constant memory.
+    Only fixes are shuffled: the task makes the grid, and places its times between the fixes as locate() does.
     """
     c = config
     step = c.interval_s if c.mode == "fixed_interval" else 1.0 / c.fps
-    grid = time_grid(surveys, step, None if c.mode == "distance" else c.max_frames)
     bare = lambda g: g.select("survey_id", "index", "video_time_s", "t_epoch_ms", F.lit(None).cast("double").alias("distance_from_previous_m"))
     if c.mode != "distance":
-        return bare(grid)
-    short = track.groupBy("survey_id").agg(F.count("*").alias("n")).where("n >= 2").select("survey_id")
-    fallback = grid.join(short, "survey_id", "left_anti")
-    if c.max_frames:
-        fallback = fallback.where(F.col("index") < c.max_frames)
-    seek = grid.join(short, "survey_id", "left_semi").select("survey_id", F.struct("index", "video_time_s").alias("k"), F.col("t_epoch_ms").alias("t"))
-    at = locate(track, seek, "k").select("survey_id", F.col("k.video_time_s").alias("v"), "t", "lat", "lon", "speed_mps")
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, n, last = None, 0, None
-        for batch in batches:
-            out = []
-            cols = [col.to_pylist() for col in batch.columns]
-            for survey, v, t, lat, lon, speed in zip(*cols):
-                if survey != now:
-                    now, n, last = survey, 0, None
-                if (c.max_frames and n >= c.max_frames) or (speed is not None and speed < c.min_speed_mps):
-                    continue
-                gone = None
-                if last is not None:
-                    p1, p2 = math.radians(last[1]), math.radians(lat)
-                    h = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(lon - last[2]) / 2) ** 2
-                    gone = 2 * geo.EARTH_RADIUS_M * math.asin(min(1.0, math.sqrt(h)))
-                    if gone < c.spacing_m or v - last[0] < c.min_step_s:
-                        continue
-                out.append((survey, n, v, t, None if gone is None else round(gone, 3)))
-                n, last = n + 1, (v, lat, lon)
-            cols = list(zip(*out)) if out else [[] for _ in range(5)]
-            kinds = (pa.string(), pa.int64(), pa.float64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(cols, kinds)], names=[f.split()[0] for f in PLAN.split(", ")])
-
-    walked = at.repartition("survey_id").sortWithinPartitions("survey_id", "t").mapInArrow(walk, PLAN)
-    return walked.unionByName(bare(fallback))
+        return bare(time_grid(surveys, step, c.max_frames))
+    enough = track.groupBy("survey_id").agg(F.count("*").alias("n")).where("n >= 2").select("survey_id")
+    fallback = time_grid(surveys.join(enough, "survey_id", "left_anti"), step, c.max_frames)
+    none = lambda kind: F.lit(None).cast(kind)
+    heads = surveys.where("duration_s >= 0").join(enough, "survey_id", "left_semi").select("survey_id", none("long").alias("t"), F.col("recording_start_epoch_ms").cast("long").alias("start"), F.col("duration_s").cast("double").alias("duration"), none("double").alias("lat"), none("double").alias("lon"), none("double").alias("speed"))
+    # to the walk NaN means unknown; a reading that is no number is known not to be low
+    speed = F.when(F.isnan("speed_mps"), float("inf")).otherwise(F.col("speed_mps").cast("double"))
+    fixes = track.join(heads.select("survey_id"), "survey_id", "left_semi").select("survey_id", "t", none("long").alias("start"), none("double").alias("duration"), "lat", "lon", speed.alias("speed"))
+    rows = heads.unionByName(fixes).repartition("survey_id").sortWithinPartitions("survey_id", F.asc_nulls_first("t"))
+    return rows.mapInArrow(_walk(c), PLAN).unionByName(bare(fallback))
