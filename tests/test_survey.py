@@ -93,6 +93,21 @@ def test_sampling_against_the_rule(spark):
     assert got == want and len(want) > 40
 
 
+def test_sampling_where_no_join_is_broadcast(spark):
+    rows = [(f"r{s}{i}", f"s{s}", T0 + i * 1000, LAT, LON + i * 0.000118, 5.0, 10.0, 90.0) for s in range(30) for i in range(40)]
+    s = spark.createDataFrame([(f"s{k}", T0, 39.0) for k in range(31)], "survey_id string, recording_start_epoch_ms long, duration_s double")
+    plan = lambda: {r.survey_id: r["count"] for r in track.sampling_plan(s, track.clean_track(fixes(spark, rows))).groupBy("survey_id").count().collect()}
+    want = plan()
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.unionOutputPartitioning")}
+    try:
+        for k, v in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.shuffle.partitions", "12"), ("spark.sql.unionOutputPartitioning", "true")):
+            spark.conf.set(k, v)
+        assert plan() == want and len(want) == 31 and want["s0"] > 100
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def frames_and_boxes(spark, boxes, times):
     f = spark.createDataFrame([("s", f"f{i:02d}", T0 + t) for i, t in enumerate(times)], "survey_id string, frame_id string, t_epoch_ms long")
     d = spark.createDataFrame(boxes, "frame_id string, detection_id string, damage_class string, confidence double, x1 double, y1 double, x2 double, y2 double")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayline.functions import geo
+from wayline.session import settle
 
 FIX = ("survey_id", "t", "lat", "lon", "accuracy_m", "speed_mps", "heading_deg")
 
@@ -301,6 +302,7 @@ def sampling_plan(surveys: DataFrame, track: DataFrame, config: SamplingConfig =
     bare = lambda g: g.select("survey_id", "index", "video_time_s", "t_epoch_ms", F.lit(None).cast("double").alias("distance_from_previous_m"))
     if c.mode != "distance":
         return bare(time_grid(surveys, step, c.max_frames))
+    settle(track.sparkSession)
     enough = track.groupBy("survey_id").agg(F.count("*").alias("n")).where("n >= 2").select("survey_id")
     fallback = time_grid(surveys.join(enough, "survey_id", "left_anti"), step, c.max_frames)
     none = lambda kind: F.lit(None).cast(kind)

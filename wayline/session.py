@@ -24,13 +24,27 @@ def get_spark(app: str = "wayline", cores: str | int = "*", partitions: int = 8)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    settle(spark)
     if not getattr(spark.sparkContext, "_wayline_shipped", False):
         ship_package(spark)
         spark.sparkContext._wayline_shipped = True
     return spark
 
 
+#: Spark 4.1 takes a union of equally partitioned tables for partitioned likewise and drops the exchange behind it, but
+#: lets AQE coalesce each of them by itself, so that rows of one key end up in different tasks. Off, exchanges stay.
+UNION_PARTITIONING = "spark.sql.unionOutputPartitioning"
+
+
+def settle(spark: SparkSession) -> SparkSession:
+    """The session with what every operator relies on."""
+    if spark.conf.get(UNION_PARTITIONING, "false") != "false":
+        spark.conf.set(UNION_PARTITIONING, "false")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -61,7 +75,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     is the product of its sides', so that it squares with every self-join of a loop until its digits fill the driver.
     Loops release() what they no longer read; what is left goes when the process ends.
     """
-    spark = df.sparkSession
+    spark = settle(df.sparkSession)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/wayline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
