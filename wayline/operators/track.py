@@ -242,7 +242,8 @@ class _Walk:
             p, q = np.radians(lat[i]), np.radians(lat[b])
             apart = 2 * geo.EARTH_RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lon[b] - lon[i]) / 2) ** 2)))
             one, two = speed[i], speed[b]
-            fast = np.where(~np.isnan(one) & ~np.isnan(two), one + (two - one) * al, np.where(~np.isnan(one), one, np.where(~np.isnan(two), two, apart / ((t[b] - t[i]) / 1000.0))))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                fast = np.where(~np.isnan(one) & ~np.isnan(two), one + (two - one) * al, np.where(~np.isnan(one), one, np.where(~np.isnan(two), two, apart / ((t[b] - t[i]) / 1000.0))))
             for k in np.flatnonzero(~(fast < self.c.min_speed_mps)).tolist():
                 self.visit(a + k, la[k], lo[k])
         self.at = max(first, behind)
